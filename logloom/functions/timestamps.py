@@ -12,9 +12,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The usual form; days 29 to 31 and everything else take the general branch.
+# The usual form, for which a cast does if the day exists.
 _PLAIN = (
-    r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|1\d|2[0-8])"
+    r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])"
     r"T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d{1,6})?Z\z"
 )
 # Groups: year, month, day, hour, minute, second, fraction, offset.
@@ -29,45 +29,42 @@ _GENERAL_ON_DRIVER = re.compile(_GENERAL.replace(r"\z", r"\Z"), re.ASCII)
 RENDERED = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(name: str, value: str, body: str) -> str:
+    """SQL that binds ``value`` to ``name`` once and uses it several times in ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _general_micros(text: Column) -> Column:
-    def piece(group: int, fallback: str) -> Column:
-        found = F.regexp_extract(text, _GENERAL, group)
-        return F.when(found == "", F.lit(fallback)).otherwise(found)
+def _piece(group: int, fallback: str) -> str:
+    return f"coalesce(nullif(regexp_extract(t, r'{_GENERAL}', {group}), ''), '{fallback}')"
 
-    def number(group: int, fallback: str) -> Column:
-        return piece(group, fallback).cast("long")
 
-    first_of_month = F.make_date(
-        number(1, "0").cast("int"), number(2, "01").cast("int"), F.lit(1)
-    )
-    days = F.unix_date(first_of_month).cast("long") + number(3, "01") - 1
-    seconds = days * 86400 + number(4, "00") * 3600 + number(5, "00") * 60 + number(6, "00")
-    millis = F.rpad(F.substring(piece(7, "000"), 1, 3), 3, "0").cast("long")
-    offset = let(
-        F.regexp_extract(text, _GENERAL, 8),
-        lambda zone: F.when(F.length(zone) < 6, F.lit(0).cast("long")).otherwise(
-            F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-            * (F.substring(zone, 2, 2).cast("long") * 60 + F.substring(zone, 5, 2).cast("long"))
-        ),
-    )
-    return (seconds - offset * 60) * 1000000 + millis * 1000
+def _number(group: int, fallback: str) -> str:
+    return f"CAST({_piece(group, fallback)} AS BIGINT)"
+
+
+# Offset from UTC in minutes.
+_OFFSET = let(
+    "zone",
+    _piece(8, "Z"),
+    """IF(length(zone) < 6, 0L,
+        IF(left(zone, 1) = '-', -1, 1)
+        * (CAST(substr(zone, 2, 2) AS BIGINT) * 60 + CAST(substr(zone, 5, 2) AS BIGINT)))""",
+)
+_GENERAL_MICROS = f"""
+    ( ( unix_date(make_date(CAST({_piece(1, "0")} AS INT), CAST({_piece(2, "01")} AS INT), 1))
+        + {_number(3, "01")} - 1 ) * 86400L
+      + {_number(4, "00")} * 3600 + {_number(5, "00")} * 60 + {_number(6, "00")}
+      - {_OFFSET} * 60 ) * 1000000
+    + CAST(rpad(left({_piece(7, "000")}, 3), 3, '0') AS BIGINT) * 1000"""
 
 
-def parse_iso(text: Column) -> Column:
-    """The instant ``text`` names, cut to milliseconds; NULL if it names none."""
+def parse_iso(text: str) -> Column:
+    """The instant a text column names, cut to milliseconds; NULL if it names none."""
     general = let(
-        text,
-        lambda t: F.when(
-            t.rlike(_GENERAL), F.timestamp_micros(_general_micros(t))
-        ),
+        "t", text, f"IF(t RLIKE r'{_GENERAL}', timestamp_micros({_GENERAL_MICROS}), NULL)"
     )
-    plain = F.timestamp_millis(F.unix_millis(text.try_cast("timestamp")))
-    return F.when(text.rlike(_PLAIN), plain).otherwise(general)
+    plain = f"timestamp_millis(unix_millis(try_cast({text} AS TIMESTAMP)))"
+    return F.expr(f"coalesce(IF({text} RLIKE r'{_PLAIN}', {plain}, NULL), {general})")
 
 
 def iso_millis(instant: Column) -> Column:
@@ -76,7 +73,7 @@ def iso_millis(instant: Column) -> Column:
 
 
 def day_of(instant: Column) -> Column:
-    return F.date_format(instant, "yyyy-MM-dd")
+    return F.to_date(instant).cast("string")
 
 
 def bucket_start(instant: Column, anchor_ms: int, width_seconds: int) -> Column:

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from logloom.functions.timestamps import let
 
 _NUMERIC = r"^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"
-# Integers up to this many characters are exact as doubles.
-_EXACT_DIGITS = 15
 
 
 def kind(value: Column) -> Column:
@@ -48,27 +46,33 @@ def member(value: Column, key: str) -> Column:
 _FLAT, _FLAT_INEXACT, _NOT_FLAT = 0, 1, 2
 
 
-def field_values(value: Column) -> Column:
+def field_values(value: str) -> Column:
     """The values of an object's fields; NULL if it is not an object."""
-    return F.map_values(value.try_cast("map<string,variant>"))
+    return F.expr(f"map_values(try_cast({value} AS MAP<STRING, VARIANT>))")
 
 
-def attributes_class(values: Column) -> Column:
+def attributes_class(values: str) -> Column:
     """Class of an attribute object, from its field values.
 
     0: flat as it is; 1: flat, but has numbers to round; 2: not a flat object.
     """
-    nested = F.exists(values, lambda v: kind(v).rlike("^(OBJECT|ARRAY|VOID)"))
-    # Most values are short, which settles it without asking for their kind.
-    long = F.exists(values, lambda v: F.length(v.cast("string")) > _EXACT_DIGITS)
-    inexact = F.exists(
-        values,
-        lambda v: is_number(kind(v)) & (F.length(v.cast("string")) > _EXACT_DIGITS),
-    )
-    return (
-        F.when(values.isNull() | nested, _NOT_FLAT)
-        .when(long & inexact, _FLAT_INEXACT)
-        .otherwise(_FLAT)
+    # Text, booleans and integers a double can hold settle it in one pass.
+    special = """CASE schema_of_variant(x)
+        WHEN 'STRING' THEN false
+        WHEN 'BOOLEAN' THEN false
+        WHEN 'BIGINT' THEN try_variant_get(x, '$', 'bigint')
+            NOT BETWEEN -9007199254740992 AND 9007199254740992
+        ELSE true END"""
+    # Decimals of up to 15 digits stay what they are.
+    exact = r"schema_of_variant(x) RLIKE r'^DECIMAL\(([1-9]|1[0-5]),'"
+    return F.expr(
+        f"""CASE
+        WHEN {values} IS NULL THEN {_NOT_FLAT}
+        WHEN NOT exists({values}, x -> {special}) THEN {_FLAT}
+        WHEN exists({values}, x -> schema_of_variant(x) RLIKE '^(OBJECT|ARRAY|VOID)')
+          THEN {_NOT_FLAT}
+        WHEN exists({values}, x -> {special} AND NOT {exact}) THEN {_FLAT_INEXACT}
+        ELSE {_FLAT} END"""
     )
 
 
@@ -80,134 +84,90 @@ def needs_rounding(attribute_class: Column) -> Column:
     return attribute_class == _FLAT_INEXACT
 
 
-def _as_double_number(value: Column) -> Column:
-    """A number as a double holds it: rounded; an infinite one becomes null."""
-
-    def rounded(d: Column) -> Column:
-        whole = (F.abs(d) < F.lit(2.0**63)) & (d == F.floor(d))
-        return (
-            F.when(F.abs(d) == F.lit(math.inf), F.parse_json(F.lit("null")))
-            .when(whole, d.try_cast("long").cast("variant"))
-            .otherwise(d.cast("variant"))
-        )
-
-    return let(F.try_variant_get(value, "$", "double"), rounded)
-
+def round_numbers(attributes: str) -> Column:
+    """The same flat object with every number as a double holds it.
 
-def round_numbers(attributes: Column) -> Column:
-    """The same flat object with every number rounded to a double."""
-    fields = attributes.try_cast("map<string,variant>")
-    return F.to_variant_object(
-        F.transform_values(
-            fields,
-            lambda _, v: F.when(is_number(kind(v)), _as_double_number(v)).otherwise(v),
-        )
+    Integers are rounded to what a double can hold; an infinite number becomes null.
+    """
+    rounded = let(
+        "d",
+        "try_variant_get(x, '$', 'double')",
+        """CASE WHEN abs(d) = DOUBLE('Infinity') THEN parse_json('null')
+                WHEN abs(d) < 9223372036854775808D AND d = floor(d)
+                  THEN CAST(try_cast(d AS BIGINT) AS VARIANT)
+                ELSE CAST(d AS VARIANT) END""",
+    )
+    return F.expr(
+        f"""to_variant_object(transform_values(
+            try_cast({attributes} AS MAP<STRING, VARIANT>),
+            (k, x) -> IF(schema_of_variant(x) RLIKE '{_NUMERIC}', {rounded}, x)))"""
     )
 
 
 # --- a value as text ----------------------------------------------------------
 
 
-def _layout_digits(digits: Column, point: Column) -> Column:
-    """Write ``0.digits * 10**point`` the way a script engine prints numbers."""
-    n = F.length(digits)
-    exponent = point - 1
-    scientific = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(n > 1, F.concat(F.lit("."), digits.substr(F.lit(2), n))).otherwise(""),
-        F.when(exponent < 0, F.lit("e-")).otherwise("e+"),
-        F.abs(exponent).cast("string"),
+# 0.DIGITS * 10**POINT, laid out by the size of POINT as script engines do it.
+_LAYOUT = """CASE
+    WHEN n <= s.point AND s.point <= 21 THEN rpad(s.digits, s.point, '0')
+    WHEN s.point > 0 AND s.point <= 21
+      THEN concat(left(s.digits, s.point), '.', substr(s.digits, s.point + 1))
+    WHEN s.point > -6 AND s.point <= 0 THEN concat('0.', repeat('0', -s.point), s.digits)
+    ELSE concat(left(s.digits, 1), IF(n > 1, '.', ''), substr(s.digits, 2),
+                IF(s.point < 1, 'e-', 'e+'), abs(s.point - 1)) END"""
+# The same two numbers, read off the text of a double such as 123.0 or 1.5E-7.
+_DIGITS_AND_POINT = let(
+    "m",
+    """named_struct(
+        'whole', substring_index(substring_index(text, 'E', 1), '.', 1),
+        'part', substring_index(substring_index(text, 'E', 1), '.', -1),
+        'power', IF(contains(text, 'E'), CAST(substring_index(text, 'E', -1) AS INT), 0))""",
+    let(
+        "written",
+        "ltrim('0', concat(m.whole, m.part))",
+        """named_struct(
+            'digits', rtrim('0', written),
+            'point', length(written) - length(m.part) + m.power)""",
+    ),
+)
+
+
+def _number_sql(number: str) -> str:
+    size = let(
+        "text",
+        "CAST(abs(d) AS STRING)",
+        let("s", _DIGITS_AND_POINT, let("n", "length(s.digits)", _LAYOUT)),
     )
-    return (
-        F.when(
-            (n <= point) & (point <= 21), F.concat(digits, F.repeat(F.lit("0"), point - n))
-        )
-        .when(
-            (point > 0) & (point <= 21),
-            F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, n)),
-        )
-        .when(
-            (point > -6) & (point <= 0),
-            F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits),
-        )
-        .otherwise(scientific)
+    return let(
+        "d",
+        number,
+        f"""CASE WHEN d = 0 THEN '0'
+            ELSE concat(IF(d < 0, '-', ''),
+                        IF(abs(d) = DOUBLE('Infinity'), 'Infinity', {size})) END""",
     )
 
 
-def number_text(number: Column) -> Column:
-    """Text of a double: ``3``, ``0.1``, ``1e+21``, ``1e-7``, ``Infinity``."""
-
-    def magnitude(text: Column) -> Column:
-        mantissa = F.substring_index(text, "E", 1)
-        whole = F.substring_index(mantissa, ".", 1)
-        fraction = F.substring_index(mantissa, ".", -1)
-        exponent = F.when(
-            text.contains("E"), F.substring_index(text, "E", -1).cast("int")
-        ).otherwise(0)
-        written = F.concat(whole, fraction)
-        significant = F.regexp_replace(written, "^0+", "")
-        digits = F.regexp_replace(significant, "0+$", "")
-        point = F.length(whole) + exponent - (F.length(written) - F.length(significant))
-        return let(
-            F.struct(digits.alias("digits"), point.alias("point")),
-            lambda s: _layout_digits(s["digits"], s["point"]),
-        )
-
-    def signed(d: Column) -> Column:
-        size = let(F.abs(d).cast("string"), magnitude)
-        size = F.when(F.abs(d) == F.lit(math.inf), F.lit("Infinity")).otherwise(size)
-        return F.when(d == 0, F.lit("0")).otherwise(
-            F.concat(F.when(d < 0, F.lit("-")).otherwise(""), size)
-        )
+_SCALAR_TEXT = f"""CASE
+    WHEN is_variant_null(x) THEN ''
+    WHEN schema_of_variant(x) LIKE 'OBJECT%' THEN '[object Object]'
+    WHEN schema_of_variant(x) RLIKE '{_NUMERIC}'
+      THEN {_number_sql("try_variant_get(x, '$', 'double')")}
+    ELSE try_variant_get(x, '$', 'string') END"""
+# Replaces every array by its elements, an empty one by a null.
+_FLATTEN_ONCE = """flatten(transform(xs, x -> CASE
+    WHEN schema_of_variant(x) NOT LIKE 'ARRAY%' THEN array(x)
+    WHEN size(try_cast(x AS ARRAY<VARIANT>)) = 0 THEN array(parse_json('null'))
+    ELSE try_cast(x AS ARRAY<VARIANT>) END))"""
+_DEPTH = "length(regexp_replace(to_json(v), r'[^\\[]', ''))"
 
-    return let(number, signed)
 
+def value_text(value: str) -> Column:
+    """Text of a JSON value (not null) in a variant column.
 
-def _scalar_text(value: Column) -> Column:
-    def by_kind(k: Column) -> Column:
-        return (
-            F.when(k.startswith("OBJECT"), F.lit("[object Object]"))
-            .when(is_number(k), number_text(F.try_variant_get(value, "$", "double")))
-            .otherwise(F.try_variant_get(value, "$", "string"))
-        )
-
-    return let(kind(value), by_kind)
-
-
-def _flatten_once(values: Column) -> Column:
-    """Replace every array among ``values`` by its elements; an empty one by null."""
-
-    def widen(v: Column) -> Column:
-        inner = v.try_cast("array<variant>")
-        return (
-            F.when(~kind(v).startswith("ARRAY"), F.array(v))
-            .when(F.size(inner) == 0, F.array(F.parse_json(F.lit("null"))))
-            .otherwise(inner)
-        )
-
-    return F.flatten(F.transform(values, widen))
-
-
-def value_text(value: Column) -> Column:
-    """Text of any JSON value; array elements are joined by commas, nulls are empty."""
-
-    def joined(v: Column) -> Column:
-        deepest = F.length(F.regexp_replace(F.to_json(v), r"[^\[]", ""))
-        flat = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(deepest, F.lit(1))),
-            F.array(v),
-            lambda values, _: _flatten_once(values),
-        )
-        texts = F.transform(
-            flat,
-            lambda x: F.when(F.is_variant_null(x), F.lit("")).otherwise(_scalar_text(x)),
-        )
-        return F.concat_ws(",", texts)
-
-    return let(
-        value,
-        lambda v: F.when(kind(v).startswith("ARRAY"), joined(v)).otherwise(_scalar_text(v)),
-    )
+    Array elements are joined by commas at any depth, nulls among them are empty.
+    """
+    parts = f"aggregate(sequence(0, {_DEPTH}), array(v), (xs, _) -> {_FLATTEN_ONCE})"
+    return F.expr(let("v", value, f"concat_ws(',', transform({parts}, x -> {_SCALAR_TEXT}))"))
 
 
 # --- the same on the driver, for the value of one filter ----------------------

@@ -66,12 +66,19 @@ def answers_from_minutes(request: AggregateRequest) -> bool:
     return aligned and request.filters.q is None and not request.filters.attributes
 
 
+def matching_minutes(minutes: DataFrame, span: TimeRange, filters: LogFilter) -> DataFrame:
+    """``start, service, level, count`` of the minutes in a range."""
+    rows = minutes.withColumnRenamed("minute", "timestamp")
+    return rows.where(time_condition(span) & filter_condition(filters)).withColumnRenamed(
+        "timestamp", "start"
+    )
+
+
 def count_minutes(minutes: DataFrame, request: AggregateRequest) -> DataFrame:
     """The same result from additive counts per (minute, service, level)."""
-    rows = minutes.withColumnRenamed("minute", "timestamp")
-    start = bucket_start(F.col("timestamp"), request.span.since, request.width_seconds)
+    start = bucket_start(F.col("start"), request.span.since, request.width_seconds)
     return (
-        rows.where(time_condition(request.span) & filter_condition(request.filters))
+        matching_minutes(minutes, request.span, request.filters)
         .groupBy(start.alias("start"), _group_column(request).alias("group"))
         .agg(F.sum("count").alias("count"))
         .orderBy("start", "group")

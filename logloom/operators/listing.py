@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,32 +171,63 @@ def _collect(rows: DataFrame) -> list[dict]:
     return records
 
 
+def bound_by_counts(counts: DataFrame, needed: int) -> int | None:
+    """Latest instant since which ``counts`` (``start, count``) add up to ``needed``.
+
+    None if all of them together are fewer. The newest ``needed`` non-empty starts
+    are always enough to tell, so no more than these are collected.
+    """
+    total = 0
+    for row in (
+        counts.select(F.unix_millis("start").alias("ms"), "count")
+        .orderBy(F.desc("ms"))
+        .limit(needed)
+        .collect()
+    ):
+        total += row["count"]
+        if total >= needed:
+            return row["ms"]
+    return None
+
+
+def count_hours(logs: DataFrame, request: ListRequest) -> DataFrame:
+    """Matching rows per hour: a full scan, but only counts leave the tasks."""
+    hour = F.date_trunc("hour", F.col("timestamp"))
+    return (
+        matching(logs, request)
+        .groupBy(hour.alias("start"))
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
+
+
+def request_end(request: ListRequest) -> int | None:
+    """First instant after everything the request can return."""
+    end = request.span.until
+    if request.after is not None:
+        past_cursor = request.after.timestamp + 1
+        end = past_cursor if end is None else min(end, past_cursor)
+    return end
+
+
 def fetch_page(
     request: ListRequest,
     scan: Callable[[TimeRange], DataFrame],
-    lower_bounds: Callable[[int | None], Iterable[int]] = lambda newest: (),
+    lower_bounds: Iterable[int] = (),
 ) -> Page:
     """Collect one page (at most ``MAX_LIMIT + 1`` rows).
 
-    ``scan`` returns the rows that may lie in a range. ``lower_bounds``, given the end
-    of the request, names instants to try first, latest first: if the rows since one
-    of them already fill the page, all older data stays unread. The last attempt has
-    no bound beyond the request's own.
+    ``scan`` returns the rows that may lie in a range. ``lower_bounds`` are instants
+    to try first, latest first: if the rows since one of them already fill the page,
+    all older data stays unread. The last attempt has the request's own bound.
     """
-    newest = request.span.until
-    if request.after is not None:
-        past_cursor = request.after.timestamp + 1
-        newest = past_cursor if newest is None else min(newest, past_cursor)
-    since = request.span.since
+    end, since = request_end(request), request.span.since
     records: list[dict] = []
-    for bound in [*lower_bounds(newest), None]:
+    for bound in itertools.chain(lower_bounds, [None]):
         if bound is not None and since is not None and bound <= since:
             continue
         lower = since if bound is None else bound
-        narrowed = ListRequest(
-            request.filters, TimeRange(lower, request.span.until), request.limit, request.after
-        )
-        records = _collect(top_rows(scan(TimeRange(lower, newest)), narrowed))
+        narrowed = replace(request, span=TimeRange(lower, request.span.until))
+        records = _collect(top_rows(scan(TimeRange(lower, end)), narrowed))
         if len(records) > request.limit:
             break
     page = records[: request.limit]
@@ -207,7 +239,11 @@ def fetch_page(
 
 
 def list_logs(logs: DataFrame, params: Mapping[str, object] | None = None) -> Page:
-    """One page of any DataFrame with the log columns."""
+    """One page of any DataFrame with the log columns.
+
+    Every task sends its best rows, so a frame with very many partitions is better
+    listed through the stored table, which narrows the range first.
+    """
     return fetch_page(parse_list_request(params or {}), lambda _: logs)
 
 

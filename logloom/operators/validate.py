@@ -37,7 +37,7 @@ def _reason(now: Column) -> Column:
         .when(variants.is_absent(raw["level"]), S.LEVEL_MISSING)
         .when(
             ~F.coalesce(F.col("level").isin(*S.LEVELS), F.lit(False)),
-            _quoted(S.LEVEL_INVALID, variants.value_text(raw["level"])),
+            _quoted(S.LEVEL_INVALID, variants.value_text("raw.level")),
         )
         .when(~F.coalesce(has_text(F.col("service")), F.lit(False)), S.SERVICE_BLANK)
         .when(~F.coalesce(has_text(F.col("message")), F.lit(False)), S.MESSAGE_BLANK)
@@ -55,26 +55,32 @@ def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
     now = F.current_timestamp() if now is None else now
     attributes = F.col("raw.attributes")
     attributes_class = F.when(variants.is_absent(attributes), F.lit(0)).otherwise(
-        variants.attributes_class(F.col("attribute_values"))
+        variants.attributes_class("attribute_values")
     )
     stored_attributes = (
         F.when(variants.is_absent(attributes), variants.empty_object())
         .when(
-            variants.needs_rounding(F.col("attributes_class")), variants.round_numbers(attributes)
+            variants.needs_rounding(F.col("attributes_class")), variants.round_numbers("raw.attributes")
         )
         .otherwise(attributes)
     )
+    texts = {
+        "timestamp_text": _string(F.col("raw.timestamp")),
+        "level": _string(F.col("raw.level")),
+        "service": _string(F.col("raw.service")),
+        "message": _string(F.col("raw.message")),
+        "attribute_values": variants.field_values("raw.attributes"),
+    }
+    values = {
+        "timestamp": parse_iso("timestamp_text"),
+        "attributes_class": attributes_class,
+    }
     typed = (
         entries.select(
             "batch_id", "error", "index", F.col("entry").try_cast(_RAW).alias("raw")
         )
-        .withColumn("attribute_values", variants.field_values(attributes))
-        .withColumn("timestamp_text", _string(F.col("raw.timestamp")))
-        .withColumn("level", _string(F.col("raw.level")))
-        .withColumn("service", _string(F.col("raw.service")))
-        .withColumn("message", _string(F.col("raw.message")))
-        .withColumn("attributes_class", attributes_class)
-        .withColumn("timestamp", parse_iso(F.col("timestamp_text")))
+        .withColumns(texts)
+        .withColumns(values)
     )
     reason = F.when(F.col("index").isNotNull(), _reason(now))
     return typed.select(

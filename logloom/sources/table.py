@@ -38,14 +38,10 @@ _MARK = re.compile(
     r"epoch=(?P<epoch>[0-9]+)\.next_id=(?P<next_id>[0-9]+)"
     r"(\.source=(?P<source>[A-Za-z0-9-]+)\.batch=(?P<batch>[0-9]+))?"
 )
-_HOUR_MS = 3600 * 1000
-# How far back a listing looks before it reads everything it may have to.
-_LOOK_BACK_HOURS = (1, 24, 8 * 24)
-
-# Ids are base + task * stride + row in task: no counting pass, no ordering through
-# one task. An entry takes at least 60 bytes of JSON, so a task would have to read
-# over 3 GB of input to run out of its stride, and it then fails instead of clashing.
-_ROWS_PER_TASK = 1 << 26
+# How far back a listing looks before it counts.
+_LOOK_BACK_SECONDS = (60, 3600, 86400)
+
+# Where a task number ends and a row number begins in Spark's per-task row ids.
 _ROW_BITS = 33
 
 
@@ -56,15 +52,20 @@ class Commit:
 
 
 def assign_ids(rows: DataFrame, first_id: int) -> DataFrame:
-    """Give rows unique ids from ``first_id`` on, rising with input order in a task."""
-    task_row = F.monotonically_increasing_id()
-    numbered = rows.withColumn("task_row", task_row)
+    """Give rows unique ids from ``first_id`` on, rising with input order in a task.
+
+    The n-th row of task t of T gets ``first_id + n * T + t``: no counting pass, no
+    order through a single task, and no limit on the rows of a task. The number of
+    tasks is checked where the ids are made, so a wrong one fails instead of clashing.
+    """
+    tasks = rows.select().rdd.getNumPartitions()
+    numbered = rows.withColumn("task_row", F.monotonically_increasing_id())
     task = F.shiftright("task_row", _ROW_BITS)
     row = F.col("task_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    fits = F.when(row < _ROWS_PER_TASK, row).otherwise(
-        F.raise_error(F.lit("a task holds more rows than its share of ids")).cast("long")
+    known_task = F.when(task < tasks, task).otherwise(
+        F.raise_error(F.lit("more tasks than counted")).cast("long")
     )
-    row_id = F.lit(first_id).cast("long") + task * F.lit(_ROWS_PER_TASK) + fits
+    row_id = F.lit(first_id).cast("long") + row * F.lit(tasks) + known_task
     return numbered.withColumn("id", row_id).drop("task_row")
 
 
@@ -166,11 +167,14 @@ class LogTable:
             return last
         epoch = last.epoch + 1
         self._clear_epoch(epoch)
-        # Entries are parsed and validated once for the three outputs.
+        # Entries are parsed, validated and routed once for the three outputs.
+        log_day = route_day(F.col("timestamp"), self.days())
+        checked = checked.withColumn("log_day", log_day)
+        checked = checked.withColumn("ingest_epoch", F.lit(epoch).cast("long"))
         checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            next_id = self._write_logs(checked, epoch, last.next_id)
-            self._write_minutes(checked, epoch)
+            next_id = self._write_logs(checked, last.next_id)
+            self._write_minutes(checked)
             self._write_ledger(checked, epoch)
         finally:
             checked.unpersist()
@@ -178,16 +182,9 @@ class LogTable:
         self._commit(commit, source, batch)
         return commit
 
-    def _routed(self, checked: DataFrame, epoch: int) -> DataFrame:
-        return (
-            validate.accepted(checked)
-            .withColumn("log_day", route_day(F.col("timestamp"), self.days()))
-            .withColumn("ingest_epoch", F.lit(epoch).cast("long"))
-        )
-
-    def _write_logs(self, checked: DataFrame, epoch: int, first_id: int) -> int:
+    def _write_logs(self, checked: DataFrame, first_id: int) -> int:
         seen = Observation()
-        rows = assign_ids(self._routed(checked, epoch), first_id)
+        rows = assign_ids(checked.where(validate.is_accepted()), first_id)
         rows = rows.observe(seen, F.max("id").alias("last_id"))
         # Rebalancing sizes the output files: a day with most of the rows is split
         # over many tasks, and a day with a few late rows gets one file. Sorting
@@ -204,12 +201,12 @@ class LogTable:
         last_id = seen.get["last_id"]
         return first_id if last_id is None else last_id + 1
 
-    def _write_minutes(self, checked: DataFrame, epoch: int) -> None:
+    def _write_minutes(self, checked: DataFrame) -> None:
         minute = F.timestamp_micros(
             F.unix_micros("timestamp") - F.pmod(F.unix_micros("timestamp"), F.lit(60000000))
         )
         (
-            self._routed(checked, epoch)
+            checked.where(validate.is_accepted())
             .groupBy("log_day", "ingest_epoch", minute.alias("minute"), "service", "level")
             .agg(F.count(F.lit(1)).alias("count"))
             .select(S.MINUTE_COUNTS.fieldNames())
@@ -235,24 +232,23 @@ class LogTable:
     # --- reading --------------------------------------------------------------
 
     def _read(self, path: str, schema: T.StructType, parts: list[str]) -> DataFrame:
-        present = [part for part in parts if self.folders.exists(part)]
-        if not present:
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", path).parquet(*present)
+        return self.spark.read.schema(schema).option("basePath", path).parquet(*parts)
 
     def _read_days(self, path: str, schema: T.StructType, span: TimeRange) -> DataFrame:
         """Committed rows of the days that a range touches, and of ``default``.
 
         Only those days' folders are listed; the same bound is stated on ``log_day``.
         """
-        first = None if span.since is None else day_of_ms(span.since)
-        last = None if span.until is None else day_of_ms(span.until)
-        days = [
-            day
-            for day in self.days()
-            if (first is None or day >= first) and (last is None or day <= last)
+        first = "" if span.since is None else day_of_ms(span.since)
+        last = "9999-12-31" if span.until is None else day_of_ms(span.until)
+        parts = [
+            f"{path}/{name}"
+            for name in self.folders.children(path)
+            if name == f"log_day={S.DEFAULT_DAY}"
+            or (match := _DAY.fullmatch(name)) and first <= match.group(1) <= last
         ]
-        parts = [self._day_path(day, path) for day in [*days, S.DEFAULT_DAY]]
         return self._read(path, schema, parts).where(
             (F.col("ingest_epoch") <= self.last_commit().epoch)
             & day_condition(span.since, span.until)
@@ -268,7 +264,8 @@ class LogTable:
 
     def ledger(self) -> DataFrame:
         """One row per received batch: how many entries, which were refused and why."""
-        return self._read(self.ledger_path, S.LEDGER, [self.ledger_path]).where(
+        present = [self.ledger_path] if self.folders.children(self.ledger_path) else []
+        return self._read(self.ledger_path, S.LEDGER, present).where(
             F.col("ingest_epoch") <= self.last_commit().epoch
         )
 
@@ -302,19 +299,36 @@ class LogTable:
                 return parse_instant(f"{day}T24:00Z")
         return None
 
-    def _look_back(self, newest: int | None) -> Iterator[int]:
-        end = self._newest_end()
-        if end is None:
-            return
-        if newest is not None:
-            end = min(end, newest)
-        for hours in _LOOK_BACK_HOURS:
-            yield end - hours * _HOUR_MS
+    def _lower_bounds(self, request: listing.ListRequest) -> Iterator[int]:
+        """Instants since which a listing may find its page, latest first.
+
+        Recent spans first, as most listings end there. Then counts tell where the
+        page begins: the stored ones per minute if they know the filters, else the
+        matching rows per hour. Only a request with less than a page of rows in all
+        gets past that, so no attempt ever sends many rows from many tasks.
+        """
+        end = listing.request_end(request)
+        known = [ms for ms in (self._newest_end(), end) if ms is not None]
+        span, needed = TimeRange(request.span.since, end), request.limit + 1
+        from_minutes = request.filters.q is None and not request.filters.attributes
+        if known:
+            for seconds in _LOOK_BACK_SECONDS[: 1 if from_minutes else None]:
+                yield min(known) - seconds * 1000
+        if from_minutes:
+            # Only whole minutes before the end count, so the bound errs to the
+            # early side.
+            whole = TimeRange(span.since, None if end is None else end // 60000 * 60000)
+            counts = aggregate.matching_minutes(self.minutes(span), whole, request.filters)
+        else:
+            counts = listing.count_hours(self.scan(span), request)
+        bound = listing.bound_by_counts(counts, needed)
+        if bound is not None:
+            yield bound
 
     def list(self, params: Mapping[str, object] | None = None) -> listing.Page:
-        """One page, reading the newest hours first and older days only if needed."""
+        """One page, reading the newest rows first and older days only if needed."""
         request = listing.parse_list_request(params or {})
-        return listing.fetch_page(request, self.scan, self._look_back)
+        return listing.fetch_page(request, self.scan, self._lower_bounds(request))
 
     def aggregate(self, params: Mapping[str, object]) -> DataFrame:
         """Bucket counts, from the counts per minute wherever these are enough."""
