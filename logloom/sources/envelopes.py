@@ -66,7 +66,10 @@ def from_column(frame: DataFrame, batch_id: str, body: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """One body per file; the file path is the batch id."""
+    """One body per file; the file path is the batch id.
+
+    Spark's file sources pass over files of no bytes at all, so these give no batch.
+    """
     prepare(spark)
     return _from_files(
         spark.read.format("binaryFile").schema(_FILE_SCHEMA).load(list(paths))
