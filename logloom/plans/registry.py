@@ -109,6 +109,8 @@ def _page(number: int, logs: Callable[[SparkSession, str], DataFrame], **params:
         wanted = dict(params)
         for _ in range(number):
             wanted["cursor"] = listing.list_logs(rows, wanted).next_cursor
+            if wanted["cursor"] is None:
+                return _as_text(listing.render(rows.where(F.lit(False))))
         request = listing.parse_list_request(wanted)
         return _as_text(listing.render(listing.top_rows(rows, request, look_ahead=0)))
 
@@ -417,7 +419,12 @@ WHERE log_day = 'default' OR log_day >= '2024-01-16' GROUP BY log_day""",
 def _stored_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a stored table, whose ids are its own."""
     table = _stored_table(spark, sf_dir)
-    wanted = {"level": "debug", "until": "2024-01-25T00:00:00Z"}
+    wanted = {
+        "level": "debug",
+        "since": "2024-01-01T00:00:00Z",
+        "until": "2024-01-25T00:00:00Z",
+        "limit": "40",
+    }
     wanted["cursor"] = table.list(wanted).next_cursor
     request = listing.parse_list_request(wanted)
     page = listing.top_rows(table.scan(request.span), request, look_ahead=0)
@@ -429,8 +436,9 @@ _register(
     _stored_page,
     f"""WITH {_LOGS}, {_FATE}, {_STORED}
 SELECT {_ACCEPTED} FROM stored
-WHERE level = 'debug' AND stored_ts < TIMESTAMP '2024-01-25'
-ORDER BY stored_ts DESC LIMIT 100 OFFSET 100""",
+WHERE level = 'debug' AND stored_ts >= TIMESTAMP '2024-01-01'
+  AND stored_ts < TIMESTAMP '2024-01-25'
+ORDER BY stored_ts DESC LIMIT 40 OFFSET 40""",
 )
 
 _STORED_COUNTS = f"""WITH {_LOGS}, {_FATE}, {_STORED}

@@ -152,6 +152,12 @@ class LogTable:
                 self.folders.remove(f"{data}/{name}/ingest_epoch={epoch}")
         self.folders.remove(f"{self.ledger_path}/ingest_epoch={epoch}")
 
+    def _has_epoch(self, epoch: int) -> bool:
+        days = reversed(self.folders.children(self.logs_path))
+        return any(
+            self.folders.exists(f"{self.logs_path}/{day}/ingest_epoch={epoch}") for day in days
+        )
+
     # --- writing --------------------------------------------------------------
 
     def append(
@@ -173,7 +179,7 @@ class LogTable:
         checked = checked.withColumn("ingest_epoch", F.lit(epoch).cast("long"))
         checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            next_id = self._write_logs(checked, last.next_id)
+            next_id = self._write_logs(checked, epoch, last.next_id)
             self._write_minutes(checked)
             self._write_ledger(checked, epoch)
         finally:
@@ -182,7 +188,7 @@ class LogTable:
         self._commit(commit, source, batch)
         return commit
 
-    def _write_logs(self, checked: DataFrame, first_id: int) -> int:
+    def _write_logs(self, checked: DataFrame, epoch: int, first_id: int) -> int:
         seen = Observation()
         rows = assign_ids(checked.where(validate.is_accepted()), first_id)
         rows = rows.observe(seen, F.max("id").alias("last_id"))
@@ -198,8 +204,8 @@ class LogTable:
             .partitionBy("log_day", "ingest_epoch")
             .parquet(self.logs_path)
         )
-        last_id = seen.get["last_id"]
-        return first_id if last_id is None else last_id + 1
+        # Without any accepted row there is no metric either.
+        return seen.get["last_id"] + 1 if self._has_epoch(epoch) else first_id
 
     def _write_minutes(self, checked: DataFrame) -> None:
         minute = F.timestamp_micros(
