@@ -3,3 +3,7 @@
 
 class InvalidRequest(ValueError):
     """An argument of an operator is missing or malformed."""
+
+
+class StoreFailed(RuntimeError):
+    """Accepted entries could not be stored; none of them became visible."""

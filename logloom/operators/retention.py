@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from logloom import schema as S
 from logloom.sources.table import LogTable
@@ -59,20 +60,22 @@ def run_catalog_retention(
 
     An empty day is registered with epoch -1, which no append ever uses.
     """
-    partitions: dict[str, list[str]] = {}
-    for row in spark.sql(f"SHOW PARTITIONS {name}").collect():
-        day, epoch = (part.split("=", 1)[1] for part in row.partition.split("/"))
-        partitions.setdefault(day, []).append(epoch)
-    sweep = plan_sweep(sorted(partitions), today, days)
+    parts = spark.sql(f"SHOW PARTITIONS {name}").select(
+        F.regexp_extract("partition", "log_day=([^/]*)", 1).alias("day"),
+        F.regexp_extract("partition", "ingest_epoch=([^/]*)", 1).cast("long").alias("epoch"),
+    )
+    days_present = [row.day for row in parts.select("day").distinct().collect()]
+    sweep = plan_sweep(sorted(days_present), today, days)
     for day in sweep.added:
         spark.sql(
             f"ALTER TABLE {name} ADD IF NOT EXISTS "
             f"PARTITION (log_day='{day}', ingest_epoch=-1)"
         )
     for day in sweep.dropped:
+        # Only equality can be stated here, so the day's epochs are listed.
+        epochs = parts.where(F.col("day") == day).select("epoch").collect()
         specs = ", ".join(
-            f"PARTITION (log_day='{day}', ingest_epoch={int(epoch)})"
-            for epoch in partitions[day]
+            f"PARTITION (log_day='{day}', ingest_epoch={row.epoch})" for row in epochs
         )
         spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {specs}")
     return sweep

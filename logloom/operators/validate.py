@@ -60,7 +60,8 @@ def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
     stored_attributes = (
         F.when(variants.is_absent(attributes), variants.empty_object())
         .when(
-            variants.needs_rounding(F.col("attributes_class")), variants.round_numbers("raw.attributes")
+            variants.needs_rounding(F.col("attributes_class")),
+            variants.round_numbers("raw.attributes"),
         )
         .otherwise(attributes)
     )
@@ -83,7 +84,7 @@ def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
         .withColumns(values)
     )
     reason = F.when(F.col("index").isNotNull(), _reason(now))
-    return typed.select(
+    checked = typed.select(
         "batch_id",
         "error",
         "index",
@@ -94,6 +95,15 @@ def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
         "message",
         stored_attributes.alias("attributes"),
     )
+    # The counts show in a stream's progress. They also keep a later filter on the
+    # verdict from being moved below this point, where it would validate every entry
+    # a second time.
+    return checked.observe(
+        "entries",
+        F.count("index").alias("received"),
+        F.count_if(is_accepted()).alias("accepted"),
+        F.count("reason").alias("rejected"),
+    )
 
 
 def is_accepted() -> Column:

@@ -58,7 +58,8 @@ def _register_counts(name: str, where: str = "TRUE", **params: str) -> None:
     request = aggregate.parse_aggregate_request(params)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        logs = views.events_as_logs(spark, sf_dir, request.span)
+        by_attribute = bool(request.filters.attributes)
+        logs = views.events_as_logs(spark, sf_dir, request.span, by_attribute)
         return aggregate.render(aggregate.count_rows(logs, request))
 
     since, until = params["since"].rstrip("Z"), params["until"].rstrip("Z")
@@ -215,7 +216,7 @@ _register_attributes(
 
 _register(
     "filter_q_literal_underscore",
-    lambda spark, sf_dir: views.events_as_logs(spark, sf_dir)
+    lambda spark, sf_dir: views.events_as_logs(spark, sf_dir, attributes=False)
     .where(filter_condition(LogFilter(q="R_1")))
     .select("id", "message"),
     f"WITH {_LOGS} SELECT id, message FROM logs WHERE contains(message, 'r_1')",
@@ -507,6 +508,6 @@ _register(
     .reconcile()
     .agg(*[F.sum(c).alias(c) for c in ("accepted", "visible", "difference")]),
     f"""WITH {_LOGS}, {_FATE}
-SELECT count(*) AS accepted, count(*) AS visible, 0 AS difference
+SELECT count(*) AS accepted, count(*) AS visible, CAST(0 AS BIGINT) AS difference
 FROM fate WHERE reason IS NULL""",
 )

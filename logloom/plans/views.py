@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.timestamps import instant
@@ -21,8 +21,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
 
 
+def _parsed_once(json: Column) -> Column:
+    """A variant from JSON text, parsed once per row.
+
+    As a plain column, every mention of it in a filter would parse the text again.
+    """
+    return F.explode(F.array(F.parse_json(json)))
+
+
 def events_as_logs(
-    spark: SparkSession, sf_dir: str, span: TimeRange = TimeRange()
+    spark: SparkSession,
+    sf_dir: str,
+    span: TimeRange = TimeRange(),
+    attributes: bool = True,
 ) -> DataFrame:
     """Events as log rows, cut to milliseconds.
 
@@ -35,18 +46,16 @@ def events_as_logs(
         bounds.append(F.col("ts") >= instant(span.since).cast("timestamp_ntz"))
     if span.until is not None:
         bounds.append(F.col("ts") < instant(span.until).cast("timestamp_ntz"))
-    return (
-        events(spark, sf_dir)
-        .where(all_of(bounds))
-        .select(
-            F.col("event_id").alias("id"),
-            F.timestamp_millis(F.unix_millis(stored)).alias("timestamp"),
-            F.expr(_LEVEL).alias("level"),
-            F.expr(_SERVICE).alias("service"),
-            F.expr(_MESSAGE).alias("message"),
-            F.parse_json("props").alias("attributes"),
-        )
-    )
+    columns = [
+        F.col("event_id").alias("id"),
+        F.timestamp_millis(F.unix_millis(stored)).alias("timestamp"),
+        F.expr(_LEVEL).alias("level"),
+        F.expr(_SERVICE).alias("service"),
+        F.expr(_MESSAGE).alias("message"),
+    ]
+    if attributes:
+        columns.append(_parsed_once(F.col("props")).alias("attributes"))
+    return events(spark, sf_dir).where(all_of(bounds)).select(columns)
 
 
 def events_with_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +68,11 @@ def events_with_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("user_"), "user_id").alias("user.name"),
         F.col("user_id").cast("string").alias("user's id"),
     )
-    rows = events(spark, sf_dir).withColumn("attributes", F.parse_json(F.to_json(fields)))
-    return rows.select(
+    return events(spark, sf_dir).select(
         F.col("event_id").alias("id"),
         F.expr(_SERVICE).alias("service"),
         F.expr(_MESSAGE).alias("message"),
-        "attributes",
+        _parsed_once(F.to_json(fields)).alias("attributes"),
     )
 
 

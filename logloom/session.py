@@ -28,7 +28,7 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 
     Only a session without that setting (a test on one machine) gets a local one.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")

@@ -19,6 +19,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Iterable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom import schema as S
+from logloom.errors import StoreFailed
 from logloom.functions.timestamps import day_of, day_of_ms, parse_instant
 from logloom.operators import aggregate, listing, validate
 from logloom.operators.filters import TimeRange, day_condition, time_condition
@@ -152,12 +154,6 @@ class LogTable:
                 self.folders.remove(f"{data}/{name}/ingest_epoch={epoch}")
         self.folders.remove(f"{self.ledger_path}/ingest_epoch={epoch}")
 
-    def _has_epoch(self, epoch: int) -> bool:
-        days = reversed(self.folders.children(self.logs_path))
-        return any(
-            self.folders.exists(f"{self.logs_path}/{day}/ingest_epoch={epoch}") for day in days
-        )
-
     # --- writing --------------------------------------------------------------
 
     def append(
@@ -179,16 +175,31 @@ class LogTable:
         checked = checked.withColumn("ingest_epoch", F.lit(epoch).cast("long"))
         checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            next_id = self._write_logs(checked, epoch, last.next_id)
-            self._write_minutes(checked)
-            self._write_ledger(checked, epoch)
+            next_id = self._write_epoch(checked, epoch, last.next_id)
+            commit = Commit(epoch, next_id)
+            self._commit(commit, source, batch)
+        except Exception as error:
+            raise StoreFailed(S.STORE_FAILED) from error
         finally:
             checked.unpersist()
-        commit = Commit(epoch, next_id)
-        self._commit(commit, source, batch)
         return commit
 
-    def _write_logs(self, checked: DataFrame, epoch: int, first_id: int) -> int:
+    def _write_epoch(self, checked: DataFrame, epoch: int, first_id: int) -> int:
+        """Write the three outputs side by side; returns the next free id."""
+        # This job fills the cache, which the writers then share.
+        has_rows = checked.where(validate.is_accepted()).count() > 0
+        with ThreadPoolExecutor(max_workers=3) as writers:
+            ledger = writers.submit(self._write_ledger, checked, epoch)
+            if has_rows:
+                minutes = writers.submit(self._write_minutes, checked)
+                logs = writers.submit(self._write_logs, checked, first_id)
+        ledger.result()
+        if not has_rows:
+            return first_id
+        minutes.result()
+        return logs.result()
+
+    def _write_logs(self, checked: DataFrame, first_id: int) -> int:
         seen = Observation()
         rows = assign_ids(checked.where(validate.is_accepted()), first_id)
         rows = rows.observe(seen, F.max("id").alias("last_id"))
@@ -204,10 +215,11 @@ class LogTable:
             .partitionBy("log_day", "ingest_epoch")
             .parquet(self.logs_path)
         )
-        # Without any accepted row there is no metric either.
-        return seen.get["last_id"] + 1 if self._has_epoch(epoch) else first_id
+        return seen.get["last_id"] + 1
 
     def _write_minutes(self, checked: DataFrame) -> None:
+        # Counts of an epoch are few: at most minutes x services x levels a day, however
+        # many rows the day has. So one task can write a day, and a day gets one file.
         minute = F.timestamp_micros(
             F.unix_micros("timestamp") - F.pmod(F.unix_micros("timestamp"), F.lit(60000000))
         )
@@ -216,7 +228,7 @@ class LogTable:
             .groupBy("log_day", "ingest_epoch", minute.alias("minute"), "service", "level")
             .agg(F.count(F.lit(1)).alias("count"))
             .select(S.MINUTE_COUNTS.fieldNames())
-            .hint("rebalance", "log_day")
+            .repartition("log_day")
             .sortWithinPartitions("log_day", "ingest_epoch", "minute")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -336,6 +348,12 @@ class LogTable:
         request = listing.parse_list_request(params or {})
         return listing.fetch_page(request, self.scan, self._lower_bounds(request))
 
+    def export(self, params: Mapping[str, object]) -> DataFrame:
+        """Every matching row, rendered and in page order, as one distributed sort."""
+        request = listing.parse_list_request({k: v for k, v in params.items() if k != "limit"})
+        span = TimeRange(request.span.since, listing.request_end(request))
+        return listing.export(self.scan(span), params)
+
     def aggregate(self, params: Mapping[str, object]) -> DataFrame:
         """Bucket counts, from the counts per minute wherever these are enough."""
         request = aggregate.parse_aggregate_request(params)

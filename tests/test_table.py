@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import NOW, TODAY, batches, body, entry
+from logloom.errors import StoreFailed
 from logloom.functions.timestamps import parse_instant
 from logloom.operators import aggregate, listing
 from logloom.operators.filters import LogFilter, TimeRange, filter_condition
@@ -82,12 +83,12 @@ def test_a_failed_attempt_is_invisible_and_replaced(spark, table, now, monkeypat
     ingest(table, good, now)
 
     def fail(*args):
-        raise RuntimeError("executor lost")
+        raise RuntimeError("executor lost")  # stands for any failure of a job
 
     other = batches(spark, body(*[entry(timestamp=at(d)) for d in ("2026-07-17", "2020-01-01")]))
     with monkeypatch.context() as patch:
         patch.setattr(table, "_write_ledger", fail)
-        with pytest.raises(RuntimeError):
+        with pytest.raises(StoreFailed, match="^internal error while storing logs$"):
             ingest(table, other, now)
     assert spark.read.parquet(table.logs_path).count() == 4, "the attempt did write rows"
     assert table.scan().count() == 2 and table.ledger().count() == 1
@@ -173,6 +174,7 @@ def test_table_pages_equal_one_sorted_read(busy, params):
     assert [record["id"] for page in pages for record in page.logs] == whole
     first = listing.list_logs(everything, params)
     assert pages[0] == first
+    assert [row["id"] for row in busy.export(params).collect()] == whole
     everything.unpersist()
 
 
@@ -229,3 +231,35 @@ def test_output_files_follow_the_size_of_a_day(spark, busy):
 def test_two_handles_see_the_same_table(spark, busy):
     other = LogTable(spark, busy.root)
     assert other.scan().count() == 1200 and other.last_commit() == busy.last_commit()
+
+
+def test_a_hot_day_is_split_over_tasks_and_files(spark, table, now):
+    """Nearly all rows on one day: the writer splits the day instead of one long task."""
+    packed = spark.range(40, numPartitions=8).select(
+        F.col("id").alias("batch"),
+        F.concat(
+            F.lit('{"logs":['),
+            F.array_join(
+                F.transform(
+                    F.sequence(F.lit(1), F.lit(300)),
+                    lambda n: F.concat(
+                        F.lit('{"timestamp":"2026-07-20T10:'),
+                        F.lpad(F.pmod(n, F.lit(60)).cast("string"), 2, "0"),
+                        F.lit(':00Z","level":"info","service":"hot","message":"'),
+                        F.sha2(F.concat_ws("-", "id", n.cast("string")), 512),
+                        F.lit('"}'),
+                    ),
+                ),
+                ",",
+            ),
+            F.lit("]}"),
+        ).alias("body"),
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
+    try:
+        ingest(table, envelopes.from_column(packed, "batch", "body"), now)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert table.scan().select("id").distinct().count() == 12000
+    files = spark.read.parquet(table.logs_path).select("_metadata.file_path").distinct().count()
+    assert files > 2
