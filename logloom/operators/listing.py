@@ -28,6 +28,8 @@ from logloom.operators.filters import (
 )
 
 _LARGEST_ID = 2**63 - 1
+# Frames estimated to be larger are counted before they are listed.
+SINGLE_PASS_BYTES = 4 << 30
 
 
 @dataclass(frozen=True)
@@ -238,13 +240,27 @@ def fetch_page(
     return Page(page, encode_cursor(position))
 
 
-def list_logs(logs: DataFrame, params: Mapping[str, object] | None = None) -> Page:
-    """One page of any DataFrame with the log columns.
+def narrowed(logs: DataFrame, request: ListRequest) -> ListRequest:
+    """The same request, begun where counts say its page begins.
 
-    Every task sends its best rows, so a frame with very many partitions is better
-    listed through the stored table, which narrows the range first.
+    Over much data this reads the few columns the filters need once, and then whole
+    rows only of the hours on the page, instead of a heap of whole rows in every task.
+    Little data is not worth the first step.
     """
-    return fetch_page(parse_list_request(params or {}), lambda _: logs)
+    estimate = logs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) <= SINGLE_PASS_BYTES:
+        return request
+    bound = bound_by_counts(count_hours(logs, request), request.limit + 1)
+    since = request.span.since
+    if bound is None or (since is not None and bound <= since):
+        return request
+    return replace(request, span=TimeRange(bound, request.span.until))
+
+
+def list_logs(logs: DataFrame, params: Mapping[str, object] | None = None) -> Page:
+    """One page of any DataFrame with the log columns."""
+    request = parse_list_request(params or {})
+    return fetch_page(narrowed(logs, request), lambda _: logs)
 
 
 def walk(list_page: Callable[[dict], Page], params: Mapping[str, object]) -> Iterator[Page]:

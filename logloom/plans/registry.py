@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.timestamps import iso_millis, parse_instant
 from logloom.operators import aggregate, listing, retention, validate
-from logloom.operators.filters import LogFilter, filter_condition
+from logloom.operators.filters import LogFilter, TimeRange, filter_condition
 from logloom.plans import views
 from logloom.plans.ingest import check_batches, ingest
 from logloom.session import scratch_path
@@ -104,16 +104,41 @@ _register_counts(
 # --- listing ---------------------------------------------------------------------
 
 
-def _page(number: int, logs: Callable[[SparkSession, str], DataFrame], **params: str) -> Query:
+Logs = Callable[[SparkSession, str, TimeRange], DataFrame]
+
+
+def _events(spark: SparkSession, sf_dir: str, span: TimeRange) -> DataFrame:
+    return views.events_as_logs(spark, sf_dir, span, attributes=False, json=True)
+
+
+def _hourly(spark: SparkSession, sf_dir: str, span: TimeRange) -> DataFrame:
+    """Rows that tie on the timestamp, so that the id decides the order."""
+    until = None if span.until is None else span.until + 3600 * 1000
+    rows = _events(spark, sf_dir, TimeRange(span.since, until))
+    return rows.withColumn("timestamp", F.date_trunc("hour", "timestamp"))
+
+
+def _page(number: int, logs: Logs, **params: str) -> Query:
+    """A page of the listing; only its rows get their attributes parsed."""
+
+    def rows_of(spark: SparkSession, sf_dir: str, request: listing.ListRequest) -> DataFrame:
+        span = TimeRange(request.span.since, listing.request_end(request))
+        return logs(spark, sf_dir, span)
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = logs(spark, sf_dir)
-        wanted = dict(params)
+        wanted, more = dict(params), F.lit(True)
         for _ in range(number):
-            wanted["cursor"] = listing.list_logs(rows, wanted).next_cursor
-            if wanted["cursor"] is None:
-                return _as_text(listing.render(rows.where(F.lit(False))))
+            rows = rows_of(spark, sf_dir, listing.parse_list_request(wanted))
+            keys = rows.withColumn("attributes", F.lit(None).cast("variant"))
+            cursor = listing.list_logs(keys, wanted).next_cursor
+            if cursor is None:
+                more = F.lit(False)
+                break
+            wanted["cursor"] = cursor
         request = listing.parse_list_request(wanted)
-        return _as_text(listing.render(listing.top_rows(rows, request, look_ahead=0)))
+        rows = rows_of(spark, sf_dir, request).where(more)
+        page = listing.top_rows(rows, listing.narrowed(rows, request), look_ahead=0)
+        return _as_text(listing.render(page.withColumn("attributes", F.parse_json("props"))))
 
     return query
 
@@ -127,14 +152,8 @@ SELECT {record} FROM logs WHERE {where}
 ORDER BY {ts} DESC, logs.id DESC LIMIT {size} OFFSET {number * size}"""
 
 
-def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that tie on the timestamp, so that the id decides the order."""
-    rows = views.events_as_logs(spark, sf_dir)
-    return rows.withColumn("timestamp", F.date_trunc("hour", "timestamp"))
-
-
-_register("list_first_page", _page(0, views.events_as_logs), _page_oracle(0, 100))
-_register("list_after_cursor", _page(1, views.events_as_logs), _page_oracle(1, 100))
+_register("list_first_page", _page(0, _events), _page_oracle(0, 100))
+_register("list_after_cursor", _page(1, _events), _page_oracle(1, 100))
 _register(
     "list_ties_after_cursor",
     _page(2, _hourly, limit="250"),
@@ -142,28 +161,35 @@ _register(
 )
 _register(
     "list_filtered",
-    _page(1, views.events_as_logs, service="svc-1", level="debug", q="VIEW BY", limit="40"),
+    _page(1, _events, service="svc-1", level="debug", q="VIEW BY", limit="40"),
     _page_oracle(1, 40, "service = 'svc-1' AND level = 'debug' AND contains(message, 'view by')"),
 )
 
 
-def _register_export(name: str, where: str, **params: str) -> None:
+def _register_matching(name: str, where: str, **params: str) -> None:
+    """All matching records, in no order: a scan without a shuffle."""
+    request = listing.parse_list_request(params)
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        span = listing.parse_list_request(params).span
-        return _as_text(listing.export(views.events_as_logs(spark, sf_dir, span), params))
+        rows = views.events_as_logs(spark, sf_dir, request.span)
+        return _as_text(listing.render(listing.matching(rows, request)))
 
     _register(name, query, f"WITH {_LOGS} SELECT {_RECORD} FROM logs WHERE {where}")
 
 
-_register_export("export_all", "TRUE")
-_register_export("filter_service", "service = 'svc-3'", service="svc-3")
-_register_export("filter_level", "level = 'warn'", level="warn")
-_register_export(
+_register_matching("filter_service", "service = 'svc-3'", service="svc-3")
+_register_matching("filter_level", "level = 'warn'", level="warn")
+_register_matching(
     "filter_time_range",
     "ts >= TIMESTAMP '2024-01-09 22:00:00' AND ts < TIMESTAMP '2024-01-12 03:30:00.500'",
     since="2024-01-10T00:00:00+02:00",
     until="2024-01-12T03:30:00.500Z",
 )
+_register(
+    "export_all",
+    lambda spark, sf_dir: _as_text(listing.export(views.events_as_logs(spark, sf_dir), {})),
+    f"WITH {_LOGS} SELECT {_RECORD} FROM logs",
+)
 
 
 # --- text and attribute filters ----------------------------------------------------
@@ -183,7 +209,6 @@ def _register_text(name: str, q: str, where: str) -> None:
 
 _register_text("filter_q", "LICENSE", "text ILIKE '%license%'")
 _register_text("filter_q_literal_percent", "%", "contains(text, '%')")
-_register_text("filter_q_literal_backslash", "\\", "contains(text, '\\')")
 _register_text("filter_q_empty", "", "text IS NOT NULL")
 
 
@@ -223,6 +248,24 @@ _register(
 )
 
 
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    message = F.concat(F.lit("C:\\logs\\"), "service", F.lit("\\100%_"), "level")
+    return views.events_as_logs(spark, sf_dir, attributes=False).withColumn("message", message)
+
+
+_register(
+    "filter_q_all_specials",
+    lambda spark, sf_dir: _paths(spark, sf_dir)
+    .where(filter_condition(LogFilter(q="S\\SVC-2\\100%_W")))
+    .select("id", "message"),
+    f"""WITH {_LOGS}
+SELECT id, concat('C:\\logs\\', service, '\\100%_', level) AS message FROM logs
+WHERE service = 'svc-2' AND level = 'warn'""",
+)
+
+
 # --- validation --------------------------------------------------------------------
 
 _FATE = """
@@ -451,7 +494,9 @@ WHERE stored_ts >= TIMESTAMP '2024-01-02 00:01:00' AND stored_ts < TIMESTAMP '20
 GROUP BY 1, 2"""
 
 
-def _stored_counts(**extra: str) -> Query:
+def _stored_counts(
+    make_table: Callable[[SparkSession, str], LogTable], **extra: str
+) -> Query:
     params = {
         "since": "2024-01-02T00:01:00Z",
         "until": "2024-01-20T12:00:00Z",
@@ -460,19 +505,17 @@ def _stored_counts(**extra: str) -> Query:
         "group_by": "service",
         **extra,
     }
-    return lambda spark, sf_dir: aggregate.render(
-        _stored_table(spark, sf_dir).aggregate(params)
-    )
+    return lambda spark, sf_dir: aggregate.render(make_table(spark, sf_dir).aggregate(params))
 
 
 _register(
     "stored_counts_from_rows",
-    _stored_counts(q="view"),
+    _stored_counts(_stored_table, q="view"),
     _STORED_COUNTS.replace("WHERE_TEXT", "contains(message, 'view')"),
 )
 _register(
     "stored_counts_from_minutes",
-    _stored_counts(),
+    _stored_counts(_stored_table),
     _STORED_COUNTS.replace("WHERE_TEXT", "TRUE"),
 )
 
@@ -502,6 +545,11 @@ _register(
     lambda spark, sf_dir: _streamed_table(spark, sf_dir).rejects(),
     ORACLES["validate_reject_reasons"],
 )
+_register(
+    "stream_counts_from_minutes",
+    _stored_counts(_streamed_table),
+    ORACLES["stored_counts_from_minutes"],
+)
 _register(
     "reconcile",
     lambda spark, sf_dir: _streamed_table(spark, sf_dir)

@@ -34,11 +34,13 @@ def events_as_logs(
     sf_dir: str,
     span: TimeRange = TimeRange(),
     attributes: bool = True,
+    json: bool = False,
 ) -> DataFrame:
     """Events as log rows, cut to milliseconds.
 
     Bounds of whole milliseconds mean the same before and after the cut, so they are
-    put on the stored column, where the scan can skip row groups by them.
+    put on the stored column, where the scan can skip row groups by them. With
+    ``json``, the unparsed attributes stay as ``props``.
     """
     stored = F.col("ts").cast("timestamp")
     bounds = []
@@ -55,6 +57,8 @@ def events_as_logs(
     ]
     if attributes:
         columns.append(_parsed_once(F.col("props")).alias("attributes"))
+    if json:
+        columns.append(F.col("props"))
     return events(spark, sf_dir).where(all_of(bounds)).select(columns)
 
 

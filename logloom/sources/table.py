@@ -47,12 +47,20 @@ _LOOK_BACK_SECONDS = (60, 3600, 86400)
 _ROW_BITS = 33
 
 
+_STARTED = "started="
+
+
 @dataclass(frozen=True)
 class Commit:
     epoch: int = -1
     next_id: int = 1
 
 
+def _newest(marks: list[re.Match]) -> Commit:
+    found = [Commit(int(mark["epoch"]), int(mark["next_id"])) for mark in marks]
+    return max(found, key=lambda commit: commit.epoch, default=Commit())
+
+
 def assign_ids(rows: DataFrame, first_id: int) -> DataFrame:
     """Give rows unique ids from ``first_id`` on, rising with input order in a task.
 
@@ -128,16 +136,18 @@ class LogTable:
         return [match for match in names if match]
 
     def last_commit(self) -> Commit:
-        found = [Commit(int(m["epoch"]), int(m["next_id"])) for m in self._marks()]
-        return max(found, key=lambda c: c.epoch, default=Commit())
-
-    def last_batch(self, source: str) -> int:
-        """Number of the last committed batch of a stream, or -1."""
-        batches = [int(m["batch"]) for m in self._marks() if m["source"] == source]
-        return max(batches, default=-1)
-
-    def _commit(self, commit: Commit, source: str | None, batch: int | None) -> None:
-        older = self._marks()
+        return _newest(self._marks())
+
+    def _begin(self, epoch: int) -> None:
+        """Note that an epoch is being written; clear what an earlier try has left."""
+        note = f"{self.commits_path}/{_STARTED}{epoch}"
+        if self.folders.exists(note):
+            self._clear_epoch(epoch)
+        self.folders.create(note)
+
+    def _commit(
+        self, commit: Commit, older: list[re.Match], source: str | None, batch: int | None
+    ) -> None:
         name = f"epoch={commit.epoch}.next_id={commit.next_id}"
         if source is not None:
             name += f".source={source}.batch={batch}"
@@ -146,6 +156,9 @@ class LogTable:
         for mark in older:
             if mark["source"] is None or mark["source"] == source:
                 self.folders.remove(f"{self.commits_path}/{mark.group(0)}")
+        for note in self.folders.children(self.commits_path):
+            if note.startswith(_STARTED):
+                self.folders.remove(f"{self.commits_path}/{note}")
 
     def _clear_epoch(self, epoch: int) -> None:
         """Remove what an attempt that never committed may have left."""
@@ -164,11 +177,13 @@ class LogTable:
         ``source`` and ``batch`` identify a micro-batch of a stream; one that is
         already committed is not stored again.
         """
-        last = self.last_commit()
-        if source is not None and batch <= self.last_batch(source):
+        marks = self._marks()
+        last = _newest(marks)
+        stored = [int(mark["batch"]) for mark in marks if source and mark["source"] == source]
+        if stored and batch <= max(stored):
             return last
         epoch = last.epoch + 1
-        self._clear_epoch(epoch)
+        self._begin(epoch)
         # Entries are parsed, validated and routed once for the three outputs.
         log_day = route_day(F.col("timestamp"), self.days())
         checked = checked.withColumn("log_day", log_day)
@@ -177,7 +192,7 @@ class LogTable:
         try:
             next_id = self._write_epoch(checked, epoch, last.next_id)
             commit = Commit(epoch, next_id)
-            self._commit(commit, source, batch)
+            self._commit(commit, marks, source, batch)
         except Exception as error:
             raise StoreFailed(S.STORE_FAILED) from error
         finally:
@@ -218,8 +233,6 @@ class LogTable:
         return seen.get["last_id"] + 1
 
     def _write_minutes(self, checked: DataFrame) -> None:
-        # Counts of an epoch are few: at most minutes x services x levels a day, however
-        # many rows the day has. So one task can write a day, and a day gets one file.
         minute = F.timestamp_micros(
             F.unix_micros("timestamp") - F.pmod(F.unix_micros("timestamp"), F.lit(60000000))
         )
@@ -228,7 +241,7 @@ class LogTable:
             .groupBy("log_day", "ingest_epoch", minute.alias("minute"), "service", "level")
             .agg(F.count(F.lit(1)).alias("count"))
             .select(S.MINUTE_COUNTS.fieldNames())
-            .repartition("log_day")
+            .hint("rebalance", "log_day")
             .sortWithinPartitions("log_day", "ingest_epoch", "minute")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
