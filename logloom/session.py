@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # A repeated JSON key keeps its last value instead of failing the body.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # The default timestamp encoding has no min/max, so no row group could be skipped.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # The table writer leans on adaptive execution to size and split its output.
     "spark.sql.adaptive.enabled": "true",
 }

@@ -335,7 +335,7 @@ class LogTable:
 
         Recent spans first, as most listings end there. Then counts tell where the
         page begins: the stored ones per minute if they know the filters, else the
-        matching rows per hour. Only a request with less than a page of rows in all
+        matching rows per minute. Only a request with less than a page of rows in all
         gets past that, so no attempt ever sends many rows from many tasks.
         """
         end = listing.request_end(request)
@@ -351,7 +351,7 @@ class LogTable:
             whole = TimeRange(span.since, None if end is None else end // 60000 * 60000)
             counts = aggregate.matching_minutes(self.minutes(span), whole, request.filters)
         else:
-            counts = listing.count_hours(self.scan(span), request)
+            counts = listing.count_by_minute(self.scan(span), request)
         bound = listing.bound_by_counts(counts, needed)
         if bound is not None:
             yield bound

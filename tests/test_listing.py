@@ -75,7 +75,7 @@ def test_tokens_in_the_other_alphabet_or_padded():
 @pytest.fixture(scope="module")
 def logs(spark):
     """Two hundred rows, nine to an instant, so pages end between equal instants."""
-    # The instants cross an hour, so that counting per hour has something to decide.
+    # The instants cross hours, so that counting per minute has something to decide.
     rows = spark.range(200).select(
         (F.col("id") * 37 % 200 + 2**53).alias("id"),
         F.timestamp_millis((F.col("id") / 9).cast("long") * 600000 + parse_instant(GOOD["timestamp"])).alias("timestamp"),

@@ -1,6 +1,8 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 from conftest import NOW, TODAY, batches, body, entry
@@ -116,6 +118,14 @@ def test_a_replayed_micro_batch_is_stored_once(spark, table, now):
     assert len(table.folders.children(table.commits_path)) == 3
 
 
+def test_instants_of_any_age_are_stored(spark, table, now):
+    ages = ["0001-01-01T00:00:00.000Z", "1582-10-10T00:00:00.001Z", "1969-12-31T23:59:59.999Z"]
+    ingest(table, batches(spark, body(*[entry(timestamp=t) for t in ages])), now)
+    assert [record["timestamp"] for record in table.list().logs] == ages[::-1]
+    total = table.aggregate({"since": "0001-01-01", "until": "1970-01-01", "bucket": "1d"})
+    assert [row["count"] for row in aggregate.render(total).collect()] == [1, 1, 1]
+
+
 def test_reconcile_finds_what_is_missing(spark, table, now):
     ingest(table, batches(spark, body(entry(), entry(timestamp=at("2026-07-18")))), now)
     table.drop_day("2026-07-18")
@@ -204,6 +214,15 @@ def test_scans_read_the_days_columns_and_rows_they_need(busy):
     assert "message" not in plan.split("ReadSchema")[1]
 
 
+def test_files_are_sorted_and_have_bounds_to_skip_by(busy):
+    for path in Path(busy.logs_path).glob("log_day=2026*/*/*.parquet"):
+        file = parquet.ParquetFile(path)
+        column = file.schema.names.index("timestamp")
+        stats = file.metadata.row_group(0).column(column).statistics
+        stamps = file.read(["timestamp"])["timestamp"].to_pylist()
+        assert stats.has_min_max and stamps == sorted(stamps)
+
+
 def test_attribute_filters_read_one_attribute(busy):
     wanted = filter_condition(LogFilter(attributes={"n": "600"}))
     plan = plan_of(busy.scan().where(wanted).select("message"))
