@@ -32,13 +32,17 @@ def empty_object() -> Column:
     return F.parse_json(F.lit("{}"))
 
 
-def member(value: Column, key: str) -> Column:
-    """Value of one key of an object, whatever characters the key has."""
-    if "'" not in key:
-        return F.try_variant_get(value, f"$['{key}']", "variant")
-    if '"' not in key:
-        return F.try_variant_get(value, f'$["{key}"]', "variant")
-    return value.try_cast("map<string,variant>").getItem(F.lit(key))
+def member(value: Column, key: str, as_type: str = "variant") -> Column:
+    """Value of one key of an object, whatever characters the key has.
+
+    A path goes straight to the key and lets a scan read just that key; only a key
+    with both kinds of quotes has no path.
+    """
+    for quote in "'\"":
+        if quote not in key:
+            return F.try_variant_get(value, f"$[{quote}{key}{quote}]", as_type)
+    found = value.try_cast("map<string,variant>").getItem(F.lit(key))
+    return F.try_variant_get(found, "$", as_type)
 
 
 # --- flat attribute objects ---------------------------------------------------
@@ -203,23 +207,22 @@ def exact_number(text: str) -> float | None:
     return number
 
 
-def equals_text(value: Column, text: str) -> Column:
-    """True if the stored value, read as text, is ``text``.
+def equals_text(attributes: Column, key: str, text: str) -> Column:
+    """True if the value stored under ``key``, read as text, is ``text``.
 
-    The argument decides which kinds of value can match, so nothing is converted
-    per row: each branch compares one typed value and is guarded by its type.
+    The argument decides which kinds of value can match, so nothing is converted to
+    text per row: each branch compares one typed value. Its kind is looked at only
+    where that value is equal, to tell 3 from "3" and the like.
     """
-    name = kind(value)
-    matches = (name == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(text))
+    name = kind(member(attributes, key))
+    matches = (member(attributes, key, "string") == F.lit(text)) & (name == "STRING")
     if text in ("true", "false"):
         wanted = F.lit(text == "true")
-        matches |= (name == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == wanted)
+        matches |= (member(attributes, key, "boolean") == wanted) & (name == "BOOLEAN")
     number = exact_number(text)
     if number is not None:
-        matches |= is_number(name) & (
-            F.try_variant_get(value, "$", "double") == F.lit(number)
-        )
+        matches |= (member(attributes, key, "double") == F.lit(number)) & is_number(name)
     if text in ("Infinity", "-Infinity"):
         # A number too large for a double is stored as null.
-        matches |= F.is_variant_null(value)
+        matches |= F.is_variant_null(member(attributes, key))
     return F.coalesce(matches, F.lit(False))

@@ -101,7 +101,7 @@ def filter_condition(wanted: LogFilter) -> Column:
     if wanted.q is not None:
         conditions.append(contains_ignoring_case(F.col("message"), wanted.q))
     for key, text in wanted.attributes.items():
-        conditions.append(variants.equals_text(variants.member(F.col("attributes"), key), text))
+        conditions.append(variants.equals_text(F.col("attributes"), key, text))
     return all_of(conditions)
 
 

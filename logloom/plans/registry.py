@@ -212,9 +212,14 @@ _register_text("filter_q_literal_percent", "%", "contains(text, '%')")
 _register_text("filter_q_empty", "", "text IS NOT NULL")
 
 
-def _register_attributes(name: str, wanted: dict[str, str], where: str) -> None:
+def _register_attributes(
+    name: str,
+    wanted: dict[str, str],
+    where: str,
+    view: Callable[[SparkSession, str], DataFrame] = views.events_with_attributes,
+) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        logs = views.events_with_attributes(spark, sf_dir)
+        logs = view(spark, sf_dir)
         return logs.where(filter_condition(LogFilter(attributes=wanted))).select(
             "id", "service", "message"
         )
@@ -223,7 +228,10 @@ def _register_attributes(name: str, wanted: dict[str, str], where: str) -> None:
 
 
 _register_attributes(
-    "filter_attr_number", {"k": "69"}, "json_extract_string(props, '$.k') = '69'"
+    "filter_attr_number",
+    {"k": "69"},
+    "json_extract_string(props, '$.k') = '69'",
+    views.events_as_logs,
 )
 _register_attributes("filter_attr_decimal", {"value": "12.5"}, "value = 12.5")
 _register_attributes("filter_attr_whole_decimal", {"value": "12"}, "value = 12")
