@@ -337,6 +337,25 @@ _register(
 )
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches = envelopes.from_column(views.document_batches(spark, sf_dir), "batch_id", "body")
+    accepted = validate.accepted(check_batches(batches, _now()))
+    return accepted.select(
+        "batch_id", "index", "service", "message", F.to_json("attributes").alias("attributes")
+    )
+
+
+_register(
+    "validate_documents",
+    _documents,
+    """SELECT CAST(doc_id // 20 AS VARCHAR) AS batch_id,
+  CAST(row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS INTEGER) AS index,
+  source AS service, text AS message,
+  concat('{"doc_id":', doc_id, ',"lang":"', lang, '","n_chars":', n_chars, '}') AS attributes
+FROM documents WHERE regexp_matches(text, '\\S')""",
+)
+
+
 def _summary_as_text(summary: DataFrame) -> DataFrame:
     lines = F.transform(
         "rejected", lambda r: F.concat(r["index"].cast("string"), F.lit(":"), r["reason"])

@@ -157,6 +157,30 @@ def event_batches(spark: SparkSession, sf_dir: str, faults: bool = True) -> Data
     )
 
 
+DOCUMENTS_PER_BATCH = 20
+
+
+def document_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``batch_id, body``: whole documents as messages, twenty to a batch."""
+    entry = F.struct(
+        F.lit("2024-02-01T00:00:00.000Z").alias("timestamp"),
+        F.lit("info").alias("level"),
+        F.col("source").alias("service"),
+        F.col("text").alias("message"),
+        F.struct("doc_id", "lang", "n_chars").alias("attributes"),
+    )
+    packed = (
+        prepare(spark)
+        .read.parquet(f"{sf_dir}/documents.parquet")
+        .groupBy(F.expr(f"doc_id DIV {DOCUMENTS_PER_BATCH}").alias("batch"))
+        .agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("entry")))).alias("items"))
+    )
+    return packed.select(
+        F.col("batch").cast("string").alias("batch_id"),
+        F.to_json(F.struct(F.col("items.entry").alias("logs"))).alias("body"),
+    )
+
+
 def broken_event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same batches with every way a whole body can be wrong."""
     number = F.col("batch_id").cast("long") % 10

@@ -82,7 +82,8 @@ def assign_ids(rows: DataFrame, first_id: int) -> DataFrame:
 def route_day(instant: Column, days: Iterable[str]) -> Column:
     """The partition of an instant: its day if that has one, else ``default``."""
     day = day_of(instant)
-    return F.when(day.isin(*days), day).otherwise(S.DEFAULT_DAY)
+    # Never null, so the writer keeps the order rows are sorted in.
+    return F.coalesce(F.when(day.isin(*days), day), F.lit(S.DEFAULT_DAY))
 
 
 def seed_days(today: dt.date) -> list[str]:

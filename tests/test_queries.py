@@ -36,3 +36,17 @@ def test_same_rows_as_sql(spark, oracle, name):
 
 def test_entry(spark):
     assert spark_entry.entry(spark).columns == ["start", "group", "count"]
+
+
+# These make a stored table first, so only the plan of their last step could be seen.
+_ON_A_TABLE = ("stored", "stream", "retention", "reconcile")
+
+
+@pytest.mark.parametrize(
+    "name", [name for name in spark_entry.queries() if not name.startswith(_ON_A_TABLE)]
+)
+def test_plan_is_native_and_has_no_bottleneck(spark, name):
+    frame = spark_entry.queries()[name](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for bad in ("EvalPython", "InPandas", "CartesianProduct", "NestedLoop", "SinglePartition"):
+        assert bad not in plan

@@ -12,7 +12,7 @@ from logloom.operators import aggregate, listing
 from logloom.operators.filters import LogFilter, TimeRange, filter_condition
 from logloom.plans.ingest import check_batches, ingest
 from logloom.sources import envelopes
-from logloom.sources.table import Commit, LogTable
+from logloom.sources.table import Commit, LogTable, route_day
 
 
 def at(day, time="11:00:00.000"):
@@ -214,6 +214,11 @@ def test_scans_read_the_days_columns_and_rows_they_need(busy):
     assert "message" not in plan.split("ReadSchema")[1]
 
 
+def test_the_day_of_a_row_is_never_null(spark):
+    frame = spark.range(1).select(route_day(F.current_timestamp(), []).alias("log_day"))
+    assert not frame.schema["log_day"].nullable
+
+
 def test_files_are_sorted_and_have_bounds_to_skip_by(busy):
     for path in Path(busy.logs_path).glob("log_day=2026*/*/*.parquet"):
         file = parquet.ParquetFile(path)
