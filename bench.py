@@ -1,8 +1,9 @@
 """Times of the headline jobs over the tables in $BENCH_SF_DIR, as one JSON line.
 
 Every job runs several times; ``queries`` has the median and ``first_run`` the first
-time, which includes compiling its plan. ``ingest_logs_per_sec`` compares with logs
-per second of an ingest service; the ``stored_*`` jobs run on the table it made.
+time, which includes compiling its plan. ``load_logs_per_sec`` compares with the logs
+per second of an ingest service, ``stored_counts_last_5_minutes`` with the time of its
+aggregate; the ``stored_*`` jobs run on the table that ``ingest_batch`` made.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from logloom.streaming.ingest import start_ingest
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+LOAD_COPIES = 10
 REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 
 REGISTERED = [
@@ -69,14 +71,22 @@ def main() -> None:
             times.setdefault(name, []).append(time.perf_counter() - start)
         return result
 
-    inbox = scratch_path(spark, "bench-inbox")
+    inbox, load = scratch_path(spark, "bench-inbox"), scratch_path(spark, "bench-load")
     lines = F.concat("batch_id", F.lit("\t"), "body").alias("value")
-    views.event_batches(spark, SF_DIR, faults=False).select(lines).write.text(inbox)
+    batches = views.event_batches(spark, SF_DIR, faults=False)
+    batches.select(lines).write.text(inbox)
+    # Every batch ten times over, each time under its own id: at sf0.1 the size of the
+    # data set the service was measured with.
+    copies = F.explode(F.sequence(F.lit(1), F.lit(LOAD_COPIES))).alias("copy")
+    copied = batches.select(copies, "batch_id", "body").withColumn(
+        "batch_id", F.concat_ws("-", "copy", "batch_id")
+    )
+    copied.repartition(2 * int(CPUS)).select(lines).write.text(load)
     entries = views.events(spark, SF_DIR).count()
 
-    def ingest_batch():
+    def ingest_batch(folder=inbox):
         table = _new_table(spark)
-        ingest(table, envelopes.read_lines(spark, inbox), _now())
+        ingest(table, envelopes.read_lines(spark, folder), _now())
         return table
 
     def ingest_stream():
@@ -88,6 +98,7 @@ def main() -> None:
 
     table = measure("ingest_batch", ingest_batch)
     measure("ingest_stream", ingest_stream)
+    measure("ingest_load", lambda: ingest_batch(load))
 
     month = {"since": "2024-01-01T00:00:00Z", "until": "2024-02-01T00:00:00Z"}
     recent = {"since": "2024-01-30T23:54:00Z", "until": "2024-01-30T23:59:00Z", "bucket": "1m"}
@@ -123,6 +134,7 @@ def main() -> None:
                 "first_run": {name: round(runs[0], 3) for name, runs in times.items()},
                 "entries": entries,
                 "ingest_logs_per_sec": round(entries / medians["ingest_batch"]),
+                "load_logs_per_sec": round(entries * LOAD_COPIES / medians["ingest_load"]),
                 "stream_logs_per_sec": round(entries / medians["ingest_stream"]),
                 "sf": SF_DIR.rstrip("/").rsplit("sf", 1)[-1],
                 "cpus": int(CPUS),

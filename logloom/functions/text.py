@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 # Fixed value: the characters that count as white space when testing for blank.
 _NOT_BLANK = r"[^\t\n\x0B\f\r\x{FEFF}\x{2028}\x{2029}\p{Zs}]"
 _BLANK_ON_DRIVER = re.compile(
-    "[\t\n\x0b\f\r    -     　﻿]*"
+    "[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]*"
 )
 
 

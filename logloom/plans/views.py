@@ -104,7 +104,7 @@ _FAULTS = {
     5: {"level": '"critical"'},
     6: {"service": '"   "'},
     7: {"service": "7"},
-    8: {"message": '" "'},
+    8: {"message": '"\u00a0"'},
     9: {"attributes": '{"n":{"a":1}}'},
     10: {"attributes": '{"a":null}'},
     12: {"attributes": None},

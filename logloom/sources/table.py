@@ -46,7 +46,7 @@ _LOOK_BACK_SECONDS = (60, 3600, 86400)
 # Where a task number ends and a row number begins in Spark's per-task row ids.
 _ROW_BITS = 33
 
-
+# Names the epoch that is being written.
 _STARTED = "started="
 
 

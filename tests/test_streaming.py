@@ -109,8 +109,10 @@ def test_stream_of_lines(spark, tmp_path, table, now):
     inbox.mkdir()
     lines = [f"batch-{n}\t{text}" for n, text in enumerate(bodies(0, 5))]
     (inbox / "part").write_text("\n".join(lines))
-    run(table, envelopes.stream_lines(spark, str(inbox)), tmp_path / "checkpoint", now)
+    query = run(table, envelopes.stream_lines(spark, str(inbox)), tmp_path / "checkpoint", now)
     assert len(content(table)) == 10
+    counts = query.lastProgress.observedMetrics["entries"].asDict()
+    assert counts == {"received": 20, "accepted": 10, "rejected": 10}
     assert {r.batch_id for r in table.ledger().collect()} == {f"batch-{n}" for n in range(5)}
 
 

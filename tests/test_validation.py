@@ -46,8 +46,8 @@ ENTRIES = [
     (entry(service=7), S.SERVICE_BLANK),
     (entry(service=" padded "), None),
     (entry(message=None), S.MESSAGE_BLANK),
-    (entry(message="  ﻿ 　"), S.MESSAGE_BLANK),
-    (entry(message="​"), None),
+    (entry(message="\u00a0\u2003\ufeff\u2028\u3000"), S.MESSAGE_BLANK),
+    (entry(message="\u200b"), None),
     (entry(message=["x"]), S.MESSAGE_BLANK),
     (entry(attributes=...), None),
     (entry(attributes=None), None),
