@@ -121,23 +121,27 @@ def _hourly(spark: SparkSession, sf_dir: str, span: TimeRange) -> DataFrame:
 def _page(number: int, logs: Logs, **params: str) -> Query:
     """A page of the listing; only its rows get their attributes parsed."""
 
-    def rows_of(spark: SparkSession, sf_dir: str, request: listing.ListRequest) -> DataFrame:
-        span = TimeRange(request.span.since, listing.request_end(request))
-        return logs(spark, sf_dir, span)
-
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def without_attributes(span: TimeRange) -> DataFrame:
+            rows = logs(spark, sf_dir, span)
+            return rows.withColumn("attributes", F.lit(None).cast("variant"))
+
+        def begin(wanted: dict) -> listing.ListRequest:
+            request = listing.parse_list_request(wanted)
+            span = TimeRange(request.span.since, listing.request_end(request))
+            return listing.narrowed(without_attributes(span), request)
+
         wanted, more = dict(params), F.lit(True)
         for _ in range(number):
-            rows = rows_of(spark, sf_dir, listing.parse_list_request(wanted))
-            keys = rows.withColumn("attributes", F.lit(None).cast("variant"))
-            cursor = listing.list_logs(keys, wanted).next_cursor
+            cursor = listing.fetch_page(begin(wanted), without_attributes).next_cursor
             if cursor is None:
                 more = F.lit(False)
                 break
             wanted["cursor"] = cursor
-        request = listing.parse_list_request(wanted)
-        rows = rows_of(spark, sf_dir, request).where(more)
-        page = listing.top_rows(rows, listing.narrowed(rows, request), look_ahead=0)
+        request = begin(wanted)
+        span = TimeRange(request.span.since, listing.request_end(request))
+        rows = logs(spark, sf_dir, span).where(more)
+        page = listing.top_rows(rows, request, look_ahead=0)
         return _as_text(listing.render(page.withColumn("attributes", F.parse_json("props"))))
 
     return query
