@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as spark_entry
 from logloom.operators import listing
+from logloom.plans.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = sorted(path.stem for path in Path(SF_DIR).glob("*.parquet"))
@@ -24,17 +25,22 @@ def in_order(rows):
     return sorted(rows, key=lambda row: [(value is None, str(value)) for value in row])
 
 
-@pytest.mark.parametrize("name", list(spark_entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_rows_as_sql(spark, oracle, name):
-    frame = spark_entry.queries()[name](spark, SF_DIR)
+    frame = QUERIES[name](spark, SF_DIR)
     columns = sorted(frame.columns)
-    relation = oracle.sql(spark_entry.oracle_sql()[name])
+    relation = oracle.sql(ORACLES[name])
     assert sorted(relation.columns) == columns
     places = [relation.columns.index(column) for column in columns]
     expected = [tuple(row[place] for place in places) for row in relation.fetchall()]
     assert in_order(map(tuple, frame.select(columns).collect())) == in_order(expected)
 
 
+def test_registered_in_the_entry():
+    assert QUERIES.items() <= spark_entry.queries().items()
+    assert ORACLES.items() <= spark_entry.oracle_sql().items()
+
+
 def test_entry(spark):
     assert spark_entry.entry(spark).columns == ["start", "group", "count"]
 
@@ -44,10 +50,10 @@ _ON_A_TABLE = ("stored", "stream", "retention", "reconcile")
 
 
 @pytest.mark.parametrize(
-    "name", [name for name in spark_entry.queries() if not name.startswith(_ON_A_TABLE)]
+    "name", [name for name in QUERIES if not name.startswith(_ON_A_TABLE)]
 )
 def test_plan_is_native_and_has_no_bottleneck(spark, name):
-    frame = spark_entry.queries()[name](spark, SF_DIR)
+    frame = QUERIES[name](spark, SF_DIR)
     plan = frame._jdf.queryExecution().executedPlan().toString()
     for bad in ("EvalPython", "InPandas", "CartesianProduct", "NestedLoop", "SinglePartition"):
         assert bad not in plan
