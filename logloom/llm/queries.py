@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, packing
+from logloom.llm import bpe, exact_dedup, fingerprints, packing, quality, secrets, url_filter
 from logloom.llm.near_dedup import Likeness, near_duplicates
 from logloom.llm.tables import read
 
@@ -41,6 +41,42 @@ def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+@_query("op5_secret_scan")
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_query("op6_document_fingerprints")
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@_query("op7_exact_dedup")
+def _exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id").drop("text_key")
+
+
+ORACLES["op7_exact_dedup"] = exact_dedup.ORACLE
+
+
+@_query("op8_url_filter")
+def _url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    judged = url_filter.judge(pages, url_filter.listed_hosts(pages))
+    return judged.withColumnRenamed("id", "page_id")
+
+
+ORACLES["op8_url_filter"] = url_filter.ORACLE
+
+
 @_query("op9_byte_bpe")
 def _byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), RANKS).withColumnRenamed("id", "doc_id")
+
+
+@_query("op10_quality_classifier")
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id").drop("text_key")
