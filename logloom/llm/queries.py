@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, exact_dedup, fingerprints, packing, quality, secrets, url_filter
+from logloom.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    fingerprints,
+    packing,
+    quality,
+    secrets,
+    toxicity,
+    url_filter,
+)
 from logloom.llm.near_dedup import Likeness, near_duplicates
 from logloom.llm.tables import read
 
@@ -41,6 +51,22 @@ def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+@_query("op3_toxicity")
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+@_query("op4_chat_formatting")
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.calls_of(read(spark, sf_dir, "conversations"))
+    linked = chat.link(calls, results, chat.REPLY)
+    return linked.select("conv_id", "turn", "call_id", "position", "results", "error", "json")
+
+
+ORACLES["op4_chat_formatting"] = chat.ORACLE
+
+
 @_query("op5_secret_scan")
 def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
