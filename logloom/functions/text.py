@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Fixed value: the characters that count as white space when testing for blank.
 _NOT_BLANK = r"[^\t\n\x0B\f\r\x{FEFF}\x{2028}\x{2029}\p{Zs}]"
@@ -29,4 +30,5 @@ def escape_like(term: str) -> str:
 
 
 def contains_ignoring_case(value: Column, term: str) -> Column:
-    return value.ilike(f"%{escape_like(term)}%")
+    """True if the term is in the text, character for character but for case."""
+    return F.lower(value).contains(F.lower(F.lit(term)))

@@ -157,18 +157,27 @@ _SCALAR_TEXT = f"""CASE
     WHEN schema_of_variant(x) RLIKE '{_NUMERIC}'
       THEN {_number_sql("try_variant_get(x, '$', 'double')")}
     ELSE try_variant_get(x, '$', 'string') END"""
-# Replaces every array by its elements, an empty one by a null.
-_FLATTEN_ONCE = """flatten(transform(xs, x -> CASE
-    WHEN schema_of_variant(x) NOT LIKE 'ARRAY%' THEN array(x)
-    WHEN size(try_cast(x AS ARRAY<VARIANT>)) = 0 THEN array(parse_json('null'))
-    ELSE try_cast(x AS ARRAY<VARIANT>) END))"""
-_DEPTH = "length(regexp_replace(to_json(v), r'[^\\[]', ''))"
+# Replaces every array by its elements, an empty one by a null, if there is any.
+_FLATTEN_ONCE = """IF(exists(xs, x -> schema_of_variant(x) LIKE 'ARRAY%'),
+    flatten(transform(xs, x -> CASE
+      WHEN schema_of_variant(x) NOT LIKE 'ARRAY%' THEN array(x)
+      WHEN size(try_cast(x AS ARRAY<VARIANT>)) = 0 THEN array(parse_json('null'))
+      ELSE try_cast(x AS ARRAY<VARIANT>) END)), xs)"""
+# How deep brackets are nested, at most as deep as a body may be.
+_DEPTH = """least(1000, aggregate(
+    split(regexp_replace(to_json(v), r'[^\\[\\]]', ''), ''),
+    named_struct('now', 0, 'most', 0),
+    (d, c) -> named_struct(
+      'now', d.now + CASE c WHEN '[' THEN 1 WHEN ']' THEN -1 ELSE 0 END,
+      'most', greatest(d.most, d.now + IF(c = '[', 1, 0))),
+    d -> d.most))"""
 
 
 def value_text(value: str) -> Column:
     """Text of a JSON value (not null) in a variant column.
 
-    Array elements are joined by commas at any depth, nulls among them are empty.
+    Array elements are joined by commas at any depth, nulls among them are empty. Every
+    pass over the elements opens one level of nesting.
     """
     parts = f"aggregate(sequence(0, {_DEPTH}), array(v), (xs, _) -> {_FLATTEN_ONCE})"
     return F.expr(let("v", value, f"concat_ws(',', transform({parts}, x -> {_SCALAR_TEXT}))"))

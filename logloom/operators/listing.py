@@ -28,8 +28,6 @@ from logloom.operators.filters import (
 )
 
 _LARGEST_ID = 2**63 - 1
-# Frames estimated to be larger are counted before they are listed.
-SINGLE_PASS_BYTES = 4 << 30
 
 
 @dataclass(frozen=True)
@@ -84,11 +82,12 @@ def decode_cursor(token: str) -> Position | None:
     if not isinstance(timestamp, str) or not isinstance(row_id, str):
         return None
     ms = parse_instant(timestamp)
-    if ms is None or not re.fullmatch("[0-9]+", row_id) or len(row_id) > 4300:
+    if ms is None or not re.fullmatch("[0-9]+", row_id):
         return None
-    if int(row_id) > _LARGEST_ID:
+    digits = row_id.lstrip("0") or "0"
+    if len(digits) > 19 or int(digits) > _LARGEST_ID:
         return None
-    return Position(ms, int(row_id))
+    return Position(ms, int(digits))
 
 
 # --- arguments -----------------------------------------------------------------
@@ -176,20 +175,21 @@ def _collect(rows: DataFrame) -> list[dict]:
 def bound_by_counts(counts: DataFrame, needed: int) -> int | None:
     """Latest instant since which ``counts`` (``start, count``) add up to ``needed``.
 
-    None if all of them together are fewer. The newest ``needed`` non-empty starts
-    are always enough to tell, so no more than these are collected.
+    The earliest one if all of them together are fewer, None if there are none. The
+    newest ``needed`` non-empty starts are always enough to tell, so no more than these
+    are collected.
     """
-    total = 0
+    total, earliest = 0, None
     for row in (
         counts.select(F.unix_millis("start").alias("ms"), "count")
         .orderBy(F.desc("ms"))
         .limit(needed)
         .collect()
     ):
-        total += row["count"]
+        total, earliest = total + row["count"], row["ms"]
         if total >= needed:
-            return row["ms"]
-    return None
+            break
+    return earliest
 
 
 def count_by_minute(logs: DataFrame, request: ListRequest) -> DataFrame:
@@ -243,13 +243,9 @@ def fetch_page(
 def narrowed(logs: DataFrame, request: ListRequest) -> ListRequest:
     """The same request, begun where counts say its page begins.
 
-    Over much data this reads the few columns the filters need once, and then whole
-    rows only of the minutes on the page, instead of a heap of whole rows in every task.
-    Little data is not worth the first step.
+    This reads the few columns the filters need once, and then whole rows only of the
+    minutes on the page, instead of a heap of whole rows in every task.
     """
-    estimate = logs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) <= SINGLE_PASS_BYTES:
-        return request
     bound = bound_by_counts(count_by_minute(logs, request), request.limit + 1)
     since = request.span.since
     if bound is None or (since is not None and bound <= since):

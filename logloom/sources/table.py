@@ -17,6 +17,7 @@ One writer at a time is assumed; readers need no coordination.
 from __future__ import annotations
 
 import datetime as dt
+import logging
 import re
 from collections.abc import Iterable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
@@ -36,6 +37,7 @@ from logloom.session import prepare
 from logloom.sources.folders import Folders
 
 _DAY = re.compile(r"log_day=([0-9]{4}-[0-9]{2}-[0-9]{2})")
+_LOG = logging.getLogger(__name__)
 _MARK = re.compile(
     r"epoch=(?P<epoch>[0-9]+)\.next_id=(?P<next_id>[0-9]+)"
     r"(\.source=(?P<source>[A-Za-z0-9-]+)\.batch=(?P<batch>[0-9]+))?"
@@ -153,7 +155,14 @@ class LogTable:
         if source is not None:
             name += f".source={source}.batch={batch}"
         self.folders.create(f"{self.commits_path}/{name}")
-        # Keep the newest mark of every stream, so that the list stays short.
+        # From here on the epoch is stored; what is left over does no harm.
+        try:
+            self._tidy(older, source)
+        except Exception:
+            _LOG.warning("old marks could not be removed", exc_info=True)
+
+    def _tidy(self, older: list[re.Match], source: str | None) -> None:
+        """Keep the newest mark of every stream, so that the list stays short."""
         for mark in older:
             if mark["source"] is None or mark["source"] == source:
                 self.folders.remove(f"{self.commits_path}/{mark.group(0)}")
@@ -273,6 +282,9 @@ class LogTable:
 
         Only those days' folders are listed; the same bound is stated on ``log_day``.
         """
+        # The mark comes before the listing: an epoch committed in between may be
+        # missing from the files found, so it must not count as committed.
+        committed = self.last_commit().epoch
         first = "" if span.since is None else day_of_ms(span.since)
         last = "9999-12-31" if span.until is None else day_of_ms(span.until)
         parts = [
@@ -282,7 +294,7 @@ class LogTable:
             or (match := _DAY.fullmatch(name)) and first <= match.group(1) <= last
         ]
         return self._read(path, schema, parts).where(
-            (F.col("ingest_epoch") <= self.last_commit().epoch)
+            (F.col("ingest_epoch") <= committed)
             & day_condition(span.since, span.until)
         )
 
@@ -296,9 +308,10 @@ class LogTable:
 
     def ledger(self) -> DataFrame:
         """One row per received batch: how many entries, which were refused and why."""
-        present = [self.ledger_path] if self.folders.children(self.ledger_path) else []
+        committed = self.last_commit().epoch
+        present = [self.ledger_path] if self.folders.exists(self.ledger_path) else []
         return self._read(self.ledger_path, S.LEDGER, present).where(
-            F.col("ingest_epoch") <= self.last_commit().epoch
+            F.col("ingest_epoch") <= committed
         )
 
     def rejects(self) -> DataFrame:

@@ -87,13 +87,6 @@ def logs(spark):
     return rows.repartition(7).cache()
 
 
-@pytest.fixture(params=["one pass", "counted first"])
-def strategy(request, monkeypatch):
-    if request.param == "counted first":
-        monkeypatch.setattr(listing, "SINGLE_PASS_BYTES", -1)
-
-
-@pytest.mark.usefixtures("strategy")
 @pytest.mark.parametrize("limit", ["23", "200", "201"])
 @pytest.mark.parametrize(
     "params", [{}, {"level": "warn"}, {"since": "2026-07-20T15:10:00Z", "until": "2026-07-20T18:00:00Z"}]

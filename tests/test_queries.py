@@ -4,7 +4,6 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
-from logloom.operators import listing
 from logloom.plans.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -57,9 +56,3 @@ def test_plan_is_native_and_has_no_bottleneck(spark, name):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     for bad in ("EvalPython", "InPandas", "CartesianProduct", "NestedLoop", "SinglePartition"):
         assert bad not in plan
-
-
-@pytest.mark.parametrize("name", ["list_after_cursor", "list_ties_after_cursor", "list_filtered"])
-def test_pages_of_large_frames_are_counted_first(spark, oracle, name, monkeypatch):
-    monkeypatch.setattr(listing, "SINGLE_PASS_BYTES", -1)
-    test_same_rows_as_sql(spark, oracle, name)

@@ -286,3 +286,29 @@ def test_a_hot_day_is_split_over_tasks_and_files(spark, table, now):
     assert table.scan().select("id").distinct().count() == 12000
     files = spark.read.parquet(table.logs_path).select("_metadata.file_path").distinct().count()
     assert files > 2
+
+
+def test_commit_during_a_listing_stays_unseen(spark, table, now, monkeypatch):
+    """A reader whose file list is older than a commit sees nothing of that epoch."""
+    ingest(table, batches(spark, body(entry())), now)
+    read = table._read
+
+    def read_then_commit(path, schema, parts):
+        frame = read(path, schema, parts)
+        monkeypatch.setattr(table, "_read", read)
+        ingest(table, batches(spark, body(entry(), entry())), now)
+        return frame
+
+    monkeypatch.setattr(table, "_read", read_then_commit)
+    assert table.scan().count() == 1
+    assert table.scan().count() == 3
+
+
+def test_failure_after_the_mark_is_not_a_failed_store(spark, table, now, monkeypatch):
+    def fail(*_):
+        raise OSError("no")
+
+    monkeypatch.setattr(table, "_tidy", fail)
+    ingest(table, batches(spark, body(entry())), now)
+    ingest(table, batches(spark, body(entry())), now)
+    assert table.scan().count() == 2

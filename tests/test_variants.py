@@ -83,3 +83,18 @@ def test_number_text_on_driver_reads_back(number):
     text = variants._driver_number_text(number)
     assert float(text) == number
     assert variants.exact_number(text) == number
+
+
+def test_wide_and_deep_values_stay_quick(spark):
+    import time
+
+    wide = "[" + ",".join(["[]"] * 200_000) + "]"
+    deep = "[" * 400 + "]" * 400
+    inside = '["' + "[" * 5000 + '"]'
+    frame = spark.createDataFrame([(text,) for text in (wide, deep, inside)], "json string")
+    begin = time.monotonic()
+    rows = frame.select(F.try_parse_json("json").alias("v")).select(
+        F.length(variants.value_text("v")).alias("size")
+    )
+    assert [row["size"] for row in rows.collect()] == [199_999, 0, 5000]
+    assert time.monotonic() - begin < 30
