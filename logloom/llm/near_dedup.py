@@ -8,9 +8,9 @@ side, give the likelihood of every similarity, and pairs for which the wanted si
 is out of the question go; the others are compared on the whole sets.
 
 Texts with equal sets are one class from the start. Within a bucket nobody is paired with
-everybody: members are compared with one leader per round, and what then still belongs to
-different components is compared across components only. A pair inside a component needs
-no comparison, as it could not change the component; so every link counts.
+everybody: members are first compared with a few leaders; then blocks of nodes that still
+belong to different components are compared. A pair inside a component needs no
+comparison, as it could not change the component; so every link counts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.shingles import Shingler
@@ -41,7 +41,7 @@ class Likeness:
 
     words: int = 5
     percent: int = 80
-    band_rows: int = 4
+    band_rows: int = 6
     miss: float = 1e-7
     base: float = 1.001
     rate: float = 20.0
@@ -223,12 +223,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, likeness: Likeness) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                one, other = (np.frombuffer(own, np.uint64) for own in pair)
-                common = len(np.intersect1d(one, other, assume_unique=True))
-                union = len(one) + len(other) - common
-                linked.append(100 * common >= likeness.percent * union)
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            linked = [_linked(likeness, *pair) for pair in pairs]
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     return with_sets.select("node", "other", "shingles", "others").mapInArrow(
@@ -279,17 +275,25 @@ def _bucket_members(classes: DataFrame) -> DataFrame:
     return rows.join(sizes, "key")
 
 
-def _star(buckets: DataFrame, turn: int) -> DataFrame:
-    """Pairs of every member with its bucket's leader, another leader every turn.
+def _star(buckets: DataFrame, seeds: range) -> DataFrame:
+    """Pairs of every member with each leader of its bucket, one leader per seed.
 
-    ``buckets`` has ``key, node, component``; members of the leader's component are left out.
+    ``buckets`` has ``key, node, component``; pairs inside a component are left out. A seed
+    ranks all nodes alike in every bucket, so that alike buckets have the same leader.
     """
-    rank = F.xxhash64("node", F.lit(turn))
     leaders = buckets.groupBy("key").agg(
-        F.min(F.struct(rank.alias("rank"), "node", "component")).alias("leader")
+        F.array_distinct(
+            F.array(
+                *[
+                    F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("r"), "node", "component"))
+                    for seed in seeds
+                ]
+            )
+        ).alias("leaders")
     )
     return (
         buckets.join(leaders, "key")
+        .select("node", "component", F.explode("leaders").alias("leader"))
         .where(F.col("component") != F.col("leader.component"))
         .select(
             F.least("node", "leader.node").alias("node"),
@@ -299,28 +303,128 @@ def _star(buckets: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def _across(buckets: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket but no component.
+def _blocks(buckets: DataFrame, block: int) -> DataFrame:
+    """``node, component, block, unit``: nodes that share buckets, in blocks of about ``block``.
 
-    Every member is sent once to each later component of its bucket and meets only the
-    members of that component there.
+    A node is at home in its largest bucket. A component with many nodes there has blocks
+    of its own and is one unit; each block of the others is a unit.
     """
-    inside = buckets.select("key", "component").distinct()
-    several = (
-        inside.groupBy("key").count().where("count > 1").select("key")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("members"))
+    homes = (
+        buckets.join(sizes, "key")
+        .groupBy("node", "component")
+        .agg(F.max(F.struct("members", "key"))["key"].alias("home"))
     )
-    rows = buckets.join(several, "key")
-    visits = rows.join(
-        inside.select("key", F.col("component").alias("visited")), "key"
-    ).where("component < visited")
-    hosts = rows.select(
-        "key", F.col("node").alias("other"), F.col("component").alias("visited")
+    counts = homes.groupBy("home", "component").agg(F.count("*").alias("own"))
+    rest = counts.groupBy("home").agg(
+        F.sum(F.when(F.col("own") < block, F.col("own")).otherwise(0)).alias("rest")
     )
+    large = F.col("own") >= block
+
+    def part(count: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / F.lit(block)))
+
     return (
-        visits.join(hosts, ["key", "visited"])
-        .select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
+        homes.join(counts, ["home", "component"])
+        .join(rest, "home")
+        .select(
+            "node",
+            "component",
+            F.when(large, F.xxhash64("home", "component", part("own")))
+            .otherwise(F.xxhash64("home", part("rest")))
+            .alias("block"),
+            large.alias("uniform"),
+        )
+        .withColumn(
+            "unit",
+            F.when(F.col("uniform"), F.xxhash64("component")).otherwise(F.col("block")),
+        )
+    )
+
+
+def _across(
+    buckets: DataFrame, classes: DataFrame, sets: DataFrame, likeness: Likeness, block: int = 256
+) -> DataFrame:
+    """Links between nodes that share a bucket but no component.
+
+    Blocks of nodes meet, not single nodes: a set travels once per pair of blocks, and
+    two blocks of one component never meet. A task compares the sketches of two blocks at
+    once and the whole sets where the sketches leave a link possible.
+    """
+    nodes = stored(_blocks(buckets, block), "blocks")
+    in_bucket = (
+        buckets.select("key", "node").join(nodes, "node").select("key", "unit", "uniform").distinct()
+    )
+    left, right = in_bucket.alias("l"), in_bucket.alias("r")
+    units = (
+        left.join(right, F.col("l.key") == F.col("r.key"))
+        .where("l.unit < r.unit OR (l.unit = r.unit AND NOT l.uniform)")
+        .select(F.col("l.unit").alias("unit"), F.col("r.unit").alias("other_unit"))
         .distinct()
     )
+    of_unit = nodes.select("unit", "block").distinct()
+    meetings = stored(
+        units.join(of_unit, "unit")
+        .join(of_unit.toDF("other_unit", "other_block"), "other_unit")
+        .select("block", "other_block")
+        .distinct()
+        .withColumn("meeting", F.xxhash64("block", "other_block")),
+        "meetings",
+    )
+    parts = max(1, meetings.count() // 8)
+    sides = meetings.select("meeting", "block", F.lit(0).alias("side")).union(
+        meetings.where("block <> other_block").select("meeting", "other_block", F.lit(1))
+    )
+    data = nodes.join(classes.select("node", "n_shingles", "registers"), "node").join(sets, "node")
+    rows = sides.join(data, "block").select(
+        F.pmod("meeting", F.lit(parts)).alias("part"),
+        "meeting", "side", "node", "component", "n_shingles", "registers", "shingles",
+    )
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, own in frame.groupby("meeting"):
+            one = own[own["side"] == 0]
+            other = own[own["side"] == 1]
+            found += _meet(likeness, one, other if len(other) else one)
+        return pd.DataFrame(found, columns=["node", "other"], dtype=object)
+
+    return rows.groupBy("part").applyInPandas(run, "node binary, other binary")
+
+
+def _meet(likeness: Likeness, ones: pd.DataFrame, others: pd.DataFrame) -> list[tuple]:
+    """Links between two blocks, over components."""
+    registers = [
+        np.frombuffer(b"".join(side["registers"]), "<u2").reshape(len(side), -1)
+        for side in (ones, others)
+    ]
+    sizes = [side["n_shingles"].to_numpy(float) for side in (ones, others)]
+    codes = pd.factorize(pd.concat([ones["component"], others["component"]]))[0]
+    fits = codes[: len(ones), None] != codes[None, len(ones) :]
+    low = np.minimum(sizes[0][:, None], sizes[1][None, :])
+    high = np.maximum(sizes[0][:, None], sizes[1][None, :])
+    fits &= low * 100 >= high * likeness.percent
+    if ones is others:
+        fits = np.triu(fits)
+    at, to = np.nonzero(fits)
+    nodes = [side["node"].tolist() for side in (ones, others)]
+    sets = [side["shingles"].tolist() for side in (ones, others)]
+    links = []
+    for begin in range(0, len(at), 1000):
+        i, j = at[begin : begin + 1000], to[begin : begin + 1000]
+        likely = may_link(likeness, registers[0][i], registers[1][j], sizes[0][i], sizes[1][j])
+        for one, other in zip(i[likely].tolist(), j[likely].tolist()):
+            if _linked(likeness, sets[0][one], sets[1][other]):
+                links.append(tuple(sorted((nodes[0][one], nodes[1][other]))))
+    return links
+
+
+def _linked(likeness: Likeness, one: bytes, other: bytes) -> bool:
+    """Whether two whole sets are alike enough."""
+    both = np.concatenate((np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= likeness.percent * (len(both) - common)
 
 
 def _relabelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -340,7 +444,7 @@ def _relabelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(
     documents: DataFrame,
     likeness: Likeness | None = None,
-    turns: int = 2,
+    leaders: int = 4,
     id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -370,19 +474,13 @@ def near_duplicates(
     shared = classes.join(buckets.select("node").distinct(), "node", "left_semi")
     sets = stored(_sets(documents, shared, likeness, id, text), "sets")
 
-    links = tested = labels = None
-    rows = buckets.withColumn("component", F.col("node"))
-    for turn in range(turns + 1):
-        pairs = _star(rows, turn) if turn < turns else _across(rows)
-        if tested is not None:
-            pairs = pairs.join(tested, ["node", "other"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = stored(_confirmed(_likely(pairs, classes, likeness), sets, likeness), "found")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        if turn < turns:
-            rows = stored(_relabelled(buckets, labels), "mixed")
+    alone = buckets.withColumn("component", F.col("node"))
+    pairs = stored(_star(alone, range(leaders)), "pairs")
+    links = stored(_confirmed(_likely(pairs, classes, likeness), sets, likeness), "links")
+    # In a bucket of two, the one pair was among those.
+    mixed = _relabelled(buckets.where("members > 2"), components(links))
+    more = _across(stored(mixed, "mixed"), classes, sets, likeness)
+    labels = components(links.union(stored(more, "links")))
 
     least = (
         classes.join(labels, "node")
