@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 #: Long lanes, modulo 2 ** 62.
 WIDE = 4
 WIDE_MASK = (1 << 62) - 1
-#: Counters modulo 2 ** 15, four in a number of 64 bits, sixteen numbers per hash.
-COUNTER_MASK = 0x7FFF7FFF7FFF7FFF
-BIT_MASK = 0x0001000100010001
+#: Counters modulo 2 ** 20, three in a number with a spare bit each, 21 numbers per hash.
+PLACES = (0, 21, 42)
+COUNTER = (1 << 20) - 1
+COUNTER_MASK = sum(COUNTER << place for place in PLACES)
+BIT_MASK = sum(1 << place for place in PLACES)
+NUMBERS = 21
 HASHES = 2
 #: Where units end, besides at the end of a line.
 UNIT_END = r"(?<=[.!?|])\x20|\n"
@@ -37,24 +40,36 @@ def _sum(hashes: Column, lane, mask: int) -> Column:
     )
 
 
-def vector(text: Column) -> Column:
-    """The lanes of a text's fingerprint, as an array of 64-bit numbers."""
-    own = units(text)
+def with_vector(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds the lanes of the fingerprint of ``text`` as an array of 64-bit numbers.
+
+    Units and their hashes are columns of their own on the way, so that they are made once
+    and not once a lane.
+    """
+    own, wide, bits = f"{name}_units", f"{name}_wide", f"{name}_bits"
 
     def hashes(seed: int) -> Column:
         return F.transform(own, lambda unit: F.xxhash64(unit, F.lit(seed)))
 
-    def bits(shift: int):
+    def shifted(shift: int):
         return lambda value: F.shiftrightunsigned(value, shift).bitwiseAND(F.lit(BIT_MASK))
 
+    columns = rows.columns
+    rows = rows.select("*", units(text).alias(own))
+    rows = rows.select(
+        *columns,
+        F.size(own).cast("long").alias(own),
+        *[hashes(seed).alias(f"{wide}{seed}") for seed in range(WIDE)],
+        *[hashes(-1 - seed).alias(f"{bits}{seed}") for seed in range(HASHES)],
+    )
     lanes = [
-        _sum(hashes(seed), lambda value: value.bitwiseAND(F.lit(WIDE_MASK)), WIDE_MASK)
+        _sum(F.col(f"{wide}{seed}"), lambda value: value.bitwiseAND(F.lit(WIDE_MASK)), WIDE_MASK)
         for seed in range(WIDE)
     ]
     for seed in range(HASHES):
-        lanes += [_sum(hashes(-1 - seed), bits(shift), COUNTER_MASK) for shift in range(16)]
-    lanes.append(F.size(own).cast("long"))
-    return F.array(*lanes)
+        hashed = F.col(f"{bits}{seed}")
+        lanes += [_sum(hashed, shifted(shift), COUNTER_MASK) for shift in range(NUMBERS)]
+    return rows.select(*columns, F.array(*lanes, F.col(own)).alias(name))
 
 
 def fingerprint(lanes: Column) -> Column:
@@ -65,8 +80,8 @@ def fingerprint(lanes: Column) -> Column:
 def combined(one: Column, other: Column, sign: int = 1) -> Column:
     """The vector of both texts' units together; with sign -1, of the first without the
     second's."""
-    count = WIDE + 16 * HASHES
-    masks = F.array(*[F.lit(WIDE_MASK)] * WIDE, *[F.lit(COUNTER_MASK)] * 16 * HASHES)
+    count = WIDE + NUMBERS * HASHES
+    masks = F.array(*[F.lit(WIDE_MASK)] * WIDE, *[F.lit(COUNTER_MASK)] * NUMBERS * HASHES)
 
     def both(place: Column) -> Column:
         mask = F.element_at(masks, place)
@@ -91,7 +106,7 @@ def likeness(one: Column, other: Column) -> Column:
     A counter with its number of units gives the sum of random signs of the units; the mean
     square of such a sum is the number of units, for one text as for what two do not share.
     """
-    first, last = WIDE + 1, WIDE + 16 * HASHES
+    first, last = WIDE + 1, WIDE + NUMBERS * HASHES
 
     def signed(lanes: Column) -> Column:
         """Twice each counter less the number of units."""
@@ -101,8 +116,8 @@ def likeness(one: Column, other: Column) -> Column:
                 F.slice(lanes, first, last - first + 1),
                 lambda lane: F.array(
                     *[
-                        2 * F.shiftrightunsigned(lane, shift).bitwiseAND(F.lit(0x7FFF)) - size
-                        for shift in (0, 16, 32, 48)
+                        2 * F.shiftrightunsigned(lane, place).bitwiseAND(F.lit(COUNTER)) - size
+                        for place in PLACES
                     ]
                 ),
             )
@@ -128,8 +143,9 @@ def fingerprints(documents: DataFrame, id: str = "doc_id", text: str = "text") -
     not read; an empty table gives no rows.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    return documents.select(F.col(id).alias("id"), vector(whole).alias("lanes")).select(
-        "*", fingerprint(F.col("lanes")).alias("fingerprint")
+    rows = documents.select(F.col(id).alias("id"), whole.alias("text"))
+    return with_vector(rows, F.col("text"), "lanes").select(
+        "id", "lanes", fingerprint(F.col("lanes")).alias("fingerprint")
     )
 
 
@@ -201,14 +217,11 @@ def compare_with_next(
         .join(order, F.col("of_id").eqNullSafe(order["id"]))
         .select("of_id", "next_id", "need")
     )
+    given = texts.join(needs, F.col("id").eqNullSafe(F.col("next_id")))
     sent = (
-        texts.join(needs, F.col("id").eqNullSafe(F.col("next_id")))
+        with_vector(given, F.col("text"), "lanes")
         .select(
-            "of_id",
-            F.struct(
-                F.expr("substring(text, 1, need)").alias("head"),
-                vector(F.col("text")).alias("lanes"),
-            ).alias("next"),
+            "of_id", F.struct(F.expr("substring(text, 1, need)").alias("head"), "lanes").alias("next")
         )
         .groupBy("of_id")
         .agg(F.min("next").alias("next"))
@@ -218,17 +231,14 @@ def compare_with_next(
         F.expr("substring(next.head, 1, int(floor(length(text) / 2)))"),
     )
     lanes = texts.join(sent, F.col("id").eqNullSafe(F.col("of_id"))).select(
-        "id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2(edited, 256).alias("edited_sha256"),
-        vector(F.col("text")).alias("lanes"),
-        vector(edited).alias("edited_lanes"),
-        F.col("next.lanes").alias("next_lanes"),
+        "id", "text", edited.alias("edited"), F.col("next.lanes").alias("next_lanes")
     )
+    lanes = with_vector(lanes, F.col("text"), "lanes")
+    lanes = with_vector(lanes, F.col("edited"), "edited_lanes")
     return lanes.select(
         "id",
-        "n_chars",
-        "edited_sha256",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("lanes")).alias("fingerprint"),
         fingerprint(F.col("edited_lanes")).alias("edited_fingerprint"),
         likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
