@@ -98,10 +98,20 @@ def learn_lexicon(labelled: DataFrame) -> list[str]:
         if (n + 0.5) / n_toxic >= LEAST_LIFT * (elsewhere.get(term, 0) + 0.5) / max(n_clean, 1)
     }
 
-    def covered(stem: str) -> bool:
-        return any(stem[:size] + "*" in chosen for size in STEMS if size < len(stem) - 1)
+    # A stem of many words stands for them; a stem of one word adds nothing to it.
+    words = {term for term in chosen if not term.endswith("*")}
+    by_stem: dict[str, int] = {}
+    for word in words:
+        for size in STEMS:
+            stem = word[:size] + "*"
+            by_stem[stem] = max(by_stem.get(stem, 0), frequent[word])
+    stems = {s for s in chosen - words if frequent[s] >= 2 * by_stem.get(s, 0)}
 
-    return sorted(term for term in chosen if not (term.endswith("*") and covered(term)))
+    def begins(term: str) -> bool:
+        own = term.rstrip("*")
+        return any(own[:size] + "*" in stems for size in STEMS if size < len(own))
+
+    return sorted(term for term in words | stems if not begins(term))
 
 
 class Trie:
@@ -111,7 +121,7 @@ class Trie:
 
     def __init__(self, terms: list[str]) -> None:
         self._root: dict = {}
-        self._halves: set[tuple[bool, str]] = set()
+        self._halves: dict[tuple[bool, str], set[int]] = {}
         self._sizes: set[tuple[bool, int]] = set()
         self._stems = {term[:-1] for term in terms if term.endswith("*")}
         self._stem_sizes = sorted({len(stem) for stem in self._stems})
@@ -125,7 +135,8 @@ class Trie:
             if len(term) >= FUZZY_LETTERS:
                 cut = len(term) // 2
                 for front, half in ((True, term[:cut]), (False, term[cut:])):
-                    self._halves.add((front, half))
+                    near = {len(term) - 1, len(term), len(term) + 1}
+                    self._halves.setdefault((front, half), set()).update(near)
                     self._sizes.add((front, len(half)))
 
     def find(self, word: str) -> tuple[str, int] | None:
@@ -141,13 +152,11 @@ class Trie:
             if len(word) > size and word[:size] in self._stems:
                 return word[:size], 1
         # With one edit, one half of the term is whole at its end of the word.
-        if any(
-            (front, word[:size] if front else word[-size:]) in self._halves
-            for front, size in self._sizes
-        ):
-            term = self._one_edit(word)
-            if term:
-                return term, 2
+        for front, size in self._sizes:
+            near = self._halves.get((front, word[:size] if front else word[-size:]))
+            if near and len(word) in near:
+                term = self._one_edit(word)
+                return (term, 2) if term else None
         return None
 
     def _one_edit(self, word: str) -> str | None:
