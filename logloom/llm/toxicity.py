@@ -115,33 +115,49 @@ def learn_lexicon(labelled: DataFrame) -> list[str]:
 
 
 class Trie:
-    """Terms as nested dictionaries, run together with Levenshtein automata."""
+    """Terms as nested dictionaries, run together with Levenshtein automata.
+
+    Where one edit parts a word from a term, one half of the term is whole at its end of the
+    word. The terms that are spelled out as a second trie, from their last letter, let the
+    automaton start below the half that is whole, whichever it is.
+    """
 
     END, STEM = "\0", "*"
 
     def __init__(self, terms: list[str]) -> None:
-        self._root: dict = {}
-        self._halves: dict[tuple[bool, str], set[int]] = {}
-        self._sizes: set[tuple[bool, int]] = set()
-        self._stems = {term[:-1] for term in terms if term.endswith("*")}
+        self._forward: dict = {}
+        self._backward: dict = {}
+        #: Per direction and half: the node below it, and the lengths of words near its terms.
+        self._halves: dict[tuple[bool, str], tuple[dict, set[int]]] = {}
+        self._stems = {term[:-1] for term in terms if term.endswith(self.STEM)}
         self._stem_sizes = sorted({len(stem) for stem in self._stems})
         for term in terms:
-            if term.endswith("*"):
+            if term.endswith(self.STEM):
                 continue
-            node = self._root
-            for letter in term:
-                node = node.setdefault(letter, {})
-            node[self.END] = term
+            half = len(term) // 2
+            self._add(term, term, True, half)
             if len(term) >= FUZZY_LETTERS:
-                cut = len(term) // 2
-                for front, half in ((True, term[:cut]), (False, term[cut:])):
-                    near = {len(term) - 1, len(term), len(term) + 1}
-                    self._halves.setdefault((front, half), set()).update(near)
-                    self._sizes.add((front, len(half)))
+                self._add(term, term[::-1], False, len(term) - half)
+        #: For a word's length, the halves that may be whole in it.
+        self._sizes: dict[int, list[tuple[bool, int]]] = {}
+        for (front, half), (_, lengths) in sorted(self._halves.items(), key=lambda item: item[0]):
+            for length in lengths:
+                sizes = self._sizes.setdefault(length, [])
+                if (front, len(half)) not in sizes:
+                    sizes.append((front, len(half)))
+
+    def _add(self, term: str, letters: str, front: bool, half: int) -> None:
+        node = self._forward if front else self._backward
+        for place, letter in enumerate(letters, 1):
+            node = node.setdefault(letter, {})
+            if place == half and len(term) >= FUZZY_LETTERS:
+                _, near = self._halves.setdefault((front, letters[:half]), (node, set()))
+                near.update(range(len(term) - 1, len(term) + 2))
+        node[self.END] = term
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The term a word is, and how: 0 exact, 1 by its stem, 2 with one edit."""
-        node = self._root
+        node = self._forward
         for letter in word:
             node = node.get(letter)
             if node is None:
@@ -151,17 +167,18 @@ class Trie:
         for size in self._stem_sizes:
             if len(word) > size and word[:size] in self._stems:
                 return word[:size], 1
-        # With one edit, one half of the term is whole at its end of the word.
-        for front, size in self._sizes:
-            near = self._halves.get((front, word[:size] if front else word[-size:]))
-            if near and len(word) in near:
-                term = self._one_edit(word)
-                return (term, 2) if term else None
+        for front, size in self._sizes.get(len(word), ()):
+            letters = word if front else word[::-1]
+            node, near = self._halves.get((front, letters[:size]), (None, ()))
+            if len(word) in near:
+                term = self._one_edit(letters, node, size)
+                if term:
+                    return term, 2
         return None
 
-    def _one_edit(self, word: str) -> str | None:
+    def _one_edit(self, word: str, node: dict, place: int) -> str | None:
         """Walks the trie with the automaton's states: places in the word and edits left."""
-        stack = [(self._root, ((0, 1),))]
+        stack = [(node, ((place, 1),))]
         size = len(word)
         while stack:
             node, states = stack.pop()
