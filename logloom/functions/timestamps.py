@@ -20,9 +20,9 @@ _PLAIN = (
 # Groups: year, month, day, hour, minute, second, fraction, offset.
 _GENERAL = (
     r"^(\d{4})(?:-(0[1-9]|1[0-2])(?:-(0[1-9]|[12]\d|3[01]))?)?"
-    r"(?:[Tt](?:([01]\d|2[0-3]|24(?=:00(?::00(?:\.0+)?)?(?:[Zz+-]|\z)))"
+    r"(?:(?:[Tt]|(?<=-\d\d-\d\d) )(?:([01]\d|2[0-3]|24(?=:00(?::00(?:\.0+)?)?(?:[Zz+-]|\z)))"
     r":([0-5]\d)(?::([0-5]\d)(?:\.(\d+))?)?)"
-    r"([Zz]|[+-](?:[01]\d|2[0-3]):[0-5]\d)?)?\z"
+    r"([Zz]|[+-](?:[01]\d|2[0-3]):?[0-5]\d)?)?\z"
 )
 _GENERAL_ON_DRIVER = re.compile(_GENERAL.replace(r"\z", r"\Z"), re.ASCII)
 
@@ -46,9 +46,9 @@ def _number(group: int, fallback: str) -> str:
 _OFFSET = let(
     "zone",
     _piece(8, "Z"),
-    """IF(length(zone) < 6, 0L,
+    """IF(length(zone) < 5, 0L,
         IF(left(zone, 1) = '-', -1, 1)
-        * (CAST(substr(zone, 2, 2) AS BIGINT) * 60 + CAST(substr(zone, 5, 2) AS BIGINT)))""",
+        * (CAST(substr(zone, 2, 2) AS BIGINT) * 60 + CAST(right(zone, 2) AS BIGINT)))""",
 )
 _GENERAL_MICROS = f"""
     ( ( unix_date(make_date(CAST({_piece(1, "0")} AS INT), CAST({_piece(2, "01")} AS INT), 1))
@@ -116,7 +116,7 @@ def parse_instant(text: str) -> int | None:
     days = _days_since_epoch(int(year), int(month or 1)) + int(day or 1) - 1
     seconds = days * 86400 + int(hour or 0) * 3600 + int(minute or 0) * 60 + int(second or 0)
     if zone and zone not in "Zz":
-        offset = int(zone[1:3]) * 60 + int(zone[4:6])
+        offset = int(zone[1:3]) * 60 + int(zone[-2:])
         seconds -= (offset if zone[0] == "+" else -offset) * 60
     return seconds * 1000 + int((fraction or "0")[:3].ljust(3, "0"))
 

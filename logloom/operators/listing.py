@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import itertools
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
@@ -214,20 +213,23 @@ def request_end(request: ListRequest) -> int | None:
 def fetch_page(
     request: ListRequest,
     scan: Callable[[TimeRange], DataFrame],
-    lower_bounds: Iterable[int] = (),
+    lower_bounds: Iterable[int | None] = (None,),
 ) -> Page:
     """Collect one page (at most ``MAX_LIMIT + 1`` rows).
 
     ``scan`` returns the rows that may lie in a range. ``lower_bounds`` are instants
-    to try first, latest first: if the rows since one of them already fill the page,
-    all older data stays unread. The last attempt has the request's own bound.
+    to try, latest first: if the rows since one of them already fill the page, all
+    older data stays unread. None is the request's own bound; without any bound to
+    try there are no rows.
     """
     end, since = request_end(request), request.span.since
     records: list[dict] = []
-    for bound in itertools.chain(lower_bounds, [None]):
-        if bound is not None and since is not None and bound <= since:
+    tried: list[int | None] = []
+    for bound in lower_bounds:
+        lower = since if bound is None or (since is not None and bound < since) else bound
+        if lower in tried:
             continue
-        lower = since if bound is None else bound
+        tried.append(lower)
         narrowed = replace(request, span=TimeRange(lower, request.span.until))
         records = _collect(top_rows(scan(TimeRange(lower, end)), narrowed))
         if len(records) > request.limit:

@@ -48,7 +48,7 @@ def _reason(now: Column) -> Column:
 def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
     """Add ``reason`` and the typed fields to exploded entries.
 
-    ``entries`` has ``batch_id, error, index, entry``. An entry is accepted exactly
+    ``entries`` has ``batch_id, body_id, error, index, entry``. An entry is accepted exactly
     if ``index`` is set and ``reason`` is NULL. ``now`` defaults to the time of the
     query, which in a stream is the recorded time of the micro-batch.
     """
@@ -78,7 +78,7 @@ def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
     }
     typed = (
         entries.select(
-            "batch_id", "error", "index", F.col("entry").try_cast(_RAW).alias("raw")
+            "batch_id", "body_id", "error", "index", F.col("entry").try_cast(_RAW).alias("raw")
         )
         .withColumns(texts)
         .withColumns(values)
@@ -86,6 +86,7 @@ def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
     reason = F.when(F.col("index").isNotNull(), _reason(now))
     checked = typed.select(
         "batch_id",
+        "body_id",
         "error",
         "index",
         reason.alias("reason"),
@@ -121,15 +122,16 @@ def rejected(checked: DataFrame) -> DataFrame:
 
 
 def summarize(checked: DataFrame) -> DataFrame:
-    """One row per batch: ``batch_id, error, status, accepted, rejected``.
+    """One row per received body: ``batch_id, error, status, accepted, rejected``.
 
-    All rows of a batch come from one body, so the partial aggregate sends one row
-    per batch through the shuffle; the list is bounded by the size of a body.
+    Bodies that share an id are judged each by itself. All rows of a body lie in one
+    task, so the partial aggregate sends one row per body through the shuffle; the
+    list is bounded by the size of a body.
     """
     rejection = F.when(
         F.col("reason").isNotNull(), F.struct(F.col("index"), F.col("reason"))
     )
-    counted = checked.groupBy("batch_id").agg(
+    counted = checked.groupBy("batch_id", "body_id").agg(
         F.max("error").alias("error"),
         F.count_if(is_accepted()).alias("accepted"),
         F.array_sort(F.collect_list(rejection)).alias("rejected"),

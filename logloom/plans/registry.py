@@ -382,6 +382,24 @@ FROM fate GROUP BY batch_id""",
 )
 
 
+def _repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches under seven ids: each body has a verdict of its own."""
+    batches = views.event_batches(spark, sf_dir).withColumn(
+        "batch_id", (F.col("batch_id").cast("long") % 7).cast("string")
+    )
+    checked = check_batches(envelopes.from_column(batches, "batch_id", "body"), _now())
+    return _summary_as_text(validate.summarize(checked))
+
+
+_register(
+    "batch_summary_repeated_ids",
+    _repeated_ids,
+    ORACLES["batch_summary"]
+    .replace("SELECT batch_id,", "SELECT CAST(CAST(fate.batch_id AS BIGINT) % 7 AS VARCHAR) AS batch_id,")
+    .replace("GROUP BY batch_id", "GROUP BY fate.batch_id"),
+)
+
+
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = views.broken_event_batches(spark, sf_dir)
     checked = check_batches(envelopes.from_column(batches, "batch_id", "body"), _now())

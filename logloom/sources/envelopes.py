@@ -45,10 +45,13 @@ def _from_files(files: DataFrame) -> DataFrame:
 
 
 def _from_lines(lines: DataFrame) -> DataFrame:
-    body = F.regexp_replace("value", r"^[^\t]*\t", "")
+    # A line without a tab has neither an id nor a body, which makes it malformed.
+    value = F.make_valid_utf8("value")
+    tab = F.instr(value, "\t")
     return from_column(
         lines.select(
-            F.substring_index("value", "\t", 1).alias("batch_id"), body.alias("body")
+            F.when(tab > 0, F.substring_index(value, "\t", 1)).alias("batch_id"),
+            F.when(tab > 0, F.regexp_replace(value, r"^[^\t]*\t", "")).alias("body"),
         ),
         "batch_id",
         "body",
@@ -79,7 +82,8 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """One batch per line: the producer's batch id, a tab, the body.
 
-    For batch rates at which one file each would be too many small files.
+    For batch rates at which one file each would be too many small files. A line
+    without a tab is a malformed batch without an id.
     """
     prepare(spark)
     return _from_lines(spark.read.text(list(paths)))
@@ -114,19 +118,27 @@ def _body_error(parsed: Column, logs: Column) -> Column:
 
 
 def parse(batches: DataFrame) -> DataFrame:
-    """``batch_id, error, logs``: the entries of a batch, or why it is refused."""
+    """``batch_id, body_id, error, logs``: the entries of a batch, or why it is refused.
+
+    ``body_id`` tells bodies apart that a producer sent under one id.
+    """
     parsed = F.from_json(F.concat(F.lit("["), "body", F.lit("]")), _WRAPPED, _STRICT_JSON)
     logs = F.get(F.col("parsed"), F.lit(0))["logs"]
     error = _body_error(F.col("parsed"), logs)
     return (
         batches.withColumn("parsed", parsed)
         .withColumn("error", error)
-        .select("batch_id", "error", F.when(F.col("error").isNull(), logs).alias("logs"))
+        .select(
+            "batch_id",
+            F.uuid().alias("body_id"),
+            "error",
+            F.when(F.col("error").isNull(), logs).alias("logs"),
+        )
     )
 
 
 def explode_entries(batches: DataFrame) -> DataFrame:
     """One row per entry with its position; a batch without entries keeps one row."""
     return batches.select(
-        "batch_id", "error", F.posexplode_outer("logs").alias("index", "entry")
+        "batch_id", "body_id", "error", F.posexplode_outer("logs").alias("index", "entry")
     )

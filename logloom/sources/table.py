@@ -344,13 +344,14 @@ class LogTable:
                 return parse_instant(f"{day}T24:00Z")
         return None
 
-    def _lower_bounds(self, request: listing.ListRequest) -> Iterator[int]:
+    def _lower_bounds(self, request: listing.ListRequest) -> Iterator[int | None]:
         """Instants since which a listing may find its page, latest first.
 
         Recent spans first, as most listings end there. Then counts tell where the
         page begins: the stored ones per minute if they know the filters, else the
         matching rows per minute. Only a request with less than a page of rows in all
-        gets past that, so no attempt ever sends many rows from many tasks.
+        gets past that, so no attempt ever sends many rows from many tasks. Counts of
+        the matching rows themselves are final and leave nothing for a last attempt.
         """
         end = listing.request_end(request)
         known = [ms for ms in (self._newest_end(), end) if ms is not None]
@@ -369,6 +370,8 @@ class LogTable:
         bound = listing.bound_by_counts(counts, needed)
         if bound is not None:
             yield bound
+        if from_minutes:
+            yield None
 
     def list(self, params: Mapping[str, object] | None = None) -> listing.Page:
         """One page, reading the newest rows first and older days only if needed."""

@@ -6,6 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logloom import schema as S
 from logloom.functions.timestamps import parse_instant
 from logloom.operators import listing
 from logloom.operators.listing import Position, decode_cursor, encode_cursor
@@ -124,3 +125,24 @@ def test_a_page_is_a_heap_per_task_not_a_sort(logs):
     request = listing.parse_list_request({"limit": "10", "cursor": token(GOOD)})
     plan = listing.top_rows(logs, request)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan.split("InMemory")[0]
+
+
+def test_no_bound_to_try_reads_nothing():
+    def scan(span):
+        raise AssertionError("nothing to read")
+
+    request = listing.parse_list_request({"q": "absent"})
+    assert listing.fetch_page(request, scan, []) == listing.Page([], None)
+
+
+def test_a_range_is_read_once(spark):
+    read = []
+
+    def scan(span):
+        read.append(span.since)
+        return spark.createDataFrame([], S.LOGS)
+
+    request = listing.parse_list_request({"since": "2026-07-20T00:00:00Z"})
+    since = request.span.since
+    assert listing.fetch_page(request, scan, [since + 1, since, since - 1, None]).logs == []
+    assert read == [since + 1, since]

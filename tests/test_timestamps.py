@@ -20,6 +20,13 @@ CASES = [
     ("2026-07", "2026-07-01T00:00:00.000Z"),
     ("2026", "2026-01-01T00:00:00.000Z"),
     ("2026-07-20T14:32:00+02:00", "2026-07-20T12:32:00.000Z"),
+    ("2026-07-20T14:32:00+0200", "2026-07-20T12:32:00.000Z"),
+    ("2026-07-20 14:32:00Z", "2026-07-20T14:32:00.000Z"),
+    ("2026-07-20 14:32:00.5-0130", "2026-07-20T16:02:00.500Z"),
+    ("2026-07-20 14:32", "2026-07-20T14:32:00.000Z"),
+    ("2026-07 14:32", None),
+    ("2026 14:32Z", None),
+    ("2026-07-20  14:32", None),
     ("2026-07-20T14:32:00-23:59", "2026-07-21T14:31:00.000Z"),
     ("2026-07-20T24:00:00Z", "2026-07-21T00:00:00.000Z"),
     ("2026-12-31T24:00", "2027-01-01T00:00:00.000Z"),

@@ -196,6 +196,23 @@ def test_lines_carry_their_batch_id(spark, tmp_path, now):
     }
 
 
+def test_lines_without_a_tab_are_malformed(spark, tmp_path, now):
+    (tmp_path / "lines.txt").write_text(f"{GOOD}\nplain\nfirst\t{GOOD}\n")
+    rows = summarize_batches(envelopes.read_lines(spark, str(tmp_path)), now).collect()
+    found = sorted((row["batch_id"] or "", row["error"] or "", row["accepted"]) for row in rows)
+    assert found == [("", S.MALFORMED_BODY, 0)] * 2 + [("first", "", 1)]
+
+
+def test_bodies_that_share_an_id_are_judged_each_by_itself(spark, now):
+    bad = body(entry(level="loud"))
+    frame = spark.createDataFrame(
+        [("dup", GOOD), ("dup", GOOD), ("dup", bad), ("dup", "{")], "batch_id string, body string"
+    )
+    rows = summarize_batches(envelopes.from_column(frame, "batch_id", "body"), now).collect()
+    found = sorted((row["status"], row["accepted"], len(row["rejected"])) for row in rows)
+    assert found == [("error", 0, 0), ("ok", 1, 0), ("ok", 1, 0), ("rejected", 0, 1)]
+
+
 def test_one_entry_does_not_carry_the_keys_of_its_batch(spark):
     """Entries with many different keys stay small after they are taken apart."""
     many = [entry(attributes={f"key_{n}": n}) for n in range(3000)]
