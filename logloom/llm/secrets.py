@@ -2,14 +2,21 @@
 
 Known forms are matched by pattern. Any other long token of letters and digits is tested
 against a uniform draw from the alphabet of its encoding: chi-squared of the symbols, runs
-above and below the middle of the alphabet, serial correlation. Long words without digits
-are tested alike and serve as the null: at every length, a token counts as a secret where
-the share of false discoveries among words and tokens with so random a result is at most
-the wanted rate (Benjamini and Hochberg, with p-values from the words of that length).
+above and below the middle of the alphabet, serial correlation. Each gives a p-value from
+the exact moments of such a draw, for any alphabet and length; the least, times three, is
+the token's. Tokens that are told from random ones at the wanted rate of false discoveries
+(Benjamini and Hochberg, over all tokens) are let through; all others count as secrets.
+
+Long words without digits are tested alike. At a length that has so many of them that even
+a single token can be found, they serve as the null instead: a token counts as a secret
+where the share of false discoveries among words and tokens with so random a result is at
+most the wanted rate.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +47,8 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 RATE = 0.05
 #: Lengths are told apart in steps of four up to this step.
 STRATA = 16
+#: p-values are kept as hundredths of their negative decimal logarithm, up to this one.
+LEVELS = 30_000
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _DIGITS = "0123456789"
@@ -121,11 +130,74 @@ def _alphabet(token: Column) -> Column:
     return choice
 
 
+def _above(row: Column) -> Column:
+    """Chance of a standard normal value above ``z``: the usual Chebyshev fit of erfc, whose
+    relative error is below 1.2e-7; ``t`` is 1 / (1 + |z| / sqrt(8))."""
+    z, t = row["z"], row["t"]
+    power = F.lit(0.0)
+    for factor in (
+        0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807,
+        -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223,
+    ):
+        power = power * t + factor
+    tail = t * F.exp(power - z * z / 2) / 2
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+def _uniform(row: Column) -> Column:
+    """How far off a uniform draw the token is: a standardised value per statistic.
+
+    ``row`` has ``squares``, the sum of squared symbol counts, ``changes`` of side, ``about``,
+    the sum of products of neighbours about the alphabet's mean, ``n`` and ``size``.
+    Chi-squared is a linear function of the number of equal pairs, whose first three moments
+    are known for every alphabet and length; its tail is that of the shifted gamma
+    distribution with these. Every neighbour is on the other side with chance one half.
+    """
+    n, size = row["n"], row["size"]
+    p = 1 / size
+    spread = n * (n - 1) / 2 * p * (1 - p)
+    third = spread * (1 - 2 * p) + n * (n - 1) * (n - 2) * p * p * (1 - p)
+    shape = 4 * spread * spread * spread / (third * third)
+    equal = ((row["squares"] - n) / 2 - F.lit(0.5) - n * (n - 1) / 2 * p) / F.sqrt(spread)
+    gamma = F.greatest(1 + equal / F.sqrt(shape), F.lit(0.0))
+    sides = F.greatest(F.abs(row["changes"] - (n - 1) / 2) - 0.5, F.lit(0.0)) / F.sqrt((n - 1) / 4)
+    return F.struct(
+        row["stratum"].alias("stratum"),
+        row["score"].alias("score"),
+        F.array(
+            (F.pow(gamma, F.lit(1 / 3)) - (1 - 1 / (9 * shape))) * 3 * F.sqrt(shape),
+            sides,
+            F.abs(row["about"]) / ((size * size - 1) / 12 * F.sqrt(n - 1)),
+        ).alias("values"),
+    )
+
+
+def _level(row: Column) -> Column:
+    """Hundredths of -log10 of the least p-value, two-sided but for the first, times three."""
+    chances = F.transform(
+        F.transform(
+            row["values"],
+            lambda z: F.struct(z.alias("z"), (1 / (1 + F.abs(z) / (2 * math.sqrt(2)))).alias("t")),
+        ),
+        _above,
+    )
+    least = 3 * F.least(chances[0], 2 * F.array_min(F.slice(chances, 2, 2)))
+    return F.struct(
+        row["stratum"].alias("stratum"),
+        row["score"].alias("score"),
+        # Rounded down, so that no p-value counts as smaller than it is.
+        F.least(
+            F.floor(-100 * F.log10(F.greatest(F.least(least, F.lit(1.0)), F.lit(1e-300)))),
+            F.lit(LEVELS),
+        ).cast("int").alias("level"),
+    )
+
+
 def _tested(tokens: Column) -> Column:
-    """``stratum, score`` of every token of an array of strings.
+    """``stratum, score, level`` of every token of an array of strings.
 
     The score is the sum of squares of three standardised tests, small where the token
-    looks like a uniform draw from its alphabet.
+    looks like a uniform draw from its alphabet; the level is that of its p-value.
     """
     plain = F.transform(tokens, lambda token: F.regexp_replace(token, "=+$", ""))
     typed = F.transform(
@@ -188,7 +260,13 @@ def _tested(tokens: Column) -> Column:
         serial = F.when(variance > 0, cross / F.greatest(variance, F.lit(1e-9)) * F.sqrt(n)).otherwise(
             F.sqrt(n)
         )
+        known = row["middle"]
+        about = F.aggregate(
+            F.zip_with(left, right, lambda a, b: (a - known) * (b - known)), zero, lambda t, c: t + c
+        )
         return F.struct(
+            n.alias("n"), size.alias("size"), squares.alias("squares"),
+            (turns - 1).alias("changes"), about.alias("about"),
             F.least(F.floor(n / 4).cast("int"), F.lit(STRATA)).alias("stratum"),
             # Hundredths, up to a score that no random token has.
             F.least(
@@ -196,14 +274,16 @@ def _tested(tokens: Column) -> Column:
             ).cast("int").alias("score"),
         )
 
-    return F.transform(F.transform(F.transform(typed, numbers), moments), score)
+    scored = F.transform(F.transform(F.transform(typed, numbers), moments), score)
+    return F.transform(F.transform(scored, _uniform), _level)
 
 
 def limits(tested: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """By stratum, the largest score that counts as random; none where nothing does.
+    """By stratum, the largest score that counts as random, -1 where none does.
 
-    ``tested`` has ``stratum, score, is_word, n``: counts, so at most a row for each score.
-    The driver gets one row per stratum.
+    Only strata in which the words are enough to find a single token; the others are judged
+    by :func:`level_limit`. ``tested`` has ``stratum, score, is_word, n``: counts, so at most
+    a row for each score. The driver gets one row per stratum.
     """
     by_score = tested.groupBy("stratum", "score").agg(
         F.sum(F.when(F.col("is_word"), F.col("n")).otherwise(0)).alias("words"),
@@ -211,20 +291,36 @@ def limits(tested: DataFrame, rate: float = RATE) -> dict[int, int]:
     )
     upward = Window.partitionBy("stratum").orderBy("score")
     whole = Window.partitionBy("stratum")
-    share = (1 + F.sum("words").over(upward)) / (1 + F.sum("words").over(whole))
-    reached = F.sum("tokens").over(upward)
+    words, tokens = F.sum("words").over(whole), F.sum("tokens").over(whole)
+    share = (1 + F.sum("words").over(upward)) / (1 + words)
     found = (
         by_score.select(
             "stratum",
             "score",
-            (share * F.sum("tokens").over(whole)).alias("expected"),
-            reached.alias("reached"),
+            (share * tokens).alias("expected"),
+            F.sum("tokens").over(upward).alias("reached"),
+            (tokens <= rate * (1 + words)).alias("enough"),
         )
-        .where(F.col("expected") <= rate * F.col("reached"))
+        .where("enough")
         .groupBy("stratum")
-        .agg(F.max("score").alias("limit"))
+        .agg(F.max(F.when(F.col("expected") <= rate * F.col("reached"), F.col("score"))).alias("limit"))
     )
-    return {row["stratum"]: row["limit"] for row in found.collect()}
+    return {row["stratum"]: -1 if row["limit"] is None else row["limit"] for row in found.collect()}
+
+
+def level_limit(levels: DataFrame, rate: float = RATE) -> int:
+    """The least level at which a token is told from a random one, beyond all if none is.
+
+    ``levels`` has ``level, n``: counts, so at most ``LEVELS + 1`` rows, all of which the
+    driver gets.
+    """
+    counts = sorted(((row["level"], row["n"]) for row in levels.collect()), reverse=True)
+    total, reached, limit = sum(n for _, n in counts), 0, LEVELS + 1
+    for level, n in counts:
+        reached += n
+        if 10 ** (-level / 100) * total <= rate * reached:
+            limit = level
+    return limit
 
 
 # --- operator ------------------------------------------------------------------------
@@ -281,12 +377,22 @@ def secrets(
         )
 
     found = limits(counted("free_tests", False).union(counted("word_tests", True)), rate)
-    by_stratum = F.array(*[F.lit(found.get(stratum, -1)) for stratum in range(STRATA + 1)])
+    by_words = F.array(*[F.lit(found.get(stratum)).cast("int") for stratum in range(STRATA + 1)])
+    levels = (
+        rows.select(F.explode("free_tests").alias("test"))
+        .where(F.element_at(by_words, F.col("test.stratum") + 1).isNull())
+        .groupBy("test.level")
+        .agg(F.count("*").alias("n"))
+    )
+    limit = level_limit(levels, rate)
+
+    def is_random(test: Column) -> Column:
+        own = F.element_at(by_words, test["stratum"] + 1)
+        return F.when(own.isNull(), test["level"] < limit).otherwise(test["score"] <= own)
+
     pairs = F.zip_with("free", "free_tests", lambda t, s: F.struct(t.alias("t"), s.alias("s")))
     random = F.transform(
-        F.filter(
-            pairs, lambda p: p["s"]["score"] <= F.element_at(by_stratum, p["s"]["stratum"] + 1)
-        ),
+        F.filter(pairs, lambda p: is_random(p["s"])),
         lambda p: F.struct(
             p["t"]["start"].alias("start"),
             F.lit(len(KINDS)).alias("rank"),

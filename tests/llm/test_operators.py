@@ -265,6 +265,26 @@ def test_random_tokens_are_told_from_words(spark):
     assert clean[hit] == "see [random] now" and clean[100] == words[0]
 
 
+def test_random_keys_are_found_without_long_words(spark):
+    rng = np.random.default_rng(6)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    both = lower + lower.upper() + "0123456789"
+    keys = []
+    for alphabet in ("0123456789ABCDEF", both, both + "+/"):
+        for size in (24, 32, 44, 64):
+            keys += ["".join(rng.choice(list(alphabet), size - 2)) + "7A" for _ in range(5)]
+    plain = ["docs/reports/annual/letters-to-the-members-2", "the_number_of_the_letters_in_the_tree_2",
+             "abcdefghijklmnopqrstuvwxyz0123456789", "a1" * 20, "aaaaaaaaaaaaaaaaaaaaaaaaa1"]
+    texts = [f"{prose(7, 20)} {key} {prose(8, 20)}" for key in keys + plain]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["id"]: r["random"] for r in secrets.secrets(frame).collect()}
+    assert sum(bool(found[n]) for n in range(len(keys))) >= 0.9 * len(keys)
+    assert not any(found[len(keys) + n] for n in range(len(plain)))
+    clean = {r["doc_id"]: r["text"] for r in secrets.masked(frame).collect()}
+    hit = next(n for n in range(len(keys)) if found[n])
+    assert clean[hit] == texts[hit].replace(keys[hit], "[random]")
+
+
 # --- 6: fingerprints --------------------------------------------------------------------
 
 
