@@ -1,7 +1,7 @@
 """Toxicity: a learned lexicon, matched with misspellings, weighed by context.
 
 The lexicon is learned from labelled texts: words, and stems that words begin with, that
-toxic texts have far more often than others. It is a trie; a word is run through the trie
+toxic texts have far more often than others of their language, and surely so. It is a trie; a word is run through the trie
 together with the Levenshtein automaton of one edit, so that misspelled terms are found
 without listing their misspellings. A hit counts by its kind and by the window of words
 around it: whether it stands in quotation marks or is reported, and whether other hits are
@@ -19,15 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.quality import LABELS_SENT
 from logloom.llm.tables import stored
 
-#: A term must occur in this share of the toxic texts, which bounds their number: a text
-#: has only so many words, whatever the number of texts.
-LEAST_SHARE = 0.004
+#: A term must occur in so many toxic texts, whatever their number.
 LEAST_TEXTS = 5
 #: How many times more often toxic texts must have a term.
 LEAST_LIFT = 12.0
@@ -37,6 +35,9 @@ STEMS = range(4, 9)
 FUZZY_LETTERS = 5
 #: Words on either side of a hit that are its context.
 WINDOW = 6
+#: Terms worth counting in other texts are sent to every task up to this many bytes; beyond,
+#: all terms are counted and joined.
+TERMS_SENT = 16 << 20
 #: Words a task remembers before it starts anew.
 REMEMBERED = 500_000
 
@@ -62,41 +63,105 @@ def terms_of(text: str) -> set[str]:
 
 
 def count_terms(texts: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
-    """``term, n``: in how many texts (the one column) each term, or each wanted one, is."""
+    """``lang, term, n``: in how many texts of a language each term, or each wanted one, is.
+
+    ``texts`` has ``text, lang``; no language is a language of its own.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = sent.value
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
-                counts: Counter[str] = Counter()
-                for text in batch.column(0)[begin : begin + 500].to_pylist():
+                counts: Counter[tuple[str, str]] = Counter()
+                part = batch.slice(begin, 500)
+                for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     terms = terms_of(text or "")
-                    counts.update(terms if only is None else terms & only)
+                    own = terms if only is None else terms & only
+                    counts.update((lang, term) for term in own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                    ["term", "n"],
+                    [
+                        pa.array([lang for lang, _ in counts], pa.string()),
+                        pa.array([term for _, term in counts], pa.string()),
+                        pa.array(list(counts.values()), pa.int64()),
+                    ],
+                    ["lang", "term", "n"],
                 )
 
-    rows = texts.mapInArrow(run, "term string, n bigint")
-    return rows.groupBy("term").agg(F.sum("n").alias("n"))
+    known = texts.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    rows = known.mapInArrow(run, "lang string, term string, n bigint")
+    return rows.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+
+
+def choose_terms(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``term, n``: terms whose toxic texts are too many for chance.
+
+    ``counts`` has ``lang, term, toxic, clean``, numbers of texts with the term; ``sizes``
+    has ``lang, n_toxic, n_clean``. Texts are compared within languages only: were a term no
+    sign of toxicity, each text with it would be toxic with its language's share. The lift
+    is that of Mantel and Haenszel, the chance is bounded as by Hoeffding, and less than one
+    term is expected to be chosen by chance, however many there are.
+    """
+    both = F.col("n_toxic") + F.col("n_clean")
+    total = sizes.agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c")).first()
+    share = (total["t"] or 0) / max((total["t"] or 0) + (total["c"] or 0), 1)
+    rows = (
+        counts.join(F.broadcast(sizes), "lang")
+        .groupBy("term")
+        .agg(
+            F.sum("toxic").alias("n"),
+            F.sum("clean").alias("c"),
+            F.sum((F.col("toxic") + F.col("clean")) * F.col("n_toxic") / both).alias("expected"),
+            F.sum(F.col("toxic") * F.col("n_clean") / both).alias("more"),
+            F.sum(F.col("clean") * F.col("n_toxic") / both).alias("less"),
+        )
+    )
+    n_tested = rows.count()
+    n, c, expected = F.col("n"), F.col("c"), F.col("expected")
+    rest = F.greatest(n + c - expected, F.lit(1e-9))
+    evidence = n * F.log(n / expected) + F.when(c > 0, c * F.log(c / rest)).otherwise(0.0)
+    return rows.where(
+        (n > expected)
+        & (evidence >= math.log(max(n_tested, 1)))
+        & (F.col("more") + 0.5 * (1 - share) >= LEAST_LIFT * (F.col("less") + 0.5 * share))
+    ).select("term", "n")
 
 
 def learn_lexicon(labelled: DataFrame) -> list[str]:
-    """Terms that toxic texts have far more often; ``labelled`` has ``text, toxic``."""
-    toxic = labelled.where("toxic = 1").select("text")
-    clean = labelled.where("toxic = 0").select("text")
-    n_toxic, n_clean = toxic.count(), clean.count()
-    if not n_toxic:
+    """Terms that toxic texts have far more often; ``labelled`` has ``text, toxic, lang``.
+
+    Terms are counted and compared as tables; the driver gets those that are chosen, and
+    those worth counting in other texts where these are few bytes.
+    """
+    columns = [F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "toxic"]
+    sizes = stored(
+        labelled.select(*columns)
+        .groupBy("lang")
+        .agg(
+            F.count_if(F.col("toxic") == 1).alias("n_toxic"),
+            F.count_if(F.col("toxic") == 0).alias("n_clean"),
+        ),
+        "sizes",
+    )
+    if not sizes.agg(F.sum("n_toxic")).first()[0]:
         return []
-    least = max(LEAST_TEXTS, LEAST_SHARE * n_toxic)
-    frequent = {row["term"]: row["n"] for row in count_terms(toxic).where(F.col("n") >= least).collect()}
-    elsewhere = {row["term"]: row["n"] for row in count_terms(clean, frozenset(frequent)).collect()}
-    chosen = {
-        term
-        for term, n in frequent.items()
-        if (n + 0.5) / n_toxic >= LEAST_LIFT * (elsewhere.get(term, 0) + 0.5) / max(n_clean, 1)
-    }
+    counted = count_terms(labelled.where("toxic = 1").select("text", "lang"))
+    known = counted.select("term", "lang", F.col("n").alias("toxic")).withColumn(
+        "in_all", F.sum("toxic").over(Window.partitionBy("term"))
+    )
+    known = stored(known.where(F.col("in_all") >= LEAST_TEXTS).drop("in_all"), "terms")
+    names = known.select("term").distinct()
+    size = names.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    wanted = frozenset(row["term"] for row in names.collect()) if size <= TERMS_SENT else None
+    clean = count_terms(labelled.where("toxic = 0").select("text", "lang"), wanted)
+    if wanted is None:
+        clean = clean.join(names, "term", "left_semi")
+    counts = known.select("lang", "term", "toxic", F.lit(0).cast("long").alias("clean")).unionByName(
+        clean.select("lang", "term", F.lit(0).cast("long").alias("toxic"), F.col("n").alias("clean"))
+    )
+    counts = stored(counts, "term_counts")
+    frequent = {row["term"]: row["n"] for row in choose_terms(counts, sizes).collect()}
+    chosen = set(frequent)
 
     # A stem of many words stands for them; a stem of one word adds nothing to it.
     words = {term for term in chosen if not term.endswith("*")}
@@ -293,11 +358,13 @@ def score(
     threshold: float = 0.7,
     id: str = "doc_id",
     text: str = "text",
+    lang: str = "lang",
 ) -> DataFrame:
     """Toxicity of every text: ``id, held_out, score, predicted`` and the feature columns.
 
     ``labels`` has ``doc_id, toxic``; only rows that are not held out are learned from, and
-    an id with both labels counts as toxic. Null and empty texts have no hits and score like
+    an id with both labels counts as toxic. Terms are learned within the languages of the
+    column ``lang``, or in all texts together where there is no such column. Null and empty texts have no hits and score like
     any text without hits. Repeated rows get equal results; texts are read whole; other
     columns are not read; without labels every score is a half; an empty table gives no rows.
     """
@@ -309,10 +376,11 @@ def score(
     )
     if known.count() <= LABELS_SENT:
         known = F.broadcast(known)
-    labelled = documents.select(F.col(id).alias("labelled_id"), F.col(text).alias("text")).join(
-        known, "labelled_id"
-    )
-    terms = learn_lexicon(labelled.select("text", "toxic"))
+    language = F.col(lang) if lang in documents.columns else F.lit("")
+    labelled = documents.select(
+        F.col(id).alias("labelled_id"), F.col(text).alias("text"), language.alias("lang")
+    ).join(known, "labelled_id")
+    terms = learn_lexicon(labelled.select("text", "toxic", "lang"))
     rows = stored(_features(documents, terms, id, text), "features")
     intercept, weights = _weights(
         rows.join(known, rows["id"] == F.col("labelled_id")).select(*FEATURES, "toxic")

@@ -386,6 +386,18 @@ def test_misspellings_are_found():
     assert not any(trie.find(word) for word in ("id", "idle", "scu", "lowe", "radio", "patriot"))
 
 
+def test_terms_are_chosen_by_evidence_not_share(spark):
+    rows = [(f"{prose(n, 8)} {'zuffig' if n < 12 else ''}", 1, "en") for n in range(4000)]
+    rows += [(prose(n, 8), 0, "en") for n in range(6000)]
+    rows += [(f"cosa {'tarugo' if n < 8 else ''} {prose(n, 3)}", int(n < 40), "es") for n in range(160)]
+    rows += [(f"woord {prose(n, 3)}", 1, "nl") for n in range(30)]
+    labelled = spark.createDataFrame(rows, "text string, toxic int, lang string")
+    lexicon = toxicity.learn_lexicon(labelled)
+    assert any(term.startswith("zuff") for term in lexicon)
+    assert any(term.startswith("taru") for term in lexicon)
+    assert not any(term.startswith(("woor", "cosa", "rive")) for term in lexicon)
+
+
 def test_toxicity(spark, odd, empty, labels):
     documents = spark.read.parquet(f"{SF}/../sf0.1/documents.parquet")
     known = spark.read.parquet(f"{SF}/../sf0.1/labels.parquet")
