@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,8 @@ LEAST_TEXTS = 5
 LEAST_LIFT = 12.0
 #: Lengths of stems.
 STEMS = range(4, 9)
-#: Terms of fewer letters must be spelled right.
+#: Terms of fewer letters may differ in one place only, which is not the first; terms of
+#: three letters only by a digit or sign there, shorter ones must be spelled right.
 FUZZY_LETTERS = 5
 #: Words on either side of a hit that are its context.
 WINDOW = 6
@@ -50,6 +52,11 @@ REPORTING = frozenset(
 
 FEATURES = ("exact", "stems", "fuzzy", "quoted", "reported", "near", "density", "kinds")
 WORD = re.compile(r"[^\W\d_]+")
+#: A digit or sign inside a word, or a digit at an end of one.
+SIGN = re.compile(
+    r"[!-@\[-`{-\u00bf\u00d7\u00f7\u0660-\u0669\u2010-\u2bff\ufe0f\uff01-\uff20\U0001f300-\U0001faff]"
+    r"(?:(?<=[^\W\d_].)(?=[^\W\d_])|(?<=[^\W\d_]\d)(?![^\W_])|(?<=\d)(?<![^\W_]\d)(?=[^\W\d_]))"
+)
 
 
 # --- lexicon -----------------------------------------------------------------------
@@ -194,11 +201,17 @@ class Trie:
         self._backward: dict = {}
         #: Per direction and half: the node below it, and the lengths of words near its terms.
         self._halves: dict[tuple[bool, str], tuple[dict, set[int]]] = {}
+        self.longest = max(map(len, terms), default=0)
+        #: Short terms by what is before and after one of their letters.
+        self._short: dict[tuple[str, str], str] = {}
         self._stems = {term[:-1] for term in terms if term.endswith(self.STEM)}
         self._stem_sizes = sorted({len(stem) for stem in self._stems})
         for term in terms:
             if term.endswith(self.STEM):
                 continue
+            if 3 <= len(term) < FUZZY_LETTERS:
+                for place in range(1, len(term)):
+                    self._short.setdefault((term[:place], term[place + 1 :]), term)
             half = len(term) // 2
             self._add(term, term, True, half)
             if len(term) >= FUZZY_LETTERS:
@@ -232,6 +245,12 @@ class Trie:
         for size in self._stem_sizes:
             if len(word) > size and word[:size] in self._stems:
                 return word[:size], 1
+        if 3 <= len(word) < FUZZY_LETTERS:
+            for place in range(1, len(word)):
+                if len(word) > 3 or not word[place].isalpha():
+                    term = self._short.get((word[:place], word[place + 1 :]))
+                    if term:
+                        return term, 2
         for front, size in self._sizes.get(len(word), ()):
             letters = word if front else word[::-1]
             node, near = self._halves.get((front, letters[:size]), (None, ()))
@@ -276,6 +295,38 @@ class Scanner:
         self._trie = Trie(terms)
         self._known: dict[str, tuple[str, int] | None] = {}
 
+    def _mixed(self, text: str, taken: set[int]) -> list[tuple[int, str, int]]:
+        """Hits of words with a digit or sign inside, none of whose parts is a hit itself;
+        each stands at the place of its first part."""
+        found: list[tuple[int, int, str]] = []
+        longest = self._trie.longest + 1
+        for match in SIGN.finditer(text):
+            begin, end = match.span()
+            first, last = max(0, begin - longest), min(len(text), end + longest)
+            while begin > first and text[begin - 1].isalpha():
+                begin -= 1
+            while end < last and text[end].isalpha():
+                end += 1
+            # With more digits, or longer than any term, it is beyond one edit.
+            if end - begin > longest or text[begin - 1 : begin].isalnum() or text[end : end + 1].isalnum():
+                continue
+            word = text[begin:end]
+            if word not in self._known:
+                self._known[word] = self._trie.find(word.lower())
+            own = self._known[word]
+            if own and own[1] == 2:
+                found.append((begin, end, own[0]))
+        if not found:
+            return []
+        begins = [match.start() for match in WORD.finditer(text)]
+        hits = []
+        for begin, end, term in found:
+            parts = range(bisect_left(begins, begin), bisect_left(begins, end))
+            if parts and not taken.intersection(parts):
+                hits.append((parts[0], term, 2))
+                taken.update(parts)
+        return hits
+
     def features(self, text: str) -> list[float]:
         words = WORD.findall(text)
         hits, known = [], self._known
@@ -286,8 +337,10 @@ class Scanner:
                 known[word] = self._trie.find(word.lower())
             if known[word]:
                 hits.append((place, *known[word]))
+        hits += self._mixed(text, {place for place, _, _ in hits})
         if not hits:
             return [0.0] * len(FEATURES)
+        hits.sort()
         kinds = Counter(kind for _, _, kind in hits)
         quoted = reported = near = 0
         spans = [match.span() for match in WORD.finditer(text)]

@@ -386,6 +386,16 @@ def test_misspellings_are_found():
     assert not any(trie.find(word) for word in ("id", "idle", "scu", "lowe", "radio", "patriot"))
 
 
+def test_misspellings_with_digits_and_signs_are_found():
+    scanner = toxicity.Scanner(["idiot", "moron", "stupid", "loser", "scum", "ass"])
+    fuzzy = toxicity.FEATURES.index("fuzzy")
+    for word in ("id1ot", "mor0n", "st*pid", "l_ser", "1diot", "(Mor0n!)", "you/id1ot,", "sc*m", "scu7", "scam", "a$s"):
+        assert scanner.features(f"what a {word} it is")[fuzzy] == math.log1p(1), word
+    for word in ("id-it-s", "sum", "cum", "asp", "e-mail", "it's", "x1", "m0r0n"):
+        assert not any(scanner.features(f"what a {word} it is")), word
+    assert scanner.features("an idiot's 2nd idiot2")[:3] == [math.log1p(2), 0, 0]
+
+
 def test_terms_are_chosen_by_evidence_not_share(spark):
     rows = [(f"{prose(n, 8)} {'zuffig' if n < 12 else ''}", 1, "en") for n in range(4000)]
     rows += [(prose(n, 8), 0, "en") for n in range(6000)]
