@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from logloom.llm import (
     bpe,
     chat,
+    collocations,
     exact_dedup,
     fingerprints,
+    line_dedup,
     packing,
     quality,
+    runs,
     secrets,
     toxicity,
     url_filter,
@@ -106,3 +109,25 @@ def _byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.withColumnRenamed("id", "doc_id").drop("text_key")
+
+
+@_query("op11_periodic_runs")
+def _periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = runs.with_planted_runs(read(spark, sf_dir, "documents"))
+    return runs.report(runs.find_runs(planted)).withColumnRenamed("id", "doc_id")
+
+
+@_query("op12_line_dedup")
+def _line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op12_line_dedup"] = line_dedup.ORACLE
+
+
+@_query("op13_collocations")
+def _collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = collocations.ORACLE

@@ -11,12 +11,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(frame: DataFrame, purpose: str) -> DataFrame:
+def stored(frame: DataFrame, purpose: str, **options: str) -> DataFrame:
     """The frame, computed once, written to the shared folder and read from there.
 
     Later steps start from these files, so a lost executor costs no earlier step.
     """
     spark = frame.sparkSession
     path = scratch_path(spark, purpose)
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
