@@ -1,6 +1,6 @@
 """Phrases whose words come together more often than alone, mined through indexes of shards.
 
-Texts become shards of about a million words. A shard's index holds the last column of its
+Texts become shards of about half a million words. A shard's index holds the last column of its
 sorted rotations (the Burrows-Wheeler transform) and the same of the reversed shard, both
 sorted as deep as the longest phrase asks for. A phrase is a pair of intervals, one in each;
 a step to the right splits the reversed interval by its symbols and keeps the other in
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.slices import spread, text_bytes
+from logloom.llm.slices import ranges, spread, text_bytes
 from logloom.llm.tables import stored
 
 MAX_WORDS = 3
@@ -37,7 +37,7 @@ ABSORBS_PERCENT = 50
 TOP = 2000
 
 #: Words and ends of pieces in a shard, about.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Bits of the filter, as a power of two.
 _FILTER_BITS = 26
 _BUCKET_BITS = 15  # Spark's bitmap functions put 2^15 bits into one row
@@ -50,17 +50,15 @@ _END = 0
 # --- the index of a shard -----------------------------------------------------------
 
 
-def _ranks(values: np.ndarray) -> np.ndarray:
-    return np.unique(values, return_inverse=True)[1].astype(np.int64)
-
-
 def rotation_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the ``depth`` or more symbols from there on, in a circle."""
-    ranks, width = symbols.astype(np.int64), 1
+    keys, width = symbols.astype(np.int64), 1
     while width < depth:
-        ranks = _ranks(ranks * (int(ranks.max()) + 1) + np.roll(ranks, -width))
+        if width > 1:  # numbers of pairs of ranks must fit 64 bits
+            keys = np.unique(keys, return_inverse=True)[1]
+        keys = keys * (int(keys.max()) + 1) + np.roll(keys, -width)
         width *= 2
-    return np.argsort(ranks, kind="stable")
+    return np.argsort(keys)
 
 
 class Index:
@@ -90,34 +88,37 @@ class Index:
         The reversed side's interval of a word lists what follows the word. Its symbols in
         order are the parts, in order, of the word's interval on the forward side.
         """
-        first = np.repeat(np.arange(size), words.counts)
+        first = np.repeat(np.arange(size, dtype=np.int64), words.counts)
         pairs, counts = np.unique(first * size + self.backward, return_counts=True)
         starts = np.cumsum(counts) - counts
         return Phrases(np.stack([pairs // size, pairs % size], 1), starts, counts)
 
-    def left(self, phrases: Phrases, size: int, allowed) -> Phrases:
-        """Phrases one symbol longer to the left; ``allowed`` keeps some of them.
+    def left(self, phrases: Phrases, words: np.ndarray, last: bool) -> Phrases:
+        """Phrases longer by one of some ``words`` (true by symbol) to the left.
 
-        ``phrases`` are intervals of the forward side that share no place.
+        ``phrases`` are intervals of the forward side that share no place. Those of the
+        ``last`` step grow no more, so their intervals are left out.
         """
-        place = np.repeat(phrases.starts, phrases.counts)
-        before = np.cumsum(phrases.counts) - phrases.counts
-        place += np.arange(len(place)) - np.repeat(before, phrases.counts)
+        place = ranges(phrases.starts, phrases.counts)
         owner = np.repeat(np.arange(len(phrases.counts)), phrases.counts)
-        keys = owner * size + self.forward[place]
-        found, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        kept = words[self.forward[place]]
+        place, owner = place[kept], owner[kept]
+        size = len(words)
+        found, counts = np.unique(owner * size + self.forward[place], return_counts=True)
         owner, symbol = found // size, found % size
         longer = np.concatenate([symbol[:, None], phrases.symbols[owner]], 1)
-        kept = np.flatnonzero(allowed(longer))
-        # The k-th of a symbol in the transform starts the k-th rotation with it.
-        to_first = self._to_first()
-        starts = to_first[place[first[kept]]]
-        return Phrases(longer[kept], starts, counts[kept])
+        starts = counts if last else self._starts(symbol, phrases.starts[owner])
+        return Phrases(longer, starts, counts)
 
-    def _to_first(self) -> np.ndarray:
-        result = np.empty(len(self.forward), np.int64)
-        result[np.argsort(self.forward, kind="stable")] = np.arange(len(self.forward))
-        return result
+    def _starts(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where rotations begin that put a symbol before those that begin at ``starts``.
+
+        Before them come all rotations with smaller symbols, and those with the same one
+        as often as it stands above ``starts`` in the transform.
+        """
+        size = len(self.forward)
+        seen = np.sort(self.forward * np.int64(size) + np.arange(size))
+        return np.searchsorted(seen, symbols * np.int64(size) + starts)
 
 
 class Phrases:
@@ -289,12 +290,15 @@ def _phrases_of(
                 found[rest] = _in_filter(table, _codes(codes[part[rest]]))
             return found
 
+        each = np.arange(size)[:, None]
+        known = _in_filter(tables[0], _codes(codes[each])) & (each[:, 0] != _END)
         phrases = index.right(phrases, size)
         phrases = phrases.where(frequent(phrases.symbols))
-        for _ in range(length - 2):
+        for step in range(3, length + 1):
             # A phrase that isn't frequent has no frequent extension.
             kept = _in_filter(tables[phrases.symbols.shape[1] - 1], _codes(codes[phrases.symbols]))
-            phrases = index.left(phrases.where(kept), size, frequent)
+            phrases = index.left(phrases.where(kept), known, step == length)
+            phrases = phrases.where(frequent(phrases.symbols))
     else:
         phrases = phrases.where(np.arange(size) != _END)
     symbols = phrases.symbols - 1
