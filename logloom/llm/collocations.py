@@ -38,6 +38,9 @@ TOP = 2000
 
 #: Words and ends of pieces in a shard, about.
 SHARD_WORDS = 1 << 19
+#: Rows that a task hands to Python at once: a shard's row has some megabytes.
+_DOCUMENTS_AT_ONCE = 500
+_SHARDS_AT_ONCE = 1
 #: Bits of the filter, as a power of two.
 _FILTER_BITS = 26
 _BUCKET_BITS = 15  # Spark's bitmap functions put 2^15 bits into one row
@@ -330,18 +333,18 @@ def phrase_counts(
     """
     spark = documents.sparkSession
     indexes = build_indexes(documents, text, lang, max_words, shard_words)
-    indexes = stored(indexes, "phrase-indexes", compression="zstd")
+    indexes = stored(indexes, "phrase-indexes", _DOCUMENTS_AT_ONCE, compression="zstd")
     filters, levels = [], []
     totals = None
     for length in range(1, max_words + 1):
         counted = _counts(indexes, length, filters)
         counts = counted.groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
         if length == 1:
-            counts = stored(counts, "word-counts")
+            counts = stored(counts, "word-counts", _SHARDS_AT_ONCE)
             totals = counts.groupBy("lang").agg(F.sum("count").alias("n"))
         frequent = counts.where(F.col("count") >= least)
         if length > 1:
-            frequent = stored(frequent, f"phrases-{length}")
+            frequent = stored(frequent, f"phrases-{length}", _SHARDS_AT_ONCE)
         levels.append(frequent)
         if length < max_words:
             filters.append(spark.sparkContext.broadcast(_filter_of(frequent)))

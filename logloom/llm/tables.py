@@ -6,17 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logloom.session import scratch_path
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(frame: DataFrame, purpose: str, **options: str) -> DataFrame:
+def stored(
+    frame: DataFrame, purpose: str, arrow_rows: int | None = None, **options: str
+) -> DataFrame:
     """The frame, computed once, written to the shared folder and read from there.
 
     Later steps start from these files, so a lost executor costs no earlier step.
+    ``arrow_rows`` bounds the rows that are handed to Python at once while writing, for
+    rows that are large.
     """
     spark = frame.sparkSession
     path = scratch_path(spark, purpose)
-    frame.write.options(**options).parquet(path)
+    usual = spark.conf.get(_ARROW_ROWS)
+    try:
+        if arrow_rows is not None:
+            spark.conf.set(_ARROW_ROWS, str(arrow_rows))
+        frame.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, usual)
     return spark.read.schema(frame.schema).parquet(path)
