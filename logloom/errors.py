@@ -7,3 +7,7 @@ class InvalidRequest(ValueError):
 
 class StoreFailed(RuntimeError):
     """Accepted entries could not be stored; none of them became visible."""
+
+
+class ReadFailed(RuntimeError):
+    """Stored rows could not be read; asking again may help."""

@@ -25,6 +25,7 @@ from logloom.operators.filters import (
     parse_time_range,
     time_condition,
 )
+from logloom.operators.ordering import numbered
 
 _LARGEST_ID = 2**63 - 1
 
@@ -178,6 +179,11 @@ def bound_by_counts(counts: DataFrame, needed: int) -> int | None:
     newest ``needed`` non-empty starts are always enough to tell, so no more than these
     are collected.
     """
+    return newest_starts(counts, needed)[0]
+
+
+def newest_starts(counts: DataFrame, needed: int) -> tuple[int | None, int]:
+    """:func:`bound_by_counts`, and how many the counts from there on add up to."""
     total, earliest = 0, None
     for row in (
         counts.select(F.unix_millis("start").alias("ms"), "count")
@@ -188,7 +194,7 @@ def bound_by_counts(counts: DataFrame, needed: int) -> int | None:
         total, earliest = total + row["count"], row["ms"]
         if total >= needed:
             break
-    return earliest
+    return earliest, total
 
 
 def count_by_minute(logs: DataFrame, request: ListRequest) -> DataFrame:
@@ -272,6 +278,31 @@ def walk(list_page: Callable[[dict], Page], params: Mapping[str, object]) -> Ite
         params["cursor"] = page.next_cursor
 
 
+def cursor_of(timestamp: Column, row_id: Column) -> Column:
+    """:func:`encode_cursor` as an expression."""
+    fields = ('{"timestamp":"', iso_millis(timestamp), '","id":"', row_id.cast("string"), '"}')
+    text = F.concat(*[F.lit(part) if isinstance(part, str) else part for part in fields])
+    return F.translate(F.base64(text), "+/=", "-_")
+
+
+def page_keys(logs: DataFrame, params: Mapping[str, object]) -> DataFrame:
+    """``page, timestamp, id, next_cursor`` of the last row of every page but the last.
+
+    All cursors of a listing at once, so that pages can be read side by side: one sort of
+    the keys of the matching rows, in place of one round for every page.
+    """
+    request = parse_list_request(params)
+    keys = matching(logs, request).select("timestamp", "id")
+    placed, total = numbered(keys, *newest_first(), name="position")
+    ends = placed.where((F.col("position") % request.limit == 0) & (F.col("position") < total))
+    return ends.select(
+        (F.col("position") / request.limit).cast("long").alias("page"),
+        "timestamp",
+        "id",
+        cursor_of(F.col("timestamp"), F.col("id")).alias("next_cursor"),
+    )
+
+
 def export(logs: DataFrame, params: Mapping[str, object]) -> DataFrame:
     """Every matching row, rendered, in the order the pages have."""
     request = parse_list_request({k: v for k, v in params.items() if k != "limit"})

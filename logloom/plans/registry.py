@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.timestamps import iso_millis, parse_instant
 from logloom.operators import aggregate, listing, retention, validate
 from logloom.operators.filters import LogFilter, TimeRange, filter_condition
+from logloom.operators.ordering import numbered
 from logloom.plans import views
 from logloom.plans.ingest import check_batches, ingest
 from logloom.session import scratch_path
 from logloom.sources import envelopes
-from logloom.sources.table import LogTable, route_day
+from logloom.sources.table import Commit, LogTable, route_day
 from logloom.streaming.ingest import start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +199,57 @@ _register(
 )
 
 
+def _numbered_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing's keys with their places, so that its order shows in the rows."""
+    rows = listing.matching(_events(spark, sf_dir, TimeRange()), listing.ListRequest())
+    placed, _ = numbered(rows.select("timestamp", "id"), *listing.newest_first(), name="position")
+    return placed.select("position", iso_millis(F.col("timestamp")).alias("timestamp"), "id")
+
+
+_register(
+    "list_positions",
+    _numbered_export,
+    f"""WITH {_LOGS}
+SELECT row_number() OVER (ORDER BY ts DESC, id DESC) AS position, timestamp, id FROM logs""",
+)
+_register(
+    "list_page_keys",
+    lambda spark, sf_dir: listing.page_keys(
+        _hourly(spark, sf_dir, TimeRange()), {"limit": "40", "level": "debug"}
+    ).withColumn("timestamp", iso_millis(F.col("timestamp"))),
+    f"""WITH {_LOGS}, placed AS (
+  SELECT id, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp,
+         row_number() OVER (ORDER BY date_trunc('hour', ts) DESC, id DESC) AS position,
+         count(*) OVER () AS total
+  FROM logs WHERE level = 'debug')
+SELECT position // 40 AS page, timestamp, id,
+       translate(to_base64(encode(concat('{{"timestamp":"', timestamp, '","id":"', id, '"}}'))),
+                 '+/=', '-_') AS next_cursor
+FROM placed WHERE position % 40 = 0 AND position < total""",
+)
+
+
+def _bucket_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket counts with the places the operator gives them: by start, then group."""
+    request = aggregate.parse_aggregate_request({"bucket": "1d", "group_by": "service", **_MONTH})
+    logs = views.events_as_logs(spark, sf_dir, request.span, attributes=False)
+    counts = aggregate.count_rows(logs, request)
+    placed, _ = numbered(
+        counts.withColumn("task_row", F.monotonically_increasing_id()),
+        F.col("task_row"),
+        name="position",
+    )
+    return placed.select("position", iso_millis(F.col("start")).alias("start"), "group", "count")
+
+
+_register(
+    "agg_order",
+    _bucket_order,
+    f"""WITH counted AS ({ORACLES["agg_1d_service"]})
+SELECT row_number() OVER (ORDER BY start, "group") AS position, start, "group", count FROM counted""",
+)
+
+
 # --- text and attribute filters ----------------------------------------------------
 
 
@@ -429,6 +483,32 @@ FROM judged""",
 )
 
 
+def _file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies in a file each, of every way they can be wrong but the one without a byte."""
+    folder = scratch_path(spark, "bodies")
+    bodies = views.broken_event_batches(spark, sf_dir)
+    number = F.col("batch_id").cast("long")
+    bodies = bodies.where((number % 10 != 7) | (number == 7))
+    bodies.select(F.col("batch_id").alias("number"), F.col("body").alias("value")).write.partitionBy(
+        "number"
+    ).text(folder)
+    summary = validate.summarize(check_batches(envelopes.read_files(spark, folder), _now()))
+    return summary.select(
+        F.regexp_extract("batch_id", "number=([0-9]+)", 1).alias("batch_id"),
+        "error",
+        "status",
+        "accepted",
+        F.size("rejected").alias("rejected"),
+    )
+
+
+_register(
+    "files_batch_summary",
+    _file_summaries,
+    ORACLES["batch_errors"] + " WHERE batch % 10 <> 7 OR batch = 7",
+)
+
+
 # --- the stored table ----------------------------------------------------------------
 
 _FIRST_DAY, _LAST_DAY = dt.date(2024, 1, 3), dt.date(2024, 1, 30)
@@ -608,3 +688,248 @@ _register(
 SELECT count(*) AS accepted, count(*) AS visible, CAST(0 AS BIGINT) AS difference
 FROM fate WHERE reason IS NULL""",
 )
+
+
+def _lines(spark: SparkSession, sf_dir: str, files: int) -> str:
+    """A folder with the batches as lines of some files."""
+    inbox = scratch_path(spark, "inbox")
+    lines = F.concat("batch_id", F.lit("\t"), "body").alias("value")
+    batches = views.event_batches(spark, sf_dir)
+    batches.repartition(files, "batch_id").select(lines).write.text(inbox)
+    return inbox
+
+
+def _many_epochs(spark: SparkSession, sf_dir: str) -> LogTable:
+    """A table that a stream has fed in several micro-batches, a file each."""
+    stream = envelopes.stream_lines(spark, _lines(spark, sf_dir, 4), maxFilesPerTrigger=1)
+    table = _new_table(spark)
+    checkpoint = scratch_path(spark, "stream-checkpoint")
+    start_ingest(table, stream, checkpoint, _now(), available_now=True).awaitTermination()
+    if table.last_commit().epoch < 1:
+        raise RuntimeError("the stream made a single epoch")
+    return table
+
+
+_register(
+    "stream_counts_many_epochs",
+    _stored_counts(_many_epochs),
+    ORACLES["stored_counts_from_minutes"],
+)
+
+
+class _TornTable(LogTable):
+    """A table whose writer is lost once, after an epoch's files and before its mark."""
+
+    def _commit(self, commit: Commit, *rest: object) -> None:
+        if commit.epoch == 1:
+            raise ConnectionError("the writer is lost")
+        super()._commit(commit, *rest)
+
+
+def _restarted(spark: SparkSession, sf_dir: str) -> LogTable:
+    """A stream that fails in its second micro-batch and goes on from its checkpoint."""
+    stream = envelopes.stream_lines(spark, _lines(spark, sf_dir, 4), maxFilesPerTrigger=1)
+    table = _new_table(spark)
+    checkpoint = scratch_path(spark, "stream-checkpoint")
+    torn = start_ingest(
+        _TornTable(spark, table.root), stream, checkpoint, _now(), available_now=True
+    )
+    try:
+        torn.awaitTermination()
+    except StreamingQueryException:
+        pass
+    if table.last_commit().epoch != 0:
+        raise RuntimeError("the failure left another number of epochs than one")
+    start_ingest(table, stream, checkpoint, _now(), available_now=True).awaitTermination()
+    return table
+
+
+_register(
+    "stream_ingest_after_failure",
+    lambda spark, sf_dir: _accepted_as_text(_restarted(spark, sf_dir).scan(), "log_day"),
+    ORACLES["stream_ingest_accepted"],
+)
+_register(
+    "stream_ids_after_failure",
+    lambda spark, sf_dir: _day_counts(_restarted(spark, sf_dir)),
+    ORACLES["stored_ids"],
+)
+
+
+# --- upkeep ------------------------------------------------------------------------------
+
+_EPOCHS = 3
+
+
+def _by_epoch(spark: SparkSession, sf_dir: str) -> LogTable:
+    """A table of three epochs: every third batch in each."""
+    table = _new_table(spark)
+    batches = envelopes.from_column(views.event_batches(spark, sf_dir), "batch_id", "body")
+    for epoch in range(_EPOCHS):
+        ingest(table, batches.where(F.col("batch_id").cast("long") % _EPOCHS == epoch), _now())
+    return table
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> LogTable:
+    """Two epochs merged, a third appended, all days but one merged again, old files gone."""
+    table = _new_table(spark)
+    batches = envelopes.from_column(views.event_batches(spark, sf_dir), "batch_id", "body")
+    for epoch in range(_EPOCHS):
+        ingest(table, batches.where(F.col("batch_id").cast("long") % _EPOCHS == epoch), _now())
+        if epoch == 1:
+            table.merge(table.days_to_merge(dt.date(2024, 3, 1)))
+    table.merge([day for day in table.days() if day != f"{_LAST_DAY}"])
+    table.clean(grace_seconds=0)
+    return table
+
+
+_register(
+    "stored_rows_after_merge",
+    lambda spark, sf_dir: _accepted_as_text(
+        _merged(spark, sf_dir).scan(), "log_day", "ingest_epoch"
+    ),
+    f"""WITH {_LOGS}, {_FATE}, {_STORED}
+SELECT log_day, CAST(batch_id AS BIGINT) % {_EPOCHS} AS ingest_epoch, {_ACCEPTED} FROM stored""",
+)
+_register(
+    "stored_counts_after_merge",
+    _stored_counts(_merged),
+    ORACLES["stored_counts_from_minutes"],
+)
+
+
+def _id_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, distinct ids and ids out of order over all epochs of a table."""
+    table = _by_epoch(spark, sf_dir)
+    counts = table.scan().agg(F.count("id").alias("rows"), F.count_distinct("id").alias("ids"))
+    falls = table.id_disorder().agg(F.count(F.lit(1)).alias("out_of_order"))
+    return counts.crossJoin(falls)  # of one row each
+
+
+_register(
+    "stored_id_order",
+    _id_order,
+    f"""WITH {_LOGS}, {_FATE}
+SELECT count(*) AS rows, count(*) AS ids, CAST(0 AS BIGINT) AS out_of_order
+FROM fate WHERE reason IS NULL""",
+)
+
+
+def _rare_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of rows that only an attribute tells apart, far fewer than one a minute."""
+    page = _by_epoch(spark, sf_dir).list(
+        {"attr.k": "7", "service": "svc-1", "until": "2024-01-25T00:00:00Z", "limit": "10"}
+    )
+    rows = [
+        (r["timestamp"], r["level"], r["service"], r["message"], r["attributes"]["k"])
+        for r in page.logs
+    ]
+    return spark.createDataFrame(
+        rows, "timestamp string, level string, service string, message string, k bigint"
+    )
+
+
+_register(
+    "stored_page_rare",
+    _rare_page,
+    f"""WITH {_LOGS}, {_FATE}, {_STORED}
+SELECT strftime(stored_ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp, level, service, message,
+       CAST(7 AS BIGINT) AS k
+FROM stored
+WHERE json_extract_string(stored_attributes, '$.k') = '7' AND service = 'svc-1'
+  AND stored_ts < TIMESTAMP '2024-01-25'
+ORDER BY stored_ts DESC LIMIT 10""",
+)
+
+
+_MISFILED = ("2024-01-10", "2024-01-11", "2024-01-12")
+
+
+def _misfiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reconciling says after one epoch's rows of some days went over to another epoch.
+
+    As many are missing in one as are too many in the other, so their sum shows nothing.
+    """
+    table = _by_epoch(spark, sf_dir)
+    for day in _MISFILED:
+        folder = f"{table.logs_path}/log_day={day}"
+        if table.folders.exists(f"{folder}/ingest_epoch=1"):
+            rows = spark.read.parquet(f"{folder}/ingest_epoch=1")
+            rows.write.mode("append").parquet(f"{folder}/ingest_epoch=2")
+            table.folders.remove(f"{folder}/ingest_epoch=1")
+    return table.reconcile()
+
+
+_register(
+    "reconcile_after_loss",
+    _misfiled,
+    f"""WITH {_LOGS}, {_FATE}, {_STORED},
+rows AS (
+  SELECT CAST(batch_id AS BIGINT) % {_EPOCHS} AS ingest_epoch, log_day FROM stored),
+acknowledged AS (SELECT ingest_epoch, count(*) AS accepted FROM rows GROUP BY 1),
+seen AS (
+  SELECT CASE WHEN log_day IN {_MISFILED} AND ingest_epoch = 1 THEN 2 ELSE ingest_epoch END
+         AS ingest_epoch, count(*) AS visible
+  FROM rows GROUP BY 1)
+SELECT ingest_epoch, accepted, visible, accepted - visible AS difference
+FROM acknowledged JOIN seen USING (ingest_epoch)""",
+)
+
+
+def _swept_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days after sweeps on one day, again on that day, and on the next; empty ones too."""
+    table = _stored_table(spark, sf_dir)
+    for today in (dt.date(2024, 2, 5), dt.date(2024, 2, 5), dt.date(2024, 2, 6)):
+        retention.run_retention(table, today, 20)
+    return table.day_counts()
+
+
+_register(
+    "day_window_after_sweeps",
+    _swept_window,
+    f"""WITH {_LOGS}, {_FATE}, {_STORED},
+days AS (
+  SELECT strftime(day, '%Y-%m-%d') AS log_day FROM (
+    SELECT unnest(generate_series(TIMESTAMP '2024-01-17', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS day
+    UNION ALL
+    SELECT unnest(generate_series(TIMESTAMP '2024-02-05', TIMESTAMP '2024-02-09', INTERVAL 1 DAY)))
+  UNION ALL SELECT 'default')
+SELECT days.log_day, count(stored.id) AS rows
+FROM days LEFT JOIN stored USING (log_day) GROUP BY 1""",
+)
+
+
+def _catalog_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog table after a sweep; its oldest day has an epoch for every row."""
+    name = f"30_days_{uuid.uuid4().hex}"
+    rows = views.events_as_logs(spark, sf_dir, attributes=False)
+    day = F.to_date("timestamp").cast("string")
+    epoch = F.when(day == f"{_FIRST_DAY}", F.col("id")).otherwise(F.col("id") % _EPOCHS)
+    (
+        rows.withColumns({"log_day": day, "ingest_epoch": epoch})
+        .hint("rebalance", "log_day", "ingest_epoch")
+        .write.partitionBy("log_day", "ingest_epoch")
+        .option("path", scratch_path(spark, "catalog-table"))
+        .saveAsTable(retention.quoted([name]))
+    )
+    retention.run_catalog_retention(spark, [name], dt.date(2024, 2, 5), 20)
+    kept = spark.table(retention.quoted([name])).groupBy(F.col("log_day").alias("day")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    parts = retention.catalog_partitions(spark, [name]).groupBy("day").agg(
+        F.count(F.lit(1)).alias("epochs")
+    )
+    return parts.join(kept, "day", "left").fillna(0, "rows").withColumnRenamed("day", "log_day")
+
+
+_register(
+    "catalog_retention_survivors",
+    _catalog_survivors,
+    f"""WITH {_LOGS}
+SELECT strftime(ts, '%Y-%m-%d') AS log_day, count(DISTINCT id % {_EPOCHS}) AS epochs,
+       count(*) AS rows
+FROM logs WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1
+UNION ALL
+SELECT strftime(day, '%Y-%m-%d'), 1, 0
+FROM (SELECT unnest(generate_series(TIMESTAMP '2024-02-05', TIMESTAMP '2024-02-08', INTERVAL 1 DAY)) AS day)""",
+)

@@ -22,6 +22,9 @@ BODY_TOO_LARGE = "request body exceeds size limit"
 BAD_ENVELOPE = "request body must be an object with a 'logs' array"
 STORE_FAILED = "internal error while storing logs"
 
+# Fixed value: what a caller is told when a page or counts cannot be read.
+READ_FAILED = "database query unavailable, please retry"
+
 # Reasons a single entry is refused, in the order they are tested.
 NOT_AN_OBJECT = "entry must be an object"
 TIMESTAMP_MISSING = "timestamp is required"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -36,3 +38,22 @@ class Folders:
         if not files.exists(target):
             return []
         return sorted(status.getPath().getName() for status in files.listStatus(target))
+
+    def size(self, path: str) -> int:
+        """Bytes of all files under a folder; none if it does not exist."""
+        files, target = self._open(path)
+        return files.getContentSummary(target).getLength() if files.exists(target) else 0
+
+    def age_seconds(self, path: str) -> float:
+        """Time since a folder was made or had an entry added or removed."""
+        files, target = self._open(path)
+        return time.time() - files.getFileStatus(target).getModificationTime() / 1000
+
+    def read_text(self, path: str) -> str:
+        """A small file, without a job."""
+        files, target = self._open(path)
+        stream = files.open(target)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()

@@ -7,6 +7,7 @@ A late entry is stored and counted like any other; nothing is dropped for its ag
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,7 @@ TRIGGER = "5 seconds"
 
 def _query_id(table: LogTable, checkpoint: str) -> str:
     """The id a stream keeps over restarts, so a new stream is never taken for it."""
-    text = table.spark.read.text(f"{checkpoint}/metadata", wholetext=True).first().value
-    return json.loads(text)["id"]
+    return json.loads(table.folders.read_text(f"{checkpoint}/metadata"))["id"]
 
 
 def start_ingest(
@@ -32,10 +32,15 @@ def start_ingest(
     now: Column | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Store a stream of batches; rejects and counts go to the table's ledger."""
+    """Store a stream of batches; rejects and counts go to the table's ledger.
+
+    A stream that ended by a failure goes on where it was if it is started again with the
+    same checkpoint: what its last micro-batch may have written is replaced.
+    """
+    query_id = functools.cache(lambda: _query_id(table, checkpoint))
 
     def store(checked: DataFrame, batch: int) -> None:
-        table.append(checked, _query_id(table, checkpoint), batch)
+        table.append(checked, query_id(), batch)
 
     writer = (
         check_batches(batches, now)

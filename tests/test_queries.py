@@ -45,7 +45,7 @@ def test_entry(spark):
 
 
 # These make a stored table first, so only the plan of their last step could be seen.
-_ON_A_TABLE = ("stored", "stream", "retention", "reconcile")
+_ON_A_TABLE = ("stored", "stream", "retention", "reconcile", "files", "day_window", "catalog")
 
 
 @pytest.mark.parametrize(
