@@ -379,12 +379,13 @@ class LogTable:
         """Write days to ``merged``; returns how many rows, and what their counts add up to."""
         seen = Observation()
         counted = F.sum("count") if "count" in rows.columns else F.lit(None)
-        rows = rows.observe(
-            seen, F.count(F.lit(1)).alias("rows"), F.coalesce(counted, F.lit(0)).alias("counted")
-        )
+        totals = [
+            F.count(F.lit(1)).alias("rows"), F.coalesce(counted, F.lit(0)).alias("counted")
+        ]
         (
             rows.withColumn("merge", F.lit(number))
             .repartitionByRange(files, "log_day", *order)
+            .observe(seen, *totals)  # above, the sampling of ranges would be counted too
             .sortWithinPartitions("log_day", "merge", *order)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
