@@ -31,6 +31,7 @@ from logloom.llm.slices import (
     buffers,
     joined,
     ranges,
+    same_bytes,
     text_bytes,
 )
 
@@ -279,16 +280,25 @@ class Encoder:
         self._start = np.zeros(0, np.int64)
         self._count = np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.int32)
+        # The remembered slices themselves.
+        self._data = np.zeros(0, np.uint8)
+        self._from = np.zeros(0, np.int64)
+        self._size = np.zeros(0, np.int64)
 
     def _learn(self, hashes, data, starts, ends) -> None:
         ids, counts = merge(self.vocabulary, data, starts, ends)
         begin = len(self._ids) + np.cumsum(counts) - counts
+        sizes = ends - starts
+        origin = len(self._data) + np.cumsum(sizes) - sizes
         self._ids = np.concatenate((self._ids, ids.astype(np.int32)))
+        self._data = np.concatenate((self._data, data[ranges(starts, sizes)]))
         known = np.concatenate((self._known, hashes))
         order = np.argsort(known, kind="stable")
         self._known = known[order]
         self._start = np.concatenate((self._start, begin))[order]
         self._count = np.concatenate((self._count, counts))[order]
+        self._from = np.concatenate((self._from, origin))[order]
+        self._size = np.concatenate((self._size, sizes))[order]
 
     def _find(self, hashes):
         place = np.searchsorted(self._known, hashes)
@@ -314,8 +324,18 @@ class Encoder:
             new = first[~found]
             self._learn(hashes[~found], data, starts[new], ends[new])
             place, found = self._find(hashes)
-        count = self._count[place][codes]
-        ids = self._ids[ranges(self._start[place][codes], count)]
+        start, count, pool = self._start[place][codes], self._count[place][codes], self._ids
+        same = same_bytes(
+            data, starts, ends - starts,
+            self._data, self._from[place][codes], self._size[place][codes],
+        )
+        if not same.all():  # a hash that two slices share: merge the other one here
+            other = np.flatnonzero(~same)
+            extra, counts = merge(self.vocabulary, data, starts[other], ends[other])
+            start[other] = len(pool) + np.cumsum(counts) - counts
+            count[other] = counts
+            pool = np.concatenate((pool, extra.astype(np.int32)))
+        ids = pool[ranges(start, count)]
         before = np.concatenate(([0], np.cumsum(count)))
         return ids, before[np.searchsorted(starts, begins)]
 

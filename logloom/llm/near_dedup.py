@@ -30,6 +30,11 @@ from logloom.llm.shingles import Shingler
 from logloom.llm.slices import powers, spread, text_bytes
 from logloom.llm.tables import stored
 
+#: Sets and sketches of a block that meets other blocks as a whole, in bytes.
+BLOCK_BYTES = 4 << 20
+#: Nodes of a block that are held against another block at once.
+_STRIPE = 256
+
 
 @dataclass(frozen=True)
 class Likeness:
@@ -303,19 +308,24 @@ def _star(buckets: DataFrame, seeds: range) -> DataFrame:
     )
 
 
-def _blocks(buckets: DataFrame, block: int) -> DataFrame:
-    """``node, component, block, unit``: nodes that share buckets, in blocks of about ``block``.
+def _blocks(buckets: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """``node, component, block, unit``: nodes that share buckets, in blocks of about ``block``
+    bytes of sets and sketches.
 
-    A node is at home in its largest bucket. A component with many nodes there has blocks
+    A node is at home in its largest bucket. A component with many bytes there has blocks
     of its own and is one unit; each block of the others is a unit.
     """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("members"))
+    weight = classes.select(
+        "node", (F.col("n_shingles") * 8 + F.octet_length("registers")).alias("weight")
+    )
     homes = (
         buckets.join(sizes, "key")
         .groupBy("node", "component")
         .agg(F.max(F.struct("members", "key"))["key"].alias("home"))
+        .join(weight, "node")
     )
-    counts = homes.groupBy("home", "component").agg(F.count("*").alias("own"))
+    counts = homes.groupBy("home", "component").agg(F.sum("weight").alias("own"))
     rest = counts.groupBy("home").agg(
         F.sum(F.when(F.col("own") < block, F.col("own")).otherwise(0)).alias("rest")
     )
@@ -343,7 +353,11 @@ def _blocks(buckets: DataFrame, block: int) -> DataFrame:
 
 
 def _across(
-    buckets: DataFrame, classes: DataFrame, sets: DataFrame, likeness: Likeness, block: int = 256
+    buckets: DataFrame,
+    classes: DataFrame,
+    sets: DataFrame,
+    likeness: Likeness,
+    block: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Links between nodes that share a bucket but no component.
 
@@ -351,7 +365,7 @@ def _across(
     two blocks of one component never meet. A task compares the sketches of two blocks at
     once and the whole sets where the sketches leave a link possible.
     """
-    nodes = stored(_blocks(buckets, block), "blocks")
+    nodes = stored(_blocks(buckets, classes, block), "blocks")
     in_bucket = (
         buckets.select("key", "node").join(nodes, "node").select("key", "unit", "uniform").distinct()
     )
@@ -371,7 +385,7 @@ def _across(
         .withColumn("meeting", F.xxhash64("block", "other_block")),
         "meetings",
     )
-    parts = max(1, meetings.count() // 8)
+    parts = max(1, meetings.count() // 2)
     sides = meetings.select("meeting", "block", F.lit(0).alias("side")).union(
         meetings.where("block <> other_block").select("meeting", "other_block", F.lit(1))
     )
@@ -400,22 +414,25 @@ def _meet(likeness: Likeness, ones: pd.DataFrame, others: pd.DataFrame) -> list[
     ]
     sizes = [side["n_shingles"].to_numpy(float) for side in (ones, others)]
     codes = pd.factorize(pd.concat([ones["component"], others["component"]]))[0]
-    fits = codes[: len(ones), None] != codes[None, len(ones) :]
-    low = np.minimum(sizes[0][:, None], sizes[1][None, :])
-    high = np.maximum(sizes[0][:, None], sizes[1][None, :])
-    fits &= low * 100 >= high * likeness.percent
-    if ones is others:
-        fits = np.triu(fits)
-    at, to = np.nonzero(fits)
     nodes = [side["node"].tolist() for side in (ones, others)]
     sets = [side["shingles"].tolist() for side in (ones, others)]
     links = []
-    for begin in range(0, len(at), 1000):
-        i, j = at[begin : begin + 1000], to[begin : begin + 1000]
-        likely = may_link(likeness, registers[0][i], registers[1][j], sizes[0][i], sizes[1][j])
-        for one, other in zip(i[likely].tolist(), j[likely].tolist()):
-            if _linked(likeness, sets[0][one], sets[1][other]):
-                links.append(tuple(sorted((nodes[0][one], nodes[1][other]))))
+    for stripe in range(0, len(ones), _STRIPE):
+        own = slice(stripe, min(stripe + _STRIPE, len(ones)))
+        fits = codes[own, None] != codes[None, len(ones) :]
+        low = np.minimum(sizes[0][own, None], sizes[1][None, :])
+        high = np.maximum(sizes[0][own, None], sizes[1][None, :])
+        fits &= low * 100 >= high * likeness.percent
+        if ones is others:
+            fits = np.triu(fits, k=stripe)
+        at, to = np.nonzero(fits)
+        at += stripe
+        for begin in range(0, len(at), 1000):
+            i, j = at[begin : begin + 1000], to[begin : begin + 1000]
+            likely = may_link(likeness, registers[0][i], registers[1][j], sizes[0][i], sizes[1][j])
+            for one, other in zip(i[likely].tolist(), j[likely].tolist()):
+                if _linked(likeness, sets[0][one], sets[1][other]):
+                    links.append(tuple(sorted((nodes[0][one], nodes[1][other]))))
     return links
 
 

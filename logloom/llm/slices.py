@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,9 @@ MARK = 0xFF
 #: Texts are joined into buffers of about this many bytes; a longer text gets its own.
 BUFFER_BYTES = 4 << 20
 
+#: Longer slices are hashed by themselves.
+LONG = 64
+
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 
@@ -59,7 +63,9 @@ class SliceHasher:
     """64-bit hashes of slices of a buffer, equal for slices with equal bytes.
 
     A slice's hash is a polynomial in its bytes, taken as the difference of two running
-    sums over the buffer, so the cost does not depend on how many slices there are.
+    sums over the buffer, so the cost does not depend on how many slices there are. Such
+    polynomials modulo 2^64 clash for some long regular texts, whatever their factor, so
+    the few slices of more than ``LONG`` bytes are hashed one by one.
     """
 
     def __init__(self) -> None:
@@ -74,7 +80,30 @@ class SliceHasher:
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self._bytes[data] * self._up[: len(data)], out=sums[1:])
         hashes = (sums[ends] - sums[starts]) * self._down[starts]
-        return spread(hashes ^ (ends - starts).astype(np.uint64))
+        hashes = spread(hashes ^ (ends - starts).astype(np.uint64))
+        for place in np.flatnonzero(ends - starts > LONG).tolist():
+            whole = hashlib.blake2b(data[starts[place] : ends[place]], digest_size=8)
+            hashes[place] = int.from_bytes(whole.digest(), "little")
+        return hashes
+
+
+def same_bytes(
+    data: np.ndarray,
+    starts: np.ndarray,
+    sizes: np.ndarray,
+    other: np.ndarray,
+    other_starts: np.ndarray,
+    other_sizes: np.ndarray,
+) -> np.ndarray:
+    """Which slices of one buffer equal their slices of another, byte by byte."""
+    same = sizes == other_sizes
+    rows = np.flatnonzero(same & (sizes > 0))
+    length = sizes[rows]
+    differ = data[ranges(starts[rows], length)] != other[ranges(other_starts[rows], length)]
+    first = np.cumsum(length) - length
+    if len(rows):
+        same[rows] = np.add.reduceat(differ, first) == 0
+    return same
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import collocations, line_dedup, queries, runs
+from logloom.llm import bpe, collocations, line_dedup, packing, queries, runs
+from logloom.llm.near_dedup import Likeness, near_duplicates
 
 SF = "/root/testdata/sf0.001"
 LINE = "a line that is long enough to count as common, once it is found often"
@@ -309,3 +310,35 @@ def test_registered_queries_cover_every_document(spark, documents, name):
 def test_lines_need_no_python(spark):
     plan = queries.QUERIES["op12_line_dedup"](spark, SF)._jdf.queryExecution().executedPlan()
     assert not re.search("EvalPython|InPandas|InArrow|Cartesian|NestedLoop", plan.toString())
+
+
+# --- hashes of slices -----------------------------------------------------------------
+
+
+def clashing():
+    """Two texts of 4096 letters that every polynomial modulo 2^64 hashes alike."""
+    bits = [bin(number).count("1") % 2 for number in range(4096)]
+    return "".join("aq"[bit] for bit in bits), "".join("qa"[bit] for bit in bits)
+
+
+def test_clashing_texts_have_ids_shingles_and_links_of_their_own(spark):
+    one, other = clashing()
+    rows = [(1, one), (2, other), (3, f"x {one} y z"), (4, f"x {other} y z"), (5, one)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {row.id: row for row in bpe.digests(frame, queries.RANKS).collect()}
+    for number, text in rows:
+        assert found[number].decoded_sha256 == sha(text)
+    pieces = packing.pack(frame, queries.TOKENIZER).groupBy("id").agg(F.sort_array(F.collect_list("ids_crc32")).alias("c"))
+    crcs = {row.id: row.c for row in pieces.collect()}
+    assert crcs[1] == crcs[5] != crcs[2] and crcs[3] != crcs[4]
+    linked = {row.id: row.component_id for row in near_duplicates(frame, Likeness(words=3, percent=85)).collect()}
+    assert linked == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_pieces_under_one_hash_keep_their_own_ids(monkeypatch):
+    encoder = bpe.Encoder(bpe.Vocabulary.read(queries.RANKS))
+    texts = [b"some words of one text", b"and others, of another", b"some words again"]
+    expected = [ids.tolist() for _, ids in bpe.encoded(texts, encoder)]
+    encoder = bpe.Encoder(bpe.Vocabulary.read(queries.RANKS))
+    monkeypatch.setattr(encoder, "_hash", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    assert [ids.tolist() for _, ids in bpe.encoded(texts, encoder)] == expected
