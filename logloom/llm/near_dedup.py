@@ -32,6 +32,8 @@ from logloom.llm.tables import stored
 
 #: Sets and sketches of a block that meets other blocks as a whole, in bytes.
 BLOCK_BYTES = 4 << 20
+#: Times that nodes move to a larger home in reach, so as not to chain groups together.
+_MOVES = 2
 #: Nodes of a block that are held against another block at once.
 _STRIPE = 256
 
@@ -312,8 +314,10 @@ def _blocks(buckets: DataFrame, classes: DataFrame, block: int) -> DataFrame:
     """``node, component, block, unit``: nodes that share buckets, in blocks of about ``block``
     bytes of sets and sketches.
 
-    A node is at home in its largest bucket. A component with many bytes there has blocks
-    of its own and is one unit; each block of the others is a unit.
+    A node is at home in its largest bucket, and moves to a larger home in reach, so that
+    one group of alike nodes is not cut into as many homes as it has buckets. A component
+    with many bytes there has blocks of its own and is one unit; each block of the others
+    is a unit.
     """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("members"))
     weight = classes.select(
@@ -325,6 +329,9 @@ def _blocks(buckets: DataFrame, classes: DataFrame, block: int) -> DataFrame:
         .agg(F.max(F.struct("members", "key"))["key"].alias("home"))
         .join(weight, "node")
     )
+    homes = stored(homes, "homes")
+    for _ in range(_MOVES):
+        homes = stored(_moved_in(buckets, homes), "homes")
     counts = homes.groupBy("home", "component").agg(F.sum("weight").alias("own"))
     rest = counts.groupBy("home").agg(
         F.sum(F.when(F.col("own") < block, F.col("own")).otherwise(0)).alias("rest")
@@ -352,6 +359,24 @@ def _blocks(buckets: DataFrame, classes: DataFrame, block: int) -> DataFrame:
     )
 
 
+def _moved_in(buckets: DataFrame, homes: DataFrame) -> DataFrame:
+    """Every node in the largest home of all who share a bucket with it."""
+    sizes = homes.groupBy("home").agg(F.sum("weight").alias("size"))
+    near = (
+        buckets.select("key", "node")
+        .join(homes.join(sizes, "home"), "node")
+        .groupBy("key")
+        .agg(F.max(F.struct("size", "home")).alias("best"))
+    )
+    moved = (
+        buckets.select("key", "node")
+        .join(near, "key")
+        .groupBy("node")
+        .agg(F.max("best")["home"].alias("home"))
+    )
+    return homes.drop("home").join(moved, "node")
+
+
 def _across(
     buckets: DataFrame,
     classes: DataFrame,
