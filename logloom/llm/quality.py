@@ -1,71 +1,173 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts bytes from the two before them. Tasks count the trigrams of trusted
-texts; the counts of all orders, the discounts and the back-off weights are joins and sums
-of count tables, sharded by their contexts. Over bytes there are 2 ** 24 trigrams whatever
-the amount of text, so the finished model is a table of 16 MB in which every task looks up
-each byte of each text. A text's surprise per byte is held against a quantile among the
-trusted texts in its language.
+The model predicts a byte from the four before it. Counts of trusted five-grams and all
+that follows from them (lower orders, discounts, back-off weights, shares) are tables joined
+by n-gram, as large as the texts make them. Texts are scored by a join with those tables:
+they are put into blocks, a block asks for each of its distinct n-grams once, however often
+it holds them, and the answers come back to the block. So an n-gram that fills a third of
+all texts is still one row of a block.
+
+Two thirds of the trusted texts are counted. A text's surprise per byte is held against a
+quantile among the others, which the model has not seen, in its language.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.slices import MARK, buffers, joined, text_bytes
 from logloom.llm.tables import stored
 
-#: Surprise is kept in tenths of a bit, one byte per trigram.
-STEP = 0.1
+#: Bytes of an n-gram, the predicted one included. With its order above them they are its key.
+ORDER = 5
+KEY_BITS = 8 * ORDER
+#: Texts are put into blocks of about so many bytes; a longer text is its own block.
+BLOCK_BYTES = 16 << 20
 #: Quantiles of the trusted texts of a language between which a text stays. A surprise far
 #: below that of any prose means endless repetition.
 QUANTILES = (0.0005, 0.995)
+#: One in so many trusted texts is not counted and gives the upper quantile.
+HELD_OUT = 3
 #: So many bytes of the language's mean surprise are added to every text, as a short
 #: text's own mean says little.
 PRIOR_BYTES = 100
-#: Labels are sent to every task up to this many rows; beyond, the texts are shuffled.
-LABELS_SENT = 5_000_000
 
 
-def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all trigrams that end in a byte of a text or in the mark after it, and
-    where each text's trigrams begin, then the end."""
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end in a byte of a text or in the mark after it, and where each
+    text's own begin, then the end. Before a text there are only marks."""
     data, begins = joined(texts)
-    last = data[1:-4].astype(np.uint32)
-    middle = data[:-5].astype(np.uint32)
-    first = np.concatenate(([np.uint32(MARK)], middle[:-1]))
-    first[middle == MARK] = MARK
-    return first << 16 | middle << 8 | last, begins - 1
+    data = data[:-4].astype(np.int64)
+    codes, after = data[1:].copy(), data[:-1]
+    for step in range(1, ORDER):
+        codes |= after << 8 * step
+        before = np.concatenate(([MARK] * step, data[: -step - 1]))
+        after = np.where(after == MARK, MARK, before)
+    return codes, begins - 1
 
 
-# --- training --------------------------------------------------------------------
+def _suffix(codes: np.ndarray, size: int) -> np.ndarray:
+    """Keys of the last ``size`` bytes."""
+    return codes & ((1 << 8 * size) - 1) | size << KEY_BITS
 
 
-def count_trigrams(texts: DataFrame) -> DataFrame:
-    """``first, middle, last, n`` over a frame with one column of texts."""
+def _context(codes: np.ndarray, size: int) -> np.ndarray:
+    """Keys of the ``size`` bytes before the last one."""
+    return _suffix(codes >> 8, size)
+
+
+# --- blocks ----------------------------------------------------------------------
+
+
+def blocks(documents: DataFrame) -> DataFrame:
+    """One row per block: its texts, compressed, their ids, and its distinct n-grams, sorted,
+    with how often they occur in texts to count.
+
+    ``documents`` has ``id, text_key, lang, trusted, counted, text``.
+    """
+    columns = ["id", "text_key", "lang", "trusted"]
+    kinds = [documents.schema[name].dataType.simpleString() for name in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        texts: list[bytes] = []
+        size = 0
+
+        def block() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            counted = rows.column("counted").to_pylist()
+            distinct, counts = [], []
+            for part in buffers(texts):
+                codes, begins = grams(texts[part])
+                kinds_here = np.unique(codes)
+                seen = np.repeat(np.array(counted[part], bool), np.diff(begins))
+                own, times = np.unique(codes[seen], return_counts=True)
+                each = np.zeros(len(kinds_here), np.int64)
+                each[np.searchsorted(kinds_here, own)] = times
+                distinct.append(kinds_here)
+                counts.append(each)
+            keys, place = np.unique(np.concatenate(distinct), return_inverse=True)
+            times = np.bincount(place, np.concatenate(counts), len(keys)).astype(np.int64)
+            lists = [
+                pa.ListArray.from_arrays([0, len(rows)], rows.column(name).combine_chunks())
+                for name in columns
+            ]
+            body = zstandard.ZstdCompressor(level=3).compress(bytes([MARK]).join(texts))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number], pa.int64()),
+                    *lists,
+                    pa.array([body], pa.binary()),
+                    pa.array([keys.tobytes()], pa.binary()),
+                    pa.array([times.tobytes()], pa.binary()),
+                ],
+                ["block", *columns, "texts", "keys", "counts"],
+            )
+
+        for batch in batches:
+            own = text_bytes(batch.column("text"))
+            slim = batch.drop_columns(["text"])
+            for part in buffers(own, BLOCK_BYTES // 4):
+                held.append(slim.slice(part.start, part.stop - part.start))
+                texts += own[part]
+                size += sum(map(len, own[part]))
+                if size >= BLOCK_BYTES:
+                    yield block()
+                    number += 1
+                    held, texts, size = [], [], 0
+        if texts:
+            yield block()
+
+    lists = ", ".join(f"{name} array<{kind}>" for name, kind in zip(columns, kinds))
+    schema = f"block bigint, {lists}, texts binary, keys binary, counts binary"
+    return documents.select(*columns, "counted", "text").mapInArrow(run, schema)
+
+
+def count_grams(held: DataFrame) -> DataFrame:
+    """``key, n`` of the n-grams of texts to count, over all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = text_bytes(batch.column(0))
-            for part in buffers(own):
-                codes, counts = np.unique(trigrams(own[part])[0], return_counts=True)
+            for keys, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                codes, times = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+                seen = times > 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(codes.astype(np.int32)), pa.array(counts, pa.int64())],
-                    ["code", "n"],
+                    [pa.array(_suffix(codes[seen], ORDER)), pa.array(times[seen])], ["key", "n"]
                 )
 
-    counts = texts.mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    return counts.select(
-        F.shiftright("code", 16).alias("first"),
-        F.shiftright("code", 8).bitwiseAND(255).alias("middle"),
-        F.col("code").bitwiseAND(255).alias("last"),
-        "n",
-    )
+    counts = held.select("keys", "counts").mapInArrow(run, "key bigint, n bigint")
+    return counts.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def asked(held: DataFrame) -> DataFrame:
+    """``block, key``: every n-gram and every context, of each order, that a block needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, keys in zip(*(column.to_pylist() for column in batch.columns)):
+                codes = np.frombuffer(keys, np.int64)
+                wanted = [np.zeros(1, np.int64), _suffix(codes, ORDER)]
+                for size in range(1, ORDER):
+                    both = np.concatenate((_suffix(codes, size), _context(codes, size)))
+                    wanted.append(np.unique(both))
+                for part in wanted:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), block)), pa.array(part)], ["block", "key"]
+                    )
+
+    return held.select("block", "keys").mapInArrow(run, "block bigint, key bigint")
+
+
+# --- the model -------------------------------------------------------------------
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -79,84 +181,105 @@ def discounts(counts: DataFrame) -> list[float]:
     return [min(max(value, 0.05), limit) for value, limit in zip(raw, (0.95, 1.95, 2.95))]
 
 
-def _discounted(counts: DataFrame, context: list[str], discount: list[float]) -> DataFrame:
-    """Adds ``share``, the discounted probability, and ``rest``, the weight left over."""
-    taken = F.element_at(F.array(*map(F.lit, discount)), F.least("n", F.lit(3)).cast("int"))
-    contexts = counts.groupBy(context).agg(
-        F.sum("n").alias("total"), (F.sum(taken) / F.sum("n")).alias("rest")
-    )
-    return counts.join(contexts, context).withColumn(
-        "share", F.greatest(F.col("n") - taken, F.lit(0.0)) / F.col("total")
-    )
+def _cut(key: str, size: int, skip: int = 0) -> Column:
+    """Key of the last ``size`` bytes but the last ``skip``."""
+    bytes_ = F.shiftright(F.col(key), 8 * skip).bitwiseAND((1 << 8 * size) - 1)
+    return bytes_.bitwiseOR(F.lit(size << KEY_BITS))
 
 
-def train(texts: DataFrame) -> np.ndarray:
-    """Surprise of every trigram's last byte after the first two, in steps of a tenth bit.
+def train(counts: DataFrame) -> DataFrame:
+    """``key, p, rest`` from ``key, n`` of the longest n-grams.
 
-    Lower orders count in how many contexts a byte was seen, as Kneser-Ney asks. The driver
-    holds tables over bytes only: at most 2 ** 24 rows, 2 ** 16 of the lower order.
+    ``p`` is the probability of the n-gram's last byte after the others, null where it was
+    never seen there; ``rest`` the weight of the next shorter context after the whole
+    n-gram, null where nothing was seen after it. Lower orders count in how many
+    contexts a byte was seen, as Kneser-Ney asks. Key 0 has the uniform share.
     """
-    three = stored(count_trigrams(texts), "trigrams")
-    two = stored(three.groupBy("middle", "last").agg(F.count("*").alias("n")), "bigrams")
-    one = two.groupBy("last").agg(F.count("*").alias("n"))
-
-    single = np.ones(256)
-    for row in one.collect():
-        single[row["last"]] += row["n"]
-    single /= single.sum()
-
-    double = np.tile(single, (256, 1))
-    rows = _discounted(two, ["middle"], discounts(two)).collect()
-    middle, last = (np.array([row[c] for row in rows], int) for c in ("middle", "last"))
-    weight = np.ones((256, 1))
-    weight[middle, 0] = [row["rest"] for row in rows]
-    double *= weight
-    double[middle, last] += [row["share"] for row in rows]
-
-    rows = _discounted(three, ["first", "middle"], discounts(three)).select(
-        (F.col("first") * 256 + F.col("middle")).alias("context"), "last", "share", "rest"
-    )
-    seen = rows.toPandas()
-    weight = np.ones((1 << 16, 1), np.float32)
-    weight[seen["context"], 0] = seen["rest"]
-    table = np.empty((1 << 16, 256), np.uint8)
-    share = np.zeros((256, 256), np.float32)
-    for first in range(256):
-        share[:] = double * weight[first * 256 : first * 256 + 256]
-        own = seen[seen["context"] // 256 == first]
-        share[own["context"] % 256, own["last"]] += own["share"]
-        bits = -np.log2(np.maximum(share, 1e-9))
-        table[first * 256 : first * 256 + 256] = np.minimum(np.rint(bits / STEP), 255)
-    return table.ravel()
+    spark = counts.sparkSession
+    by_order = {ORDER: counts}
+    for size in range(ORDER - 1, 0, -1):
+        shorter = by_order[size + 1].groupBy(_cut("key", size).alias("key"))
+        by_order[size] = stored(shorter.agg(F.count("*").alias("n")), f"grams{size}")
+
+    levels = []
+    below = spark.range(1).select(F.col("id").alias("key"), F.lit(1 / 256).alias("p"))
+    for size in range(1, ORDER + 1):
+        own = by_order[size]
+        taken = F.element_at(
+            F.array(*map(F.lit, discounts(own))), F.least("n", F.lit(3)).cast("int")
+        )
+        own = own.withColumn("context", _cut("key", size - 1, 1))
+        contexts = own.groupBy("context").agg(
+            F.sum("n").alias("total"), (F.sum(taken) / F.sum("n")).alias("rest")
+        )
+        weights = contexts.select(F.col("context").alias("key"), "rest")
+        levels.append(below.join(weights, "key", "full"))
+        shorter = below.select(F.col("key").alias("suffix"), F.col("p").alias("shorter"))
+        share = F.greatest(F.col("n") - taken, F.lit(0.0)) / F.col("total")
+        below = stored(
+            own.join(contexts, "context")
+            .withColumn("suffix", _cut("key", size - 1))
+            .join(shorter, "suffix")
+            .select("key", (share + F.col("rest") * F.col("shorter")).alias("p")),
+            f"shares{size}",
+        )
+    levels.append(below.withColumn("rest", F.lit(None).cast("double")))
+    return reduce(DataFrame.unionByName, levels)
 
 
 # --- scoring ---------------------------------------------------------------------
 
 
-def surprise(documents: DataFrame, table: np.ndarray, id: str, text: str, lang: str) -> DataFrame:
-    """``id, text_key, lang, n_bytes, bits``: what the model needs to spell each text."""
-    sent = documents.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits_of = sent.value
-        for batch in batches:
-            texts = text_bytes(batch.column(3))
-            for part in buffers(texts):
-                codes, begins = trigrams(texts[part])
-                sums = np.concatenate(([0], np.cumsum(bits_of[codes], dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c)[part.start : part.stop] for c in range(3)),
-                        pa.array(np.diff(begins) - 1, pa.int64()),
-                        pa.array(np.diff(sums[begins]) * STEP, pa.float64()),
-                    ],
-                    ["id", "text_key", "lang", "n_bytes", "bits"],
-                )
-
-    kinds = [documents.schema[name].dataType.simpleString() for name in (id, lang)]
-    return documents.select(id, F.xxhash64(text), lang, text).mapInArrow(
-        run, f"id {kinds[0]}, text_key bigint, lang {kinds[1]}, n_bytes bigint, bits double"
-    )
+def _bits(codes: np.ndarray, keys: np.ndarray, p: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Surprise of each n-gram's last byte, from the model's rows sorted by key."""
+
+    def find(wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(wanted), np.nan)
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[place] == wanted, values[place], np.nan)
+
+    share = np.full(len(codes), 1 / 256)
+    for size in range(1, ORDER + 1):
+        weight = find(_context(codes, size - 1), rest)
+        longer = find(_suffix(codes, size), p)
+        shorter = share * np.where(np.isnan(weight), 1.0, weight)
+        share = np.where(np.isnan(longer), shorter, longer)
+    return -np.log2(np.maximum(share, 1e-12))
+
+
+def surprise(held: DataFrame, model: DataFrame) -> DataFrame:
+    """``id, text_key, lang, trusted, n_bytes, bits``: what the model needs to spell each text."""
+    answers = asked(held).join(model, "key")
+    kinds = {field.name: field.dataType for field in held.schema.fields}
+    columns = ["id", "text_key", "lang", "trusted"]
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        row = own.combine_chunks()
+        keys = answers.column("key").to_numpy()
+        order = np.argsort(keys)
+        p, rest = (
+            answers.column(name).to_numpy(zero_copy_only=False).astype(float)[order]
+            for name in ("p", "rest")
+        )
+        distinct = np.frombuffer(row.column("keys")[0].as_py(), np.int64)
+        bits = _bits(distinct, keys[order], p, rest)
+        texts = zstandard.ZstdDecompressor().decompress(row.column("texts")[0].as_py())
+        texts = texts.split(bytes([MARK]))
+        sizes, sums = [], []
+        for part in buffers(texts):
+            codes, begins = grams(texts[part])
+            sizes.append(np.diff(begins) - 1)
+            sums.append(np.add.reduceat(bits[np.searchsorted(distinct, codes)], begins[:-1]))
+        lists = [row.column(name).combine_chunks().flatten() for name in columns]
+        return pa.Table.from_arrays(
+            [*lists, pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sums))],
+            [*columns, "n_bytes", "bits"],
+        )
+
+    schema = ", ".join(f"{name} {kinds[name].elementType.simpleString()}" for name in columns)
+    both = held.drop("counts").groupBy("block").cogroup(answers.groupBy("block"))
+    return both.applyInArrow(run, schema + ", n_bytes bigint, bits double")
 
 
 def classify(
@@ -171,62 +294,82 @@ def classify(
 
     ``labels`` has ``doc_id, quality``; texts labelled 1 are trusted. Returns ``id, text_key,
     lang, n_bytes, perplexity, score, floor, threshold, kept``. The score is the mean surprise with
-    the language's mean added as so many bytes; a text stays from ``floor`` to ``threshold``,
-    quantiles among trusted texts of the language, or among all where the language (or null)
-    has none; without any trusted text nothing is rejected. Null and empty texts score their language's mean and
-    stay. Repeated rows get equal results; texts are read whole; an empty table gives none.
+    the language's mean added as so many bytes; a text stays from ``floor``, a quantile among
+    all trusted texts of the language, to ``threshold``, one among those not counted (among all
+    where none was left out). A language (or null) without trusted texts takes the quantiles of
+    all languages; without any trusted text nothing is rejected. Null and empty texts score
+    their language's mean and stay. Repeated rows get equal results; texts are read whole; an
+    empty table gives none.
     """
     trusted = (
         labels.where("quality = 1 AND doc_id IS NOT NULL")
         .select(F.col("doc_id").alias("trusted_id"))
         .distinct()
     )
-    if trusted.count() <= LABELS_SENT:
-        trusted = F.broadcast(trusted)
-    texts = documents.select(F.col(id).alias("trusted_id"), F.col(text).alias("text"))
-    table = train(texts.join(trusted, "trusted_id", "left_semi").select("text"))
-    scores = stored(surprise(documents, table, id, text, lang), "surprise")
+    texts = documents.select(
+        F.col(id).alias("id"),
+        F.xxhash64(text).alias("text_key"),
+        F.col(lang).alias("lang"),
+        F.col(text).alias("text"),
+    )
+    held_out = F.pmod("text_key", F.lit(HELD_OUT)) == 0
+    marked = (
+        texts.join(trusted, texts["id"] == F.col("trusted_id"), "left")
+        .withColumn("trusted", F.col("trusted_id").isNotNull())
+        .withColumn("counted", F.col("trusted") & ~held_out)
+    )
+    held = stored(blocks(marked), "blocks", compression="zstd")
+    model = train(stored(count_grams(held), "grams"))
+    scores = stored(surprise(held, model), "surprise")
 
-    known = scores.join(trusted, scores["id"] == F.col("trusted_id"), "left_semi")
+    known = scores.where("trusted")
     size = F.col("n_bytes") + 1
-
     overall = known.agg((F.sum("bits") / F.sum(size)).alias("mean")).first()["mean"]
     means = known.groupBy(F.col("lang").alias("l")).agg((F.sum("bits") / F.sum(size)).alias("mean"))
-
-    def score() -> Column:
-        prior = F.coalesce("mean", F.lit(overall), F.lit(0.0)) * PRIOR_BYTES
-        return (F.col("bits") + prior) / (size + PRIOR_BYTES)
-
+    prior = F.coalesce("mean", F.lit(overall), F.lit(0.0)) * PRIOR_BYTES
     same_lang = F.col("lang").eqNullSafe(F.col("l"))
-    scored = scores.join(means, same_lang, "left").withColumn("score", score())
+    scored = scores.join(means, same_lang, "left").withColumn(
+        "score", (F.col("bits") + prior) / (size + PRIOR_BYTES)
+    )
     scored = stored(scored.drop("l", "mean"), "scored")
-    known = scored.join(trusted, scored["id"] == F.col("trusted_id"), "left_semi")
-    limit = F.percentile_approx("score", list(quantiles), 10_000)
-    limits = known.groupBy(F.col("lang").alias("l")).agg(limit.alias("limits"))
-    everywhere = known.agg(limit.alias("limits")).first()["limits"] or [-np.inf, np.inf]
-    own = F.coalesce("limits", F.array(*[F.lit(float(value)) for value in everywhere]))
-    return scored.join(limits, same_lang, "left").select(
+
+    def quantile(values: Column, share: float) -> Column:
+        return F.percentile_approx(values, share, 10_000)
+
+    limits = (
+        quantile(F.col("score"), quantiles[0]).alias("low"),
+        F.coalesce(
+            quantile(F.when(held_out, F.col("score")), quantiles[1]),
+            quantile(F.col("score"), quantiles[1]),
+        ).alias("high"),
+    )
+    known = scored.where("trusted")
+    everywhere = known.agg(*limits).first()
+    own = known.groupBy(F.col("lang").alias("l")).agg(*limits)
+    low = F.coalesce("low", F.lit(everywhere["low"]), F.lit(-np.inf))
+    high = F.coalesce("high", F.lit(everywhere["high"]), F.lit(np.inf))
+    return scored.join(own, same_lang, "left").select(
         "id",
         "text_key",
         "lang",
         "n_bytes",
         F.pow(F.lit(2.0), F.col("bits") / size).alias("perplexity"),
         "score",
-        own[0].alias("floor"),
-        own[1].alias("threshold"),
-        F.col("score").between(own[0], own[1]).alias("kept"),
+        low.alias("floor"),
+        high.alias("threshold"),
+        F.col("score").between(low, high).alias("kept"),
     )
 
 
 def without_low_quality(
     documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows of ``documents`` that are not rejected, all columns as they are."""
-    rejected = (
-        classify(documents, labels, id=id, text=text)
-        .where("NOT kept")
-        .select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"))
-        .distinct()
+    """The rows of ``documents`` that are not rejected, all columns as they are, whatever
+    further columns are called. Rows with a null id or text are judged like others."""
+    rejected = classify(documents, labels, id=id, text=text).where("NOT kept")
+    rejected = rejected.select("id", "text_key").distinct().alias("rejected")
+    rows = documents.alias("rows")
+    same = F.col(f"rows.`{id}`").eqNullSafe(F.col("rejected.id")) & (
+        F.xxhash64(F.col(f"rows.`{text}`")) == F.col("rejected.text_key")
     )
-    same = F.col(id).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_key"))
-    return documents.join(rejected, same, "left_anti")
+    return rows.join(rejected, same, "left_anti")

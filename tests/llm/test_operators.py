@@ -369,11 +369,91 @@ def test_quality(spark, odd, empty, labels):
     assert quality.without_low_quality(odd, labels).columns == odd.columns
 
 
-def test_kneser_ney_shares_add_up(spark):
-    texts = spark.createDataFrame([(prose(n),) for n in range(30)], "text string")
-    table = quality.train(texts)
-    shares = 2.0 ** (-quality.STEP * table.reshape(-1, 256)[ord("t") << 8 | ord("h")].astype(float))
-    assert 0.9 < shares.sum() < 1.1 and shares.argmax() == ord("e")
+def kneser_ney(texts):
+    """The model of ``quality`` over plain strings of bytes, by its textbook definition."""
+    mark, size = bytes([quality.MARK]), quality.ORDER
+    counts = {size: {}}
+    for text in texts:
+        row = mark * (size - 1) + text + mark
+        for end in range(size, len(row) + 1):
+            gram = row[end - size : end]
+            counts[size][gram] = counts[size].get(gram, 0) + 1
+    for order in range(size - 1, 0, -1):
+        counts[order] = {}
+        for gram in counts[order + 1]:
+            counts[order][gram[1:]] = counts[order].get(gram[1:], 0) + 1
+    cuts, totals = {}, {}
+    for order, own in counts.items():
+        n = [sum(value == k for value in own.values()) for k in range(5)]
+        cuts[order] = [0.5, 0.75, 0.9]
+        if all(n[1:]):
+            y = n[1] / (n[1] + 2 * n[2])
+            raw = [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
+            cuts[order] = [min(max(v, 0.05), k - 0.05) for k, v in zip((1, 2, 3), raw)]
+        for gram, value in own.items():
+            total, taken = totals.get(gram[:-1], (0, 0))
+            totals[gram[:-1]] = total + value, taken + cuts[order][min(value, 3) - 1]
+
+    def share(gram):
+        if not gram:
+            return 1 / 256
+        shorter = share(gram[1:])
+        if gram[:-1] not in totals:
+            return shorter
+        total, taken = totals[gram[:-1]]
+        own = counts[len(gram)].get(gram, 0)
+        seen = max(own - cuts[len(gram)][min(own, 3) - 1], 0) if own else 0
+        return seen / total + taken / total * shorter
+
+    return share
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    texts = [prose(n, 30 + n) for n in range(40)] + ["", "été 😀", "a" * 50]
+    rows = [(n, n, "en", n % 2 == 0, n % 2 == 0, text) for n, text in enumerate(texts)]
+    rows += [(-1, -1, None, False, False, None), (None, -2, "xx", False, False, "new words, unseen")]
+    documents = spark.createDataFrame(
+        rows, "id int, text_key bigint, lang string, trusted boolean, counted boolean, text string"
+    ).repartition(3)
+    held = quality.blocks(documents)
+    model = quality.train(quality.count_grams(held)).cache()
+    share = kneser_ney([text.encode() for text in texts[::2]])
+
+    shares = {row["key"]: row["p"] for row in model.collect()}
+    for text in ("alpha", "the r", "é 😀"[:3]):
+        gram = text.encode()[: quality.ORDER]
+        key = int.from_bytes(gram, "big") | len(gram) << quality.KEY_BITS
+        if shares.get(key) is not None:
+            assert math.isclose(shares[key], share(gram), rel_tol=1e-9)
+    mark = bytes([quality.MARK])
+    found = {row["text_key"]: row for row in quality.surprise(held, model).collect()}
+    assert len(found) == len(rows)
+    for row in rows:
+        text = mark * 4 + (row[5] or "").encode() + mark
+        bits = -sum(math.log2(share(text[end - 5 : end])) for end in range(5, len(text) + 1))
+        assert math.isclose(found[row[1]]["bits"], bits, rel_tol=1e-9)
+        assert found[row[1]]["n_bytes"] == len(text) - 5 and found[row[1]]["id"] == row[0]
+    assert math.isclose(sum(share(b"alph" + bytes([n])) for n in range(256)), 1, rel_tol=1e-9)
+
+
+def test_blocks_of_any_size_give_the_same_scores(spark, labels, monkeypatch):
+    documents = spark.createDataFrame(
+        [(n % 25, prose(n, 5 * n), "en") for n in range(60)], "doc_id int, text string, lang string"
+    )
+
+    def scores():
+        found = quality.classify(documents, labels).collect()
+        return sorted((r["id"], r["n_bytes"], round(r["score"], 9), r["kept"]) for r in found)
+
+    want = scores()
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 2000)
+    assert scores() == want
+
+
+def test_quality_keeps_columns_of_any_name(spark, odd, labels):
+    clashing = odd.withColumnsRenamed({"id": "text_key", "node": "gone_id", "kept": "trusted"})
+    clashing = clashing.withColumn("rows", F.lit(1)).withColumn("rejected", F.lit(2))
+    assert quality.without_low_quality(clashing, labels).columns == clashing.columns
 
 
 # --- 3: toxicity ------------------------------------------------------------------------------
