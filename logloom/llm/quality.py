@@ -24,13 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.slices import MARK, buffers, joined, text_bytes
-from logloom.llm.tables import stored
+from logloom.llm.tables import sent_if_small, stored
 
 #: Bytes of an n-gram, the predicted one included. With its order above them they are its key.
 ORDER = 5
 KEY_BITS = 8 * ORDER
 #: Texts are put into blocks of about so many bytes; a longer text is its own block.
 BLOCK_BYTES = 16 << 20
+#: How hard texts are compressed while they wait for answers.
+LEVEL = 9
 #: Quantiles of the trusted texts of a language between which a text stays. A surprise far
 #: below that of any prose means endless repetition.
 QUANTILES = (0.0005, 0.995)
@@ -64,6 +66,15 @@ def _context(codes: np.ndarray, size: int) -> np.ndarray:
     return _suffix(codes >> 8, size)
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted n-grams as compressed steps from one to the next."""
+    return zstandard.compress(np.diff(keys, prepend=0).tobytes())
+
+
+def _unpacked(keys: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(keys), np.int64))
+
+
 # --- blocks ----------------------------------------------------------------------
 
 
@@ -101,14 +112,14 @@ def blocks(documents: DataFrame) -> DataFrame:
                 pa.ListArray.from_arrays([0, len(rows)], rows.column(name).combine_chunks())
                 for name in columns
             ]
-            body = zstandard.ZstdCompressor(level=3).compress(bytes([MARK]).join(texts))
+            body = zstandard.compress(bytes([MARK]).join(texts), LEVEL)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
                     *lists,
                     pa.array([body], pa.binary()),
-                    pa.array([keys.tobytes()], pa.binary()),
-                    pa.array([times.tobytes()], pa.binary()),
+                    pa.array([_packed(keys)], pa.binary()),
+                    pa.array([zstandard.compress(times.tobytes())], pa.binary()),
                 ],
                 ["block", *columns, "texts", "keys", "counts"],
             )
@@ -138,7 +149,8 @@ def count_grams(held: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts in zip(*(column.to_pylist() for column in batch.columns)):
-                codes, times = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+                codes = _unpacked(keys)
+                times = np.frombuffer(zstandard.decompress(counts), np.int64)
                 seen = times > 0
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_suffix(codes[seen], ORDER)), pa.array(times[seen])], ["key", "n"]
@@ -154,7 +166,7 @@ def asked(held: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, keys in zip(*(column.to_pylist() for column in batch.columns)):
-                codes = np.frombuffer(keys, np.int64)
+                codes = _unpacked(keys)
                 wanted = [np.zeros(1, np.int64), _suffix(codes, ORDER)]
                 for size in range(1, ORDER):
                     both = np.concatenate((_suffix(codes, size), _context(codes, size)))
@@ -224,7 +236,8 @@ def train(counts: DataFrame) -> DataFrame:
             f"shares{size}",
         )
     levels.append(below.withColumn("rest", F.lit(None).cast("double")))
-    return reduce(DataFrame.unionByName, levels)
+    model = reduce(DataFrame.unionByName, levels)
+    return model.select("key", F.col("p").cast("float"), F.col("rest").cast("float"))
 
 
 # --- scoring ---------------------------------------------------------------------
@@ -262,9 +275,9 @@ def surprise(held: DataFrame, model: DataFrame) -> DataFrame:
             answers.column(name).to_numpy(zero_copy_only=False).astype(float)[order]
             for name in ("p", "rest")
         )
-        distinct = np.frombuffer(row.column("keys")[0].as_py(), np.int64)
+        distinct = _unpacked(row.column("keys")[0].as_py())
         bits = _bits(distinct, keys[order], p, rest)
-        texts = zstandard.ZstdDecompressor().decompress(row.column("texts")[0].as_py())
+        texts = zstandard.decompress(row.column("texts")[0].as_py())
         texts = texts.split(bytes([MARK]))
         sizes, sums = [], []
         for part in buffers(texts):
@@ -314,7 +327,7 @@ def classify(
     )
     held_out = F.pmod("text_key", F.lit(HELD_OUT)) == 0
     marked = (
-        texts.join(trusted, texts["id"] == F.col("trusted_id"), "left")
+        texts.join(sent_if_small(trusted), texts["id"] == F.col("trusted_id"), "left")
         .withColumn("trusted", F.col("trusted_id").isNotNull())
         .withColumn("counted", F.col("trusted") & ~held_out)
     )

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logloom.session import scratch_path
 
+#: Rows of labels that are sent to every task; more are joined by a shuffle of the texts.
+LABELS_SENT = 1_000_000
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -13,6 +16,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sent_if_small(labels: DataFrame) -> DataFrame:
+    """The frame, marked to be sent to every task if its rows, counted, are few enough.
+
+    The join gives the same rows either way.
+    """
+    return F.broadcast(labels) if labels.count() <= LABELS_SENT else labels
+
+
 def stored(
     frame: DataFrame, purpose: str, arrow_rows: int | None = None, **options: str
 ) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.tables import stored
+from logloom.llm.tables import sent_if_small, stored
 
 #: A term must occur in so many toxic texts, whatever their number.
 LEAST_TEXTS = 5
@@ -426,6 +426,7 @@ def score(
         .groupBy(F.col("doc_id").alias("labelled_id"))
         .agg(F.max("toxic").alias("toxic"))
     )
+    known = sent_if_small(known)
     language = F.col(lang) if lang in documents.columns else F.lit("")
     labelled = documents.select(
         F.col(id).alias("labelled_id"), F.col(text).alias("text"), language.alias("lang")
