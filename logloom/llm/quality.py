@@ -30,9 +30,13 @@ from logloom.llm.tables import sent_if_small, stored
 ORDER = 5
 KEY_BITS = 8 * ORDER
 #: Texts are put into blocks of about so many bytes; a longer text is its own block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+#: Its n-grams are counted in parts of about so many.
+PART_BYTES = 1 << 20
 #: How hard texts are compressed while they wait for answers.
-LEVEL = 9
+LEVEL = 12
+#: Logarithms travel in steps of 1/1024 bit; ``NONE`` stands for null.
+FINE, NONE = 1024, 0xFFFF
 #: Quantiles of the trusted texts of a language between which a text stays. A surprise far
 #: below that of any prose means endless repetition.
 QUANTILES = (0.0005, 0.995)
@@ -97,7 +101,7 @@ def blocks(documents: DataFrame) -> DataFrame:
             rows = pa.Table.from_batches(held).combine_chunks()
             counted = rows.column("counted").to_pylist()
             distinct, counts = [], []
-            for part in buffers(texts):
+            for part in buffers(texts, PART_BYTES):
                 codes, begins = grams(texts[part])
                 kinds_here = np.unique(codes)
                 seen = np.repeat(np.array(counted[part], bool), np.diff(begins))
@@ -127,7 +131,7 @@ def blocks(documents: DataFrame) -> DataFrame:
         for batch in batches:
             own = text_bytes(batch.column("text"))
             slim = batch.drop_columns(["text"])
-            for part in buffers(own, BLOCK_BYTES // 4):
+            for part in buffers(own, PART_BYTES):
                 held.append(slim.slice(part.start, part.stop - part.start))
                 texts += own[part]
                 size += sum(map(len, own[part]))
@@ -236,43 +240,87 @@ def train(counts: DataFrame) -> DataFrame:
             f"shares{size}",
         )
     levels.append(below.withColumn("rest", F.lit(None).cast("double")))
-    model = reduce(DataFrame.unionByName, levels)
-    return model.select("key", F.col("p").cast("float"), F.col("rest").cast("float"))
+    return reduce(DataFrame.unionByName, levels)
 
 
 # --- scoring ---------------------------------------------------------------------
 
 
+def answers(held: DataFrame, model: DataFrame) -> DataFrame:
+    """``block, keys, p, rest``: what the model knows of a block's n-grams, many in a row.
+
+    Shares and weights come as 16-bit logarithms.
+    """
+
+    def small(name: str) -> Column:
+        bits = F.round(-F.log2(name) * FINE).cast("int")
+        return F.coalesce(F.least(bits, F.lit(NONE - 1)), F.lit(NONE)).alias(name)
+
+    def packed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        block, key, p, rest = (column.to_numpy() for column in rows.columns)
+        order = np.lexsort((key, block))
+        block, key = block[order], key[order]
+        p, rest = p[order].astype(np.uint16), rest[order].astype(np.uint16)
+        begins = np.flatnonzero(np.diff(block, prepend=-1))
+        for begin, end in zip(begins, [*begins[1:], len(block)]):
+            parts = [
+                _packed(key[begin:end]),
+                zstandard.compress(p[begin:end].tobytes()),
+                zstandard.compress(rest[begin:end].tobytes()),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block[begin : begin + 1]), *(pa.array([part]) for part in parts)],
+                ["block", "keys", "p", "rest"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                size += batch.num_rows
+            if size >= PART_BYTES:
+                yield from packed(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from packed(waiting)
+
+    known = asked(held).join(model.select("key", small("p"), small("rest")), "key")
+    return known.select("block", "key", "p", "rest").mapInArrow(
+        run, "block bigint, keys binary, p binary, rest binary"
+    )
+
+
 def _bits(codes: np.ndarray, keys: np.ndarray, p: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Surprise of each n-gram's last byte, from the model's rows sorted by key."""
 
     def find(wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(wanted), np.nan)
         place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[place] == wanted, values[place], np.nan)
+        return np.where(keys[place] == wanted, values[place], NONE)
 
-    share = np.full(len(codes), 1 / 256)
+    bits = np.full(len(codes), 8 * FINE)
     for size in range(1, ORDER + 1):
         weight = find(_context(codes, size - 1), rest)
         longer = find(_suffix(codes, size), p)
-        shorter = share * np.where(np.isnan(weight), 1.0, weight)
-        share = np.where(np.isnan(longer), shorter, longer)
-    return -np.log2(np.maximum(share, 1e-12))
+        bits = np.where(longer < NONE, longer, bits + np.where(weight < NONE, weight, 0))
+    return bits / FINE
 
 
 def surprise(held: DataFrame, model: DataFrame) -> DataFrame:
     """``id, text_key, lang, trusted, n_bytes, bits``: what the model needs to spell each text."""
-    answers = asked(held).join(model, "key")
     kinds = {field.name: field.dataType for field in held.schema.fields}
     columns = ["id", "text_key", "lang", "trusted"]
 
-    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
         row = own.combine_chunks()
-        keys = answers.column("key").to_numpy()
+        rows = known.to_pylist()  # key 0 is always answered
+        keys = np.concatenate([_unpacked(part["keys"]) for part in rows])
         order = np.argsort(keys)
         p, rest = (
-            answers.column(name).to_numpy(zero_copy_only=False).astype(float)[order]
+            np.concatenate(
+                [np.frombuffer(zstandard.decompress(part[name]), np.uint16) for part in rows]
+            ).astype(np.int64)[order]
             for name in ("p", "rest")
         )
         distinct = _unpacked(row.column("keys")[0].as_py())
@@ -280,7 +328,7 @@ def surprise(held: DataFrame, model: DataFrame) -> DataFrame:
         texts = zstandard.decompress(row.column("texts")[0].as_py())
         texts = texts.split(bytes([MARK]))
         sizes, sums = [], []
-        for part in buffers(texts):
+        for part in buffers(texts, PART_BYTES):
             codes, begins = grams(texts[part])
             sizes.append(np.diff(begins) - 1)
             sums.append(np.add.reduceat(bits[np.searchsorted(distinct, codes)], begins[:-1]))
@@ -291,7 +339,7 @@ def surprise(held: DataFrame, model: DataFrame) -> DataFrame:
         )
 
     schema = ", ".join(f"{name} {kinds[name].elementType.simpleString()}" for name in columns)
-    both = held.drop("counts").groupBy("block").cogroup(answers.groupBy("block"))
+    both = held.drop("counts").groupBy("block").cogroup(answers(held, model).groupBy("block"))
     return both.applyInArrow(run, schema + ", n_bytes bigint, bits double")
 
 
