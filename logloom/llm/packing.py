@@ -1,6 +1,7 @@
 """Packing: token sequences of one size, filled from whole texts with little padding.
 
-Every text is cut at multiples of the window; what is left over is a shorter piece. How
+Every text is cut at multiples of the window; what is left over is a shorter piece, and a
+piece that nothing complements may be cut once more to fill a gap. How
 often each length occurs is a histogram with at most one bin per length, whatever the
 amount of data, and the driver plans on it alone: it enumerates shallow combinations of
 lengths that fill the window, finds how often to use each one by non-negative least
@@ -26,8 +27,12 @@ from logloom.llm.tables import stored
 
 WINDOW = 2048
 END_ID = 1
-#: Pieces of one length are ranked in so many independent parts.
-PARTS = 64
+#: Pieces may be cut a second time at multiples of this.
+GRID = 64
+#: Pieces of one length are ranked in independent parts of about so many, at least 64 parts.
+PART_ROWS = 100_000
+#: Uncut pieces, and the later halves of pieces cut a second time.
+UNCUT, LATER = 0, 1
 
 
 # --- tokens ----------------------------------------------------------------------
@@ -87,13 +92,26 @@ def encode_with_added(
     return result
 
 
+def checksums(piece: np.ndarray) -> tuple[bytes, bytes]:
+    """Checksums of what lies before and after every multiple of ``GRID`` within the piece."""
+    data = memoryview(piece.tobytes())
+    step = 4 * GRID
+    head, heads = 0, []
+    for end in range(step, len(data), step):
+        head = zlib.crc32(data[end - step : end], head)
+        heads.append(head)
+    tails = [zlib.crc32(data[end:]) for end in range(step, len(data), step)]
+    return np.array(heads, "<u4").tobytes(), np.array(tails, "<u4").tobytes()
+
+
 def cut(
     documents: DataFrame, path: str, window: int = WINDOW, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Pieces of every text's ids, each at most ``window`` long, an end id included.
 
-    Returns ``id, start, length, ids_crc32, doc_tokens``; a null or empty text is one
-    piece that holds the end id alone.
+    Returns ``id, start, length, ids_crc32, doc_tokens, heads, tails``; a null or empty text is
+    one piece that holds the end id alone. The last two have the checksums before and after
+    every multiple of ``GRID`` in a piece shorter than the window, 32 bits each.
     """
     vocabulary, added = read_tokenizer(path)
     arrays = documents.sparkSession.sparkContext.broadcast(vars(vocabulary))
@@ -109,20 +127,24 @@ def cut(
                     ids = np.append(ids, END_ID).astype("<u4")
                     for start in range(0, len(ids), window):
                         piece = ids[start : start + window]
-                        rows.append((place, start, len(piece), zlib.crc32(piece), len(ids)))
-                place, *columns = zip(*rows)
+                        sums = checksums(piece) if len(piece) < window else (b"", b"")
+                        rows.append((place, start, len(piece), zlib.crc32(piece), len(ids), *sums))
+                place, *columns, heads, tails = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(place, pa.int64())),
                         *(pa.array(column, pa.int64()) for column in columns),
+                        pa.array(heads, pa.binary()),
+                        pa.array(tails, pa.binary()),
                     ],
-                    ["id", "start", "length", "ids_crc32", "doc_tokens"],
+                    ["id", "start", "length", "ids_crc32", "doc_tokens", "heads", "tails"],
                 )
 
     kind = documents.schema[id].dataType.simpleString()
     return documents.select(id, text).mapInArrow(
         run,
-        f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint",
+        f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
+        "heads binary, tails binary",
     )
 
 
@@ -181,51 +203,69 @@ def non_negative_least_squares(
     return times
 
 
-def _greedy(left: np.ndarray, window: int) -> Iterator[tuple[list[int], int]]:
+#: A piece in a combination: its kind, its length there, and its length before the second
+#: cut where only its first part is used, else the same length.
+Item = tuple[int, int, int]
+
+
+def _greedy(left: np.ndarray, window: int) -> Iterator[tuple[list[Item], int]]:
     """Combinations for what is left: the longest piece, then ever the longest that fits.
 
     A smaller power of two takes the window's place where it comes out even, since a
-    sequence of such a size needs no padding.
+    sequence of such a size needs no padding. Where neither does, an uncut piece is cut so
+    that its first part fills the gap; the second part joins what is left, as ``LATER``.
     """
+    left = np.stack([left, np.zeros_like(left)])
 
-    def fill(longest: int, size: int) -> tuple[list[int], int]:
-        lengths, room, used = [longest], size - longest, {longest: 1}
-        top = longest
+    def fill(longest: int, size: int) -> tuple[list[Item], int]:
+        items, room, top = [], size, longest
         while room:
-            fits = np.flatnonzero(left[1 : min(room, top) + 1])
+            fits = np.flatnonzero(left[:, 1 : min(room, top) + 1].any(0))
             if not len(fits):
                 break
             top = int(fits[-1]) + 1
-            times = min(room // top, int(left[top]) - used.get(top, 0))
-            if times:
-                lengths += [top] * times
-                used[top] = used.get(top, 0) + times
+            for kind in (LATER, UNCUT):
+                times = min(room // top, int(left[kind, top]))
+                items += [(kind, top, top)] * times
                 room -= top * times
             top -= 1
-        return lengths, room
+        return items, room
 
     while left.any():
-        longest = int(np.flatnonzero(left)[-1])
-        lengths, room = fill(longest, window)
+        longest = int(np.flatnonzero(left.any(0))[-1])
+        items, room = fill(longest, window)
         size = window // 2
         while room and size >= longest:
             even, rest = fill(longest, size)
             if not rest:
-                lengths, room = even, 0
+                items, room = even, 0
             size //= 2
-        kinds, each = np.unique(lengths, return_counts=True)
-        times = int((left[kinds] // each).min())
-        left[kinds] -= each * times
-        yield lengths, times
-
-
-def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[list[int], int]]:
+        first = room // GRID * GRID
+        if first:
+            spare = left[UNCUT].copy()
+            for kind, length, _ in items:
+                spare[length] -= kind == UNCUT
+            whole = np.flatnonzero(spare[first + 1 :])
+            if len(whole):
+                items.append((UNCUT, first, first + 1 + int(whole[-1])))
+        used = np.zeros_like(left)
+        for kind, _, whole in items:
+            used[kind, whole] += 1
+        times = int((left[used > 0] // used[used > 0]).min())
+        left -= used * times
+        for _, length, whole in items:
+            if length < whole:
+                left[LATER, whole - length] += times
+        yield items, times
+
+
+def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[list[Item], int]]:
     """Combinations and how often to use each; together they use every piece once.
 
     ``counts[n]`` pieces have length n, 0 < n <= window.
     """
     left = counts.astype(np.int64).copy()
-    result = [([window], int(left[window]))] if left[window] else []
+    result = [([(UNCUT, window, window)], int(left[window]))] if left[window] else []
     left[window] = 0
     if left.any():
         rows = combinations(np.flatnonzero(left), window)
@@ -239,25 +279,36 @@ def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[list[int], int]
                 repeats = int(min(times[place], (left[kinds] // each).min()))
                 if repeats:
                     left[kinds] -= each * repeats
-                    result.append((lengths[::-1].tolist(), repeats))
+                    result.append(([(UNCUT, n, n) for n in lengths[::-1].tolist()], repeats))
         result += _greedy(left, window)
     return result
 
 
-def _slots(combined: list[tuple[list[int], int]], window: int) -> dict[str, np.ndarray]:
-    """For ranks from ``first`` on of a length: the sequence of that rank and the offset."""
-    taken = [0] * (window + 1)
+def _slots(combined: list[tuple[list[Item], int]], window: int) -> dict[str, np.ndarray]:
+    """For ranks from ``first`` on of a kind and length: the sequence of that rank, the offset,
+    where the piece is cut again (0: not) and the rank of its later part among such parts."""
+    taken = np.zeros((2, window + 1), np.int64)
+    made = np.zeros(window + 1, np.int64)
     rows, sequence = [], 0
-    for lengths, times in combined:
+    for items, times in combined:
         offset = 0
-        for length in lengths:
-            rows.append((length, taken[length], sequence, offset))
-            taken[length] += times
+        for kind, length, whole in items:
+            first, later = int(taken[kind, whole]), 0
+            taken[kind, whole] += times
+            if length < whole:
+                later = int(made[whole - length])
+                made[whole - length] += times
+            again = length if length < whole else 0
+            rows.append((_slot_key(kind, whole, first), first, sequence, offset, again, later))
             offset += length
         sequence += times
     rows.sort()
-    length, first, sequences, offsets = np.array(rows, np.int64).reshape(-1, 4).T
-    return {"length": length, "first": first, "sequence": sequences, "offset": offsets}
+    names = ("key", "first", "sequence", "offset", "cut", "later")
+    return dict(zip(names, np.array(rows, np.int64).reshape(-1, len(names)).T))
+
+
+def _slot_key(kind, length, rank):
+    return kind << 60 | length << 44 | rank
 
 
 # --- operator --------------------------------------------------------------------
@@ -271,7 +322,7 @@ def pack(
     Returns ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``. A sequence
     is padded to the window unless its pieces add up to a power of two. Null and empty
     texts are a piece with the end id alone; repeated rows are packed as often as they
-    occur; other columns are not read; an empty table gives no pieces.
+    occur; other columns are not read, whatever they are called; an empty table gives no pieces.
     """
     pieces = stored(cut(documents, path, window, id, text), "pieces")
     counts = np.zeros(window + 1, np.int64)
@@ -279,7 +330,8 @@ def pack(
         counts[row["length"]] = row["count"]
     slots = pieces.sparkSession.sparkContext.broadcast(_slots(plan(counts, window), window))
 
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("id", "start"), F.lit(PARTS)))
+    parts = max(64, int(counts.max()) // PART_ROWS)
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(parts)))
     in_part = Window.partitionBy("length", "part").orderBy("id", "start", "ids_crc32")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
@@ -291,20 +343,44 @@ def pack(
         pieces.withColumn("rank", F.row_number().over(in_part) - 1)
         .join(sizes, ["length", "part"])
         .select(
-            "id", "start", "length", "ids_crc32", "doc_tokens",
+            "id", "start", "length", "ids_crc32", "doc_tokens", "heads", "tails",
             (F.col("rank") + F.col("before")).alias("rank"),
         )
     )
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = slots.value
-        keys = table["length"] << 44 | table["first"]
-        for frame in frames:
-            own = frame["length"].to_numpy() << 44 | frame["rank"].to_numpy()
-            slot = np.searchsorted(keys, own, side="right") - 1
-            rank = frame.pop("rank").to_numpy()
+
+        def put(frame: pd.DataFrame, kind: int, rank: np.ndarray) -> np.ndarray:
+            own = _slot_key(kind, frame["length"].to_numpy(), rank)
+            slot = np.searchsorted(table["key"], own, side="right") - 1
             frame["sequence_id"] = table["sequence"][slot] + rank - table["first"][slot]
             frame["offset"] = table["offset"][slot]
+            return slot
+
+        for frame in frames:
+            rank = frame.pop("rank").to_numpy()
+            sums = frame.pop("heads"), frame.pop("tails")
+            slot = put(frame, UNCUT, rank)
+            again = table["cut"][slot]
+            rows = np.flatnonzero(again)
+            if len(rows):
+                later = frame.iloc[rows].copy()
+                at = again[rows]
+                head, tail = (
+                    [
+                        int.from_bytes(column.iat[row][4 * n - 4 : 4 * n], "little")
+                        for row, n in zip(rows, at // GRID)
+                    ]
+                    for column in sums
+                )
+                later["start"] += at
+                later["length"] -= at
+                later["ids_crc32"] = tail
+                put(later, LATER, (table["later"][slot] + rank - table["first"][slot])[rows])
+                frame.iloc[rows, frame.columns.get_loc("length")] = at
+                frame.iloc[rows, frame.columns.get_loc("ids_crc32")] = head
+                yield later
             yield frame
 
     kind = documents.schema[id].dataType.simpleString()
