@@ -147,15 +147,14 @@ def exact_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text
 def without_exact_duplicates(
     documents: DataFrame, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows of ``documents`` that stay, all columns as they are."""
-    dropped = (
-        exact_duplicates(documents, id, text)
-        .where("NOT kept")
-        .select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"))
-        .distinct()
+    """The rows of ``documents`` that stay, all columns as they are, whatever they are called."""
+    dropped = exact_duplicates(documents, id, text).where("NOT kept")
+    dropped = dropped.select("id", "text_key").distinct().alias("dropped")
+    rows = documents.alias("rows")
+    same = F.col(f"rows.`{id}`").eqNullSafe(F.col("dropped.id")) & (
+        F.xxhash64(F.col(f"rows.`{text}`")) == F.col("dropped.text_key")
     )
-    same = F.col(id).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_key"))
-    return documents.join(dropped, same, "left_anti")
+    return rows.join(dropped, same, "left_anti")
 
 
 #: The same rows by window functions.

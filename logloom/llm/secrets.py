@@ -430,7 +430,7 @@ def digests(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 def masked(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with every secret in ``text`` replaced by ``[kind]``.
 
-    Rows and columns stay as they are. Where spans meet, the later one loses what the
+    Rows and columns stay as they are, whatever further columns are called. Where spans meet, the later one loses what the
     earlier one covers.
     """
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
@@ -439,14 +439,17 @@ def masked(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         .select("id", "text_key", F.sort_array(F.concat("base", "random")).alias("found"))
         .where(F.size("found") > 0)
         .distinct()
-        .select(F.col("id").alias("own_id"), F.col("text_key").alias("own_key"), "found")
+        .alias("spans")
+    )
+    whole, spans = F.col(f"rows.`{text}`"), F.col("spans.found")
+    same = F.col(f"rows.`{id}`").eqNullSafe(F.col("spans.id")) & (
+        F.xxhash64(whole) == F.col("spans.text_key")
     )
-    same = F.col(id).eqNullSafe(F.col("own_id")) & (F.xxhash64(text) == F.col("own_key"))
     start = F.struct(F.lit(0).alias("place"), F.lit("").alias("out"))
 
     def step(state: Column, span: Column) -> Column:
         begin = F.greatest(span["start"], state["place"])
-        kept = F.col(text).substr(state["place"] + 1, begin - state["place"])
+        kept = whole.substr(state["place"] + 1, begin - state["place"])
         mark = F.when(
             span["start"] >= state["place"], F.concat(F.lit("["), span["kind"], F.lit("]"))
         ).otherwise("")
@@ -455,8 +458,10 @@ def masked(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Data
             F.concat(state["out"], kept, mark).alias("out"),
         )
 
-    done = F.aggregate(F.coalesce("found", none), start, step)
-    rest = F.col(text).substr(done["place"] + 1, F.length(text))
-    clean = F.when(F.col("found").isNull(), F.col(text)).otherwise(F.concat(done["out"], rest))
-    columns = [clean.alias(text) if c == text else F.col(c) for c in documents.columns]
-    return documents.join(found, same, "left").select(columns)
+    done = F.aggregate(F.coalesce(spans, none), start, step)
+    rest = whole.substr(done["place"] + 1, F.length(whole))
+    clean = F.when(spans.isNull(), whole).otherwise(F.concat(done["out"], rest))
+    columns = [
+        clean.alias(text) if c == text else F.col(f"rows.`{c}`").alias(c) for c in documents.columns
+    ]
+    return documents.alias("rows").join(found, same, "left").select(columns)

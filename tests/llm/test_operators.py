@@ -145,6 +145,22 @@ def test_packing(spark, odd, empty):
     assert padding < 0.05 * sum(filled)
 
 
+def test_packing_cuts_pieces_that_do_not_complement_each_other(spark):
+    library = Tokenizer.from_file(queries.TOKENIZER)
+    word = " the"
+    assert len(library.encode(word * 10, add_special_tokens=False).ids) == 10
+    rows = [(n, word * (1500 if n % 3 else 1300)) for n in range(300)]
+    rows += [(0, rows[0][1]), (None, rows[1][1])]
+    documents = spark.createDataFrame(rows, "doc_id int, text string")
+    packed = packing.pack(documents, queries.TOKENIZER).collect()
+    expected = [(n, library.encode(t, add_special_tokens=False).ids) for n, t in rows]
+    filled = check_packing(packed, expected)
+    assert sum(filled) == sum(len(ids) + 1 for _, ids in expected)
+    assert sum(packing.WINDOW - size for size in filled) < 0.04 * sum(filled)
+    starts = sorted((r["start"], r["length"]) for r in packed if r["id"] == 5)
+    assert starts[0][0] == 0 and sum(length for _, length in starts) == len(expected[5][1]) + 1
+
+
 # --- 1: near-duplicates -------------------------------------------------------------
 
 
@@ -425,14 +441,14 @@ def test_kneser_ney_equals_brute_force(spark):
         gram = text.encode()[: quality.ORDER]
         key = int.from_bytes(gram, "big") | len(gram) << quality.KEY_BITS
         if shares.get(key) is not None:
-            assert math.isclose(shares[key], share(gram), rel_tol=1e-6)
+            assert math.isclose(shares[key], share(gram), rel_tol=1e-9)
     mark = bytes([quality.MARK])
     found = {row["text_key"]: row for row in quality.surprise(held, model).collect()}
     assert len(found) == len(rows)
     for row in rows:
         text = mark * 4 + (row[5] or "").encode() + mark
         bits = -sum(math.log2(share(text[end - 5 : end])) for end in range(5, len(text) + 1))
-        assert math.isclose(found[row[1]]["bits"], bits, rel_tol=1e-6)
+        assert math.isclose(found[row[1]]["bits"], bits, rel_tol=2e-3)
         assert found[row[1]]["n_bytes"] == len(text) - 5 and found[row[1]]["id"] == row[0]
     assert math.isclose(sum(share(b"alph" + bytes([n])) for n in range(256)), 1, rel_tol=1e-9)
 
@@ -454,7 +470,9 @@ def test_blocks_of_any_size_give_the_same_scores(spark, labels, monkeypatch):
 
 
 def test_quality_keeps_columns_of_any_name(spark, odd, labels):
-    clashing = odd.withColumnsRenamed({"id": "text_key", "node": "gone_id", "kept": "trusted"})
+    clashing = odd.withColumnsRenamed({"id": "text_key", "node": "gone_id", "kept": "found"})
+    for rows in (secrets.masked(clashing), exact_dedup.without_exact_duplicates(clashing)):
+        assert rows.columns == clashing.columns and rows.count() > 0
     clashing = clashing.withColumn("rows", F.lit(1)).withColumn("rejected", F.lit(2))
     assert quality.without_low_quality(clashing, labels).columns == clashing.columns
 
