@@ -62,9 +62,11 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op4_chat_formatting")
 def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat.calls_of(read(spark, sf_dir, "conversations"))
-    linked = chat.link(calls, results, chat.REPLY)
-    return linked.select("conv_id", "turn", "call_id", "position", "results", "error", "json")
+    conversations = read(spark, sf_dir, "conversations")
+    linked = chat.link(chat.messages_of(conversations), chat.REPLY)
+    return linked.withColumn("role", F.when(F.col("role") == "tool", "assistant").otherwise(F.col("role"))).select(
+        "conv_id", "turn", "role", "call_id", *chat.ADDED
+    )
 
 
 ORACLES["op4_chat_formatting"] = chat.ORACLE

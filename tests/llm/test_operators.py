@@ -525,21 +525,77 @@ def test_toxicity(spark, odd, empty, labels):
 # --- 4: chat ---------------------------------------------------------------------------------
 
 
+SUMS = {"add": {"x": "integer", "y": "number"}}
+MESSAGE = "role string, call_id string, after string, tool string, arguments string, content string"
+
+
 def test_calls_are_linked_ordered_and_checked(spark):
-    calls = spark.createDataFrame(
-        [("a", None, "add", '{"y":2,"x":1}'), ("b", "a", "add", '{"x":"1","y":2}'), ("c", "b", "add", "[1]"),
-         ("d", "e", "add", None), ("e", "d", "sub", "{}"), (None, None, "add", '{"x":1,"y":2}'), ("f", "zz", "add", "{")],
-        "call_id string, after string, tool string, arguments string",
+    calls = [("a", None, "add", '{"y":2,"x":1}'), ("b", "a", "add", '{"x":"1","y":2}'), ("c", "b", "add", "[1]"),
+             ("d", "e", "add", None), ("e", "d", "sub", "{}"), (None, None, "add", '{"x":1,"y":2}'), ("f", "zz", "add", "{")]
+    results = [("a", 'say "x"'), ("a", "z"), ("q", "?"), (None, "n")]
+    frame = spark.createDataFrame(
+        [("assistant", *call, None) for call in calls]
+        + [("tool", name, None, None, None, content) for name, content in results]
+        + [("system", "a", None, None, None, "be kind"), (None,) * 6],
+        MESSAGE,
     )
-    results = spark.createDataFrame([("a", 'say "x"'), ("a", "z"), ("q", "?"), (None, "n")], "call_id string, content string")
-    got = {r["call_id"]: r for r in chat.link(calls, results, {"add": {"x": "integer", "y": "number"}}).collect()}
+    rows = chat.link(frame, SUMS).collect()
+    assert len(rows) == len(calls) + len(results) + 2
+    got = {r["call_id"]: r for r in rows if r["tool"]}
     assert {c: got[c]["position"] for c in "abcdef"} == {"a": 0, "b": 1, "c": 2, "d": None, "e": None, "f": 0}
     assert [got[c]["error"] for c in "abcdef"] == [
         None, "x must be integer", "arguments must be an object", "arguments must be an object", "unknown tool",
         "arguments must be an object"]
     assert got["a"]["results"] == 2 and got["b"]["results"] == 0 and got[None]["error"] is None
-    assert got["a"]["json"] == (
-        '{"arguments":{"x":1,"y":2},"id":"a","name":"add","position":0,"result":"say \\"x\\""}')
+    assert got["a"]["json"] == '{"arguments":{"x":1,"y":2},"id":"a","name":"add","position":0}'
+    assert got["a"]["status"] == "answered" and got["b"]["status"] == "unanswered"
+    answers = {r["content"]: r for r in rows if r["role"] == "tool"}
+    assert answers['say "x"']["json"] == '{"content":"say \\"x\\"","id":"a","position":0}'
+    assert [answers[c]["status"] for c in ('say "x"', "z", "?", "n")] == ["linked", "linked", "no call", "no call"]
+    others = sorted(r["json"] for r in rows if r["status"] == "message")
+    assert others == ['{"content":"be kind","role":"system"}', '{"content":null,"role":null}']
+
+
+def test_links_keep_columns_and_odd_rows(spark):
+    content = "long \U0001f600 " * 50_000
+    rows = [("assistant", "a", None, "add", "", None, 1, "p", "s"), ("tool", "a", None, None, None, content, 2, "p", "s"),
+            ("tool", "a", None, None, None, content, 2, "p", "s")]
+    frame = spark.createDataFrame(rows, MESSAGE + ", row int, position string, `a.b` string")
+    got = chat.link(frame, SUMS).collect()
+    assert sorted(r["row"] for r in got) == [1, 2, 2] and {r["position"] for r in got} == {0}
+    assert {r["a.b"] for r in got} == {"s"} and max(len(r["json"]) for r in got) > len(content)
+    assert chat.link(frame.where("false"), SUMS).count() == 0
+
+
+@pytest.mark.parametrize("written, wanted", [
+    ('{"b":100,"a":1e2}', '{"a":100,"b":100}'),
+    ("[1E21,1e20,0.000001,1e-7,-0.0,1.50,-12.5e-9,333333333.33333329,123456789012345678]",
+     "[1e+21,100000000000000000000,0.000001,1e-7,0,1.5,-1.25e-8,333333333.3333333,123456789012345680]"),
+    ("5e-324", "5e-324"),
+    ('{"\\u001F 1.50":"\\\\u001F 1e2","é":"1.0"}', '{"\\u001f 1.50":"\\\\u001F 1e2","é":"1.0"}'),
+    ('{"a":1,"a":2}', '{"a":2}'),
+    (' { "t" : [ true , null , { } ] } ', '{"t":[true,null,{}]}'),
+    ("{", None),
+])
+def test_canonical_json(spark, written, wanted):
+    frame = spark.createDataFrame([(written,)], "j string")
+    assert frame.select(chat.canonical("j")).first()[0] == wanted
+
+
+def test_every_turn_is_a_row(spark):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "yo"), (1, 2, "assistant", "also yo"),
+             (1, 3, "user", None), (None, 4, "user", "x"), (1, None, "user", "y"), (2, None, "assistant", None),
+             (2, 8, "assistant", "alone"), (2, 9, None, "?"), (1, 1, "user", "a")]
+    frame = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    linked = chat.link(chat.messages_of(frame), chat.REPLY)
+    linked = linked.withColumn("role", F.when(F.col("role") == "tool", "assistant").otherwise(F.col("role")))
+    columns = ["conv_id", "turn", "role", "call_id", *chat.ADDED]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    connection.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", turns)
+    want = connection.sql(f"SELECT {', '.join(columns)} FROM ({chat.ORACLE})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in linked.select(columns).collect())
+    assert len(want) == len(turns) and {"yo", "also yo"} <= {r["content"] for r in linked.collect()}
 
 
 # --- the whole ------------------------------------------------------------------------------------
