@@ -3,23 +3,27 @@
 Texts are keyed by a 64-bit hash of their bytes without white space. The index has one
 entry per distinct text, made before any row is shuffled by its key, so a text that a
 third of all rows share is one entry. A directory over the leading bits of the keys
-doubles until no bucket is overfull; the index is written in key ranges, each owned by a
-task. Entries with one key are a chain. Where an entry stands for several rows, their
-bytes are compared with the bytes of one of them; rows that differ after all become
-entries of their own.
+doubles until no bucket is overfull, unless all its keys are equal; the index is written
+in key ranges, each owned by a task. Entries with one key are a chain. Every row takes its
+bucket from the directory, meets the entries of its key there and walks the chain to its
+own. Where an entry stands for several rows, their bytes are compared with the bytes of one
+of them; rows that differ after all become entries of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.tables import stored
 
 #: White space that does not count in a comparison.
 WHITE = r"[\x20\x09-\x0D]+"
-#: The directory has at most 2 ** DEPTH entries.
-DEPTH = 12
+Key = Callable[[Column], Column]
+#: Leading bits that the directory can use.
+DEPTH = 62
 #: Entries per bucket before it splits.
 BUCKET = 100_000
 
@@ -29,54 +33,78 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def _leading(key: str, bits: int) -> Column:
-    return F.shiftrightunsigned(F.col(key), 64 - bits) if bits else F.lit(0).cast("long")
+def _leading(key: str | Column, bits: int | Column) -> Column:
+    """The leading bits of a 64-bit key, from 0 on."""
+    # Two steps, as a shift by all 64 bits would be none.
+    half = F.call_function("shiftrightunsigned", key if isinstance(key, Column) else F.col(key), F.lit(1))
+    return F.call_function("shiftrightunsigned", half, (F.lit(63) - bits).cast("int"))
 
 
-def directory(counts: dict[int, int], depth: int = DEPTH, bucket: int = BUCKET) -> list[int]:
-    """For each value of the leading ``depth`` bits, the number of its bucket.
+def directory(entries: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, int]:
+    """``cell, bucket`` for the leading bits of all keys, and how many bits these are.
 
-    The directory starts with one bucket and doubles while a bucket holds more than
-    ``bucket`` entries and its keys still differ within ``depth`` bits.
+    ``entries`` has ``key``. The directory doubles while a cell holds more than ``bucket``
+    entries whose keys differ. Cells that need not be told apart share a bucket: that of the
+    fewest leading bits with which it isn't overfull. Buckets are numbered by these bits
+    behind a one. The driver gets counts; cells are about twice ``entries / bucket`` in number.
     """
-    places = [(0, 0)]  # (leading bits, how many of them the bucket uses)
-    buckets, number = [0] * (1 << depth), 0
-    while places:
-        prefix, bits = places.pop()
-        first, last = prefix << (depth - bits), (prefix + 1) << (depth - bits)
-        held = sum(counts.get(value, 0) for value in range(first, last))
-        if held > bucket and bits < depth:
-            places += [(2 * prefix + 1, bits + 1), (2 * prefix, bits + 1)]
-        else:
-            buckets[first:last] = [number] * (last - first)
-            number += 1
-    return buckets
-
-
-def build_index(rows: DataFrame) -> DataFrame:
-    """One entry per distinct text: ``bucket, key, sha256, chain, rows, head``.
-
-    ``rows`` has ``id, n_chars, key, sha256``; ``head`` orders rows by what stays.
+
+    def full(rows: DataFrame) -> Column:
+        return (F.col("n") > bucket) & (F.col("least") < F.col("most"))
+
+    def counted(depth: int) -> DataFrame:
+        return entries.groupBy(_leading("key", F.lit(depth)).alias("cell")).agg(
+            F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most")
+        )
+
+    depth = min((entries.count() // bucket).bit_length(), DEPTH)
+    cells = stored(counted(depth), "cells")
+    while depth < DEPTH and not cells.where(full(cells)).isEmpty():
+        depth += 1
+        cells = stored(counted(depth), "cells")
+
+    above = cells.select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("bits")
+    ).select("*", F.call_function("shiftrightunsigned", "cell", F.lit(depth) - F.col("bits")).alias("prefix"))
+    sums = above.groupBy("bits", "prefix").agg(
+        F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
+    fitting = sums.where(~full(sums) | (F.col("bits") == depth)).select("bits", "prefix")
+    number = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) + F.col("prefix")
+    found = (
+        above.select("cell", "bits", "prefix")
+        .join(fitting, ["bits", "prefix"])
+        .groupBy("cell")
+        .agg(F.min_by(number, "bits").alias("bucket"))
+    )
+    return stored(found, "directory"), depth
+
+
+def build_index(rows: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, int]:
+    """One entry per distinct text, ``bucket, key, chain, sha256, rows, head``; the directory.
+
+    ``rows`` has ``id, n_chars, key, sha256``; ``head`` orders rows by what stays. ``chain``
+    numbers the entries of one key from 1 on.
     """
     entries = stored(
         rows.groupBy("key", "sha256").agg(F.count("*").alias("rows"), F.min(_order()).alias("head")),
         "entries",
     )
-    counts = entries.groupBy(_leading("key", DEPTH).alias("leading")).count().collect()
-    buckets = directory({row["leading"]: row["count"] for row in counts})
-    names = F.array(*[F.lit(number) for number in buckets])
-    index = entries.withColumn(
-        "bucket", F.element_at(names, (_leading("key", DEPTH) + 1).cast("int"))
-    )
-    chains = index.groupBy("key").agg(F.sort_array(F.collect_set("sha256")).alias("chain"))
-    chains = chains.where(F.size("chain") > 1)
-    index = index.join(chains, "key", "left").withColumn(
-        "chain", F.coalesce(F.array_position("chain", F.col("sha256")), F.lit(1))
+    cells, depth = directory(entries, bucket)
+    chained = entries.withColumn(
+        "chain", F.row_number().over(Window.partitionBy("key").orderBy("sha256"))
     )
-    return stored(
+    index = _placed(chained, cells, depth)
+    index = stored(
         index.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "chain"),
         "index",
     )
+    return index, cells, depth
+
+
+def _placed(rows: DataFrame, cells: DataFrame, depth: int) -> DataFrame:
+    """Rows with the ``bucket`` that the directory names for their ``key``."""
+    return rows.withColumn("cell", _leading("key", F.lit(depth))).join(cells, "cell").drop("cell")
 
 
 def _order() -> Column:
@@ -86,7 +114,10 @@ def _order() -> Column:
     )
 
 
-def exact_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_duplicates(
+    documents: DataFrame, id: str = "doc_id", text: str = "text", key: Key = F.xxhash64,
+    bucket: int = BUCKET,
+) -> DataFrame:
     """Every row with the row that stays of its equals.
 
     Returns ``id, text_key, keep_id, group_size, kept, text_sha256``: a hash of the original
@@ -94,39 +125,47 @@ def exact_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text
     (its id is ``keep_id``) and the digest of the text without white space. Null, empty and
     blank texts are equal to each other. Repeated rows are kept or not together. A row
     without an id stays only if no equal row as long has one. Texts of any length are
-    compared whole; other columns are not read; an empty table gives no rows.
+    compared whole; other columns are not read; an empty table gives no rows. ``key`` hashes
+    the bare text to 64 bits, ``bucket`` is how many entries a bucket holds before it splits;
+    neither changes the result.
     """
     whole = documents.select(
         F.col(id).alias("id"),
         F.xxhash64(text).alias("text_key"),
         F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_chars"),
         normalised(text).alias("bare"),
-    ).select("*", F.xxhash64("bare").alias("key"), F.sha2("bare", 256).alias("sha256"))
+    ).select("*", key(F.col("bare")).alias("key"), F.sha2("bare", 256).alias("sha256"))
     rows = stored(whole.drop("bare"), "keyed")
-    index = build_index(rows)
+    index, cells, depth = build_index(rows, bucket)
+
+    def probed(frame: DataFrame, entries: DataFrame) -> DataFrame:
+        """Rows with their own entry: bucket by the directory, then key, then the chain."""
+        chains = entries.withColumnRenamed("sha256", "own")
+        return (
+            _placed(frame, cells, depth)
+            .join(chains, ["bucket", "key"])
+            .where(F.col("own") == F.col("sha256"))
+            .drop("own")
+        )
 
-    single = rows.join(index.where("rows = 1").select("key", "sha256", "head"), ["key", "sha256"])
-    single = single.select("*", F.lit(1).cast("long").alias("rows"))
+    single = probed(rows, index.where("rows = 1").select("bucket", "key", "sha256", "chain", "rows", "head"))
 
-    shared = index.where("rows > 1").select("key", "sha256")
-    members = stored(whole.join(shared, ["key", "sha256"]), "members")
-    first = members.groupBy("key", "sha256").agg(F.min("bare").alias("first"))
-    compared = members.join(first, ["key", "sha256"]).select(
-        "id", "text_key", "n_chars", "key", "sha256",
+    entry = ["bucket", "key", "chain"]
+    members = stored(probed(whole, index.where("rows > 1").select(*entry, "sha256")), "members")
+    # Heads and groups are read from files, so that a join can split the rows of one entry.
+    first = stored(members.groupBy(*entry).agg(F.min("bare").alias("first")), "heads")
+    compared = members.join(first, entry).select(
+        "id", "text_key", "n_chars", *entry, "sha256",
         F.when(F.col("bare") != F.col("first"), F.col("bare")).alias("other"),
     )
     compared = stored(compared, "compared")
-    groups = compared.groupBy("key", "sha256", "other").agg(
+    groups = compared.groupBy(*entry, "other").agg(
         F.count("*").alias("rows"), F.min(_order()).alias("head")
     )
-    groups = groups.select(
-        F.col("key").alias("k"), F.col("sha256").alias("s"), F.col("other").alias("o"), "rows", "head"
-    )
-    equal = (
-        (F.col("key") == F.col("k"))
-        & (F.col("sha256") == F.col("s"))
-        & F.col("other").eqNullSafe(F.col("o"))
-    )
+    groups = stored(groups.withColumnsRenamed({name: f"its_{name}" for name in [*entry, "other"]}), "groups")
+    equal = F.col("other").eqNullSafe(F.col("its_other"))
+    for name in entry:
+        equal = (F.col(name) == F.col(f"its_{name}")) & equal
     several = compared.join(groups, equal)
 
     columns = ["id", "text_key", "sha256", "rows", "head"]

@@ -229,11 +229,32 @@ def test_exact_duplicates(odd, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
-def test_directory_doubles_overfull_buckets_only():
+def test_directory_doubles_overfull_buckets_only(spark):
+    def keys(counts):
+        rows = [(((cell << 61) + n + 2**63) % 2**64 - 2**63,) for cell, held in counts.items() for n in range(held)]
+        return spark.createDataFrame(rows, "key bigint")
+
     counts = {0: 5, 1: 5, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}
-    buckets = exact_dedup.directory(counts, depth=3, bucket=5)
-    assert buckets[0] != buckets[1] and len(set(buckets[4:])) == 1
-    assert exact_dedup.directory({0: 99}, depth=3, bucket=5)[0] == 0
+    cells, depth = exact_dedup.directory(keys(counts), bucket=5)
+    buckets = {r["cell"]: r["bucket"] for r in cells.collect()}
+    assert depth == 3 and len(buckets) == 8
+    assert buckets[0] != buckets[1] and len({buckets[cell] for cell in range(4, 8)}) == 1
+    same = spark.createDataFrame([(7,)] * 99, "key bigint")
+    cells, depth = exact_dedup.directory(same, bucket=5)
+    assert cells.count() == 1
+    assert exact_dedup.directory(same.where("false"), bucket=5)[0].count() == 0
+
+
+def test_clashing_keys_and_overfull_buckets(spark, odd):
+    texts = [f"text {n % 60}" for n in range(300)] + ["text  7", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").union(
+        odd.select("doc_id", "text"))
+    want = sorted(map(str, exact_dedup.exact_duplicates(frame).collect()))
+    few = lambda bare: F.pmod(F.xxhash64(bare), F.lit(7))
+    clashing = exact_dedup.exact_duplicates(frame, key=few, bucket=3)
+    assert sorted(map(str, clashing.collect())) == want
+    assert sorted(map(str, exact_dedup.exact_duplicates(frame, bucket=3).collect())) == want
+    assert sum(r["group_size"] == 6 for r in clashing.collect()) == 6
 
 
 # --- 5: secrets -----------------------------------------------------------------------
