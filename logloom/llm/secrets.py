@@ -4,20 +4,21 @@ Known forms are matched by pattern. Any other long token of letters and digits i
 against a uniform draw from the alphabet of its encoding: chi-squared of the symbols, runs
 above and below the middle of the alphabet, serial correlation. Each gives a p-value from
 the exact moments of such a draw, for any alphabet and length; the least, times three, is
-the token's. Tokens that are told from random ones at the wanted rate of false discoveries
-(Benjamini and Hochberg, over all tokens) are let through; all others count as secrets.
-
-Long words without digits are tested alike. At a length that has so many of them that even
-a single token can be found, they serve as the null instead: a token counts as a secret
-where the share of false discoveries among words and tokens with so random a result is at
-most the wanted rate.
+the token's. A token that fails the battery is no secret.
+
+One that passes is held against ordinary writing: letters that follow each other as in the
+words of the corpus, in one case or in camel case, with digits and signs between. How much
+likelier the token is as a uniform draw than as such writing has mean one over all ordinary
+tokens, so its inverse is a p-value of "secret", at every length: short tokens tell little,
+long ones much. Tokens are reported at the wanted rate of false reports (Benjamini and
+Hochberg, over the tested tokens of like length), by one rule at every size of the table.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.tables import stored
@@ -49,6 +50,22 @@ RATE = 0.05
 STRATA = 16
 #: p-values are kept as hundredths of their negative decimal logarithm, up to this one.
 LEVELS = 30_000
+#: A token whose p-value under the uniform draw is smaller fails the battery.
+BATTERY = 1e-3
+#: Words that teach which letters follow each other are at most so long.
+WORD_LETTERS = 19
+#: Share of the pairs of letters, of single letters and of a uniform draw in what follows a
+#: letter of ordinary writing, as names hold words that the corpus lacks.
+SHARES = (0.6, 0.25, 0.15)
+#: Chances in ordinary writing that a small letter, a capital, a digit or a sign (rows) is
+#: followed by one (columns); the first row is for the start.
+TURNS = (
+    (0.50, 0.40, 0.08, 0.02),
+    (0.86, 0.06, 0.04, 0.04),
+    (0.50, 0.42, 0.04, 0.04),
+    (0.15, 0.10, 0.70, 0.05),
+    (0.50, 0.25, 0.20, 0.05),
+)
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _DIGITS = "0123456789"
@@ -163,7 +180,6 @@ def _uniform(row: Column) -> Column:
     sides = F.greatest(F.abs(row["changes"] - (n - 1) / 2) - 0.5, F.lit(0.0)) / F.sqrt((n - 1) / 4)
     return F.struct(
         row["stratum"].alias("stratum"),
-        row["score"].alias("score"),
         F.array(
             (F.pow(gamma, F.lit(1 / 3)) - (1 - 1 / (9 * shape))) * 3 * F.sqrt(shape),
             sides,
@@ -184,7 +200,6 @@ def _level(row: Column) -> Column:
     least = 3 * F.least(chances[0], 2 * F.array_min(F.slice(chances, 2, 2)))
     return F.struct(
         row["stratum"].alias("stratum"),
-        row["score"].alias("score"),
         # Rounded down, so that no p-value counts as smaller than it is.
         F.least(
             F.floor(-100 * F.log10(F.greatest(F.least(least, F.lit(1.0)), F.lit(1e-300)))),
@@ -194,11 +209,8 @@ def _level(row: Column) -> Column:
 
 
 def _tested(tokens: Column) -> Column:
-    """``stratum, score, level`` of every token of an array of strings.
-
-    The score is the sum of squares of three standardised tests, small where the token
-    looks like a uniform draw from its alphabet; the level is that of its p-value.
-    """
+    """``stratum, level`` of every token of an array of strings: its length in steps of four
+    and the level of its p-value under the uniform draw."""
     plain = F.transform(tokens, lambda token: F.regexp_replace(token, "=+$", ""))
     typed = F.transform(
         plain, lambda token: F.struct(token.alias("token"), _alphabet(token).alias("alphabet"))
@@ -215,112 +227,133 @@ def _tested(tokens: Column) -> Column:
     def moments(row: Column) -> Column:
         codes, size = row["codes"], row["size"]
         n = F.size(codes).cast("double")
-        middle = (size + 1) / 2
-        zero = F.lit(0.0)
-        ups = F.aggregate(codes, zero, lambda t, c: t + F.when(c > middle, 1.0).otherwise(0.0))
-        total = F.aggregate(codes, zero, lambda t, c: t + c)
         return F.struct(
-            codes.alias("codes"), size.alias("size"), n.alias("n"), ups.alias("ups"),
-            (total / n).alias("mean"), middle.alias("middle"),
+            codes.alias("codes"), size.alias("size"), n.alias("n"), ((size + 1) / 2).alias("middle")
         )
 
-    def score(row: Column) -> Column:
-        codes, size, n, zero = row["codes"], row["size"], row["n"], F.lit(0.0)
-        # Chi-squared of the symbols.
+    def sums(row: Column) -> Column:
+        codes, n, middle, zero = row["codes"], row["n"], row["middle"], F.lit(0.0)
+        # Symbols that are equal.
         counts = F.transform(
             F.array_distinct(codes),
             lambda c: F.size(F.filter(codes, lambda other: other == c)).cast("double"),
         )
         squares = F.aggregate(counts, zero, lambda t, c: t + c * c)
-        chi = (squares * size / n - n - (size - 1)) / F.sqrt(2 * (size - 1))
-        # Runs above and below the middle.
-        ups, downs = row["ups"], n - row["ups"]
+        # Neighbours on two sides of the middle, and their products about it.
         left = F.slice(codes, 1, F.size(codes) - 1)
         right = F.slice(codes, 2, F.size(codes) - 1)
-        turns = F.aggregate(
+        changes = F.aggregate(
             F.zip_with(
-                left,
-                right,
-                lambda a, b: F.when((a > row["middle"]) != (b > row["middle"]), 1.0).otherwise(0.0),
+                left, right,
+                lambda a, b: F.when((a > middle) != (b > middle), 1.0).otherwise(0.0),
             ),
-            F.lit(1.0),
+            zero,
             lambda t, c: t + c,
         )
-        product = 2 * ups * downs
-        spread = product * (product - n) / (n * n * (n - 1))
-        runs = F.when(
-            spread > 0, (turns - (product / n + 1)) / F.sqrt(F.greatest(spread, F.lit(1e-9)))
-        ).otherwise(F.sqrt(n))
-        # Correlation of neighbours.
-        mean = row["mean"]
-        cross = F.aggregate(
-            F.zip_with(left, right, lambda a, b: (a - mean) * (b - mean)), zero, lambda t, c: t + c
-        )
-        variance = F.aggregate(codes, zero, lambda t, c: t + (c - mean) * (c - mean))
-        serial = F.when(variance > 0, cross / F.greatest(variance, F.lit(1e-9)) * F.sqrt(n)).otherwise(
-            F.sqrt(n)
-        )
-        known = row["middle"]
         about = F.aggregate(
-            F.zip_with(left, right, lambda a, b: (a - known) * (b - known)), zero, lambda t, c: t + c
+            F.zip_with(left, right, lambda a, b: (a - middle) * (b - middle)), zero, lambda t, c: t + c
         )
         return F.struct(
-            n.alias("n"), size.alias("size"), squares.alias("squares"),
-            (turns - 1).alias("changes"), about.alias("about"),
+            n.alias("n"), row["size"].alias("size"), squares.alias("squares"),
+            changes.alias("changes"), about.alias("about"),
             F.least(F.floor(n / 4).cast("int"), F.lit(STRATA)).alias("stratum"),
-            # Hundredths, up to a score that no random token has.
-            F.least(
-                F.round(100 * (chi * chi + runs * runs + serial * serial)), F.lit(1e6)
-            ).cast("int").alias("score"),
         )
 
-    scored = F.transform(F.transform(F.transform(typed, numbers), moments), score)
+    scored = F.transform(F.transform(F.transform(typed, numbers), moments), sums)
     return F.transform(F.transform(scored, _uniform), _level)
 
 
-def limits(tested: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """By stratum, the largest score that counts as random, -1 where none does.
+def letter_chances(documents: DataFrame, text: str = "text") -> list[float]:
+    """Natural logarithms of the chances that a letter (or the start of a word) is followed
+    by each letter, in the distinct words of all texts.
 
-    Only strata in which the words are enough to find a single token; the others are judged
-    by :func:`level_limit`. ``tested`` has ``stratum, score, is_word, n``: counts, so at most
-    a row for each score. The driver gets one row per stratum.
+    Words are counted before anything is made of their letters, each once, so a frequent one
+    weighs as much as a rare one. Pairs are mixed with single letters and a uniform draw by
+    ``SHARES``. The driver gets a row for each pair of letters, 702 at most.
     """
-    by_score = tested.groupBy("stratum", "score").agg(
-        F.sum(F.when(F.col("is_word"), F.col("n")).otherwise(0)).alias("words"),
-        F.sum(F.when(F.col("is_word"), 0).otherwise(F.col("n"))).alias("tokens"),
+    folded = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z])([A-Z])", "$1 $2"))
+    words = documents.select(F.explode(F.split(folded, "[^a-z]+")).alias("word")).distinct()
+    words = words.where(F.length("word").between(2, WORD_LETTERS))
+    marked = F.concat(F.lit("^"), F.col("word"))
+    pairs = words.select(
+        F.explode(
+            F.transform(F.sequence(F.lit(1), F.length("word")), lambda at: marked.substr(at, F.lit(2)))
+        ).alias("pair")
     )
-    upward = Window.partitionBy("stratum").orderBy("score")
-    whole = Window.partitionBy("stratum")
-    words, tokens = F.sum("words").over(whole), F.sum("tokens").over(whole)
-    share = (1 + F.sum("words").over(upward)) / (1 + words)
-    found = (
-        by_score.select(
-            "stratum",
-            "score",
-            (share * tokens).alias("expected"),
-            F.sum("tokens").over(upward).alias("reached"),
-            (tokens <= rate * (1 + words)).alias("enough"),
+    counts = {row["pair"]: row["count"] for row in pairs.groupBy("pair").count().collect()}
+    alone = {second: sum(counts.get(first + second, 0) for first in "^" + _LOWER) for second in _LOWER}
+    letters = sum(alone.values())
+    found = []
+    for first in "^" + _LOWER:
+        total = sum(counts.get(first + second, 0) for second in _LOWER)
+        for second in _LOWER:
+            uniform = 1 / len(_LOWER)
+            single = alone[second] / letters if letters else uniform
+            pair = counts.get(first + second, 0) / total if total else single
+            parts = zip(SHARES, (pair, single, uniform))
+            found.append(math.log(sum(share * chance for share, chance in parts)))
+    return found
+
+
+def _evidence(tokens: Column, chances: list[float]) -> Column:
+    """For every token, hundredths of the decimal logarithm of how much likelier it is as a
+    uniform draw from its alphabet than as ordinary writing; 0 where it is less likely."""
+    letters = F.array(*map(F.lit, chances))
+    turns = F.array(*[F.lit(math.log(chance)) for row in TURNS for chance in row])
+
+    def measured(row: Column) -> Column:
+        signs = F.filter(F.split(row["token"], ""), lambda sign: F.length(sign) > 0)
+        coded = F.transform(
+            signs,
+            lambda sign: F.struct(
+                F.when(sign.rlike("[a-z]"), 1).when(sign.rlike("[A-Z]"), 2)
+                .when(sign.rlike("[0-9]"), 3).otherwise(4).alias("kind"),
+                F.instr(F.lit(_LOWER), F.lower(sign)).alias("letter"),
+            ),
         )
-        .where("enough")
-        .groupBy("stratum")
-        .agg(F.max(F.when(F.col("expected") <= rate * F.col("reached"), F.col("score"))).alias("limit"))
+        nothing = F.struct(F.lit(0).alias("kind"), F.lit(0).alias("letter"))
+        before = F.concat(F.array(nothing), F.slice(coded, 1, F.size(coded) - 1))
+
+        def chance(last: Column, now: Column) -> Column:
+            # A capital after a small letter begins a word.
+            begins = (last["kind"] == 1) & (now["kind"] == 2)
+            first = F.when(begins, 0).otherwise(last["letter"])
+            symbol = (
+                F.when(now["letter"] > 0, F.element_at(letters, F.greatest(first * 26 + now["letter"], F.lit(1))))
+                .when(now["kind"] == 3, math.log(1 / 10))
+                .otherwise(math.log(1 / 4))
+            )
+            return F.element_at(turns, last["kind"] * 4 + now["kind"]) + symbol
+
+        written = F.aggregate(F.zip_with(before, coded, chance), F.lit(0.0), lambda t, c: t + c)
+        drawn = -F.log(F.length(row["alphabet"]).cast("double")) * F.size(signs)
+        hundredths = F.floor(100 * (drawn - written) / math.log(10))
+        return F.greatest(F.least(hundredths, F.lit(LEVELS)), F.lit(0)).cast("int")
+
+    plain = F.transform(tokens, lambda token: F.regexp_replace(token, "=+$", ""))
+    typed = F.transform(
+        plain, lambda token: F.struct(token.alias("token"), _alphabet(token).alias("alphabet"))
     )
-    return {row["stratum"]: -1 if row["limit"] is None else row["limit"] for row in found.collect()}
+    return F.transform(typed, measured)
 
 
-def level_limit(levels: DataFrame, rate: float = RATE) -> int:
-    """The least level at which a token is told from a random one, beyond all if none is.
+def limits(evidence: DataFrame, rate: float = RATE) -> dict[int, int]:
+    """By stratum, the least evidence that is reported; none where nothing is.
 
-    ``levels`` has ``level, n``: counts, so at most ``LEVELS + 1`` rows, all of which the
-    driver gets.
+    ``evidence`` has ``stratum, evidence, n``: counts, so at most a row for each level of
+    each stratum, ``(STRATA + 1) * (LEVELS + 1)``, all of which the driver gets.
     """
-    counts = sorted(((row["level"], row["n"]) for row in levels.collect()), reverse=True)
-    total, reached, limit = sum(n for _, n in counts), 0, LEVELS + 1
-    for level, n in counts:
-        reached += n
-        if 10 ** (-level / 100) * total <= rate * reached:
-            limit = level
-    return limit
+    rows = sorted(((r["stratum"], r["evidence"], r["n"]) for r in evidence.collect()), reverse=True)
+    total: dict[int, int] = {}
+    for stratum, _, n in rows:
+        total[stratum] = total.get(stratum, 0) + n
+    found: dict[int, int] = {}
+    reached = dict.fromkeys(total, 0)
+    for stratum, level, n in rows:
+        reached[stratum] += n
+        if 10 ** (-level / 100) * total[stratum] <= rate * reached[stratum]:
+            found[stratum] = level
+    return found
 
 
 # --- operator ------------------------------------------------------------------------
@@ -345,52 +378,39 @@ def secrets(
         tokens.alias("tokens"),
     )
 
-    def coded(token: Column) -> Column:
-        value = token["value"]
-        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-
     free = F.filter(
-        F.filter("tokens", coded),
+        F.filter("tokens", lambda token: token["value"].rlike("[A-Za-z]")),
         lambda token: ~F.exists(
             "base", lambda own: (own["start"] < token["end"]) & (token["start"] < own["end"])
         ),
     )
-    words = F.transform(
-        F.filter("tokens", lambda token: ~token["value"].rlike("[0-9]")), lambda t: t["value"]
-    )
-    rows = rows.select("id", "text_key", "base", free.alias("free"), words.alias("words"))
-    rows = stored(
-        rows.select(
-            "id", "text_key", "base", "free",
-            _tested(F.transform("free", lambda t: t["value"])).alias("free_tests"),
-            _tested(F.col("words")).alias("word_tests"),
+    rows = rows.select("id", "text_key", "base", free.alias("free"))
+    chances = letter_chances(documents, text)
+    values = F.transform("free", lambda t: t["value"])
+    tested = F.zip_with(
+        _tested(values), _evidence(values, chances),
+        lambda test, own: F.struct(
+            test["stratum"].alias("stratum"), test["level"].alias("level"), own.alias("evidence")
         ),
-        "tested",
     )
-
-    def counted(column: str, is_word: bool) -> DataFrame:
-        return (
-            rows.select(F.explode(column).alias("test"))
-            .groupBy("test.stratum", "test.score")
-            .agg(F.count("*").alias("n"))
-            .withColumn("is_word", F.lit(is_word))
-        )
-
-    found = limits(counted("free_tests", False).union(counted("word_tests", True)), rate)
-    by_words = F.array(*[F.lit(found.get(stratum)).cast("int") for stratum in range(STRATA + 1)])
-    levels = (
-        rows.select(F.explode("free_tests").alias("test"))
-        .where(F.element_at(by_words, F.col("test.stratum") + 1).isNull())
-        .groupBy("test.level")
-        .agg(F.count("*").alias("n"))
+    rows = stored(rows.select("id", "text_key", "base", "free", tested.alias("tests")), "tested")
+
+    passed = math.floor(-100 * math.log10(BATTERY))
+    found = limits(
+        rows.select(F.explode("tests").alias("test"))
+        # What fails the battery counts among the tested, without evidence.
+        .withColumn("evidence", F.when(F.col("test.level") < passed, F.col("test.evidence")).otherwise(0))
+        .groupBy("test.stratum", "evidence")
+        .agg(F.count("*").alias("n")),
+        rate,
     )
-    limit = level_limit(levels, rate)
+    least = F.array(*[F.lit(found.get(stratum)).cast("int") for stratum in range(STRATA + 1)])
 
     def is_random(test: Column) -> Column:
-        own = F.element_at(by_words, test["stratum"] + 1)
-        return F.when(own.isNull(), test["level"] < limit).otherwise(test["score"] <= own)
+        own = F.element_at(least, test["stratum"] + 1)
+        return F.coalesce((test["level"] < passed) & (test["evidence"] >= own), F.lit(False))
 
-    pairs = F.zip_with("free", "free_tests", lambda t, s: F.struct(t.alias("t"), s.alias("s")))
+    pairs = F.zip_with("free", "tests", lambda t, s: F.struct(t.alias("t"), s.alias("s")))
     random = F.transform(
         F.filter(pairs, lambda p: is_random(p["s"])),
         lambda p: F.struct(

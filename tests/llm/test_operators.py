@@ -323,6 +323,60 @@ def test_random_keys_are_found_without_long_words(spark):
     assert clean[hit] == texts[hit].replace(keys[hit], "[random]")
 
 
+NAMES = """getUserAccountById2Name TransactionProcessor2024Impl Section4ParagraphTwoSubsectionB
+AbstractSingletonProxyFactoryBean2 readNumberOfOpenConnections max_number_of_retries_3 the-garden-of-stones-2021
+HttpServletRequestWrapperTest internationalization_utils_v2 org/example/project/module/Main2
+updateCustomerAddress2Line handleIncomingMessageV3Event""".split()
+
+
+def test_ordinary_names_are_not_reported(spark):
+    rng = np.random.default_rng(11)
+    both = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    keys = ["".join(rng.choice(both, size)) for size in (24, 28, 32, 40) for _ in range(10)]
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    added = [(-1 - n, f"see {token} here") for n, token in enumerate(keys + NAMES)]
+    for times in (1, 5):  # one rule, however many names there are
+        more = [(number - 10_000 * again, text) for again in range(times) for number, text in added]
+        frame = documents.union(spark.createDataFrame(more, documents.schema))
+        found = {r["id"]: r["random"] for r in secrets.secrets(frame).where("id < 0").collect()}
+        assert sum(bool(found[-1 - n]) for n in range(len(keys))) >= 0.9 * len(keys)
+        assert [name for n, name in enumerate(NAMES) if found[-1 - len(keys) - n]] == []
+
+
+def test_evidence_equals_brute_force(spark):
+    frame = spark.createDataFrame([(1, "river stoneCloud xé River"), (2, None), (3, "")], "doc_id bigint, text string")
+    chances = secrets.letter_chances(frame)
+    counts = {}
+    for word in {"river", "stone", "cloud"}:
+        for a, b in zip("^" + word, word):
+            counts[a + b] = counts.get(a + b, 0) + 1
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alone = np.array([sum(n for pair, n in counts.items() if pair[1] == b) for b in letters]) / 15
+    for i, a in enumerate("^" + letters):
+        own = np.array([counts.get(a + b, 0) for b in letters])
+        own = own / own.sum() if own.sum() else alone
+        mixed = np.array(secrets.SHARES) @ np.array([own, alone, np.full(26, 1 / 26)])
+        assert np.allclose(chances[26 * i:26 * i + 26], np.log(mixed))
+
+    def brute(token, size):
+        total, last = 0.0, (0, "")
+        for c in token:
+            kind = 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4
+            total += math.log(secrets.TURNS[last[0]][kind - 1])
+            before = "" if (last[0], kind) == (1, 2) else last[1]
+            if c.isalpha():
+                total += chances[26 * (1 + letters.index(before) if before else 0) + letters.index(c.lower())]
+            else:
+                total += math.log(1 / 10 if kind == 3 else 1 / 4)
+            last = (kind, c.lower() if c.isalpha() else "")
+        return max(0, math.floor(100 * (-math.log(size) * len(token) - total) / math.log(10)))
+
+    tokens = {"qXz9Kw3RvT7bLm2PfGh4": 62, "riverStoneCloud2": 62, "QZ7XJ2KQ": 32, "a/b+c9Z": 64}
+    row = spark.createDataFrame([(list(tokens),)], "t array<string>").select(
+        secrets._evidence(F.col("t"), chances)).first()[0]
+    assert row == [brute(token, size) for token, size in tokens.items()]
+
+
 # --- 6: fingerprints --------------------------------------------------------------------
 
 
