@@ -333,6 +333,8 @@ def surprise(held: DataFrame, model: DataFrame) -> DataFrame:
             sizes.append(np.diff(begins) - 1)
             sums.append(np.add.reduceat(bits[np.searchsorted(distinct, codes)], begins[:-1]))
         lists = [row.column(name).combine_chunks().flatten() for name in columns]
+        # Workers live on for later stages; what Arrow keeps for itself goes back.
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays(
             [*lists, pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sums))],
             [*columns, "n_bytes", "bits"],
