@@ -8,9 +8,10 @@ side, give the likelihood of every similarity, and pairs for which the wanted si
 is out of the question go; the others are compared on the whole sets.
 
 Texts with equal sets are one class from the start. Within a bucket nobody is paired with
-everybody: members are first compared with a few leaders; then blocks of nodes that still
-belong to different components are compared. A pair inside a component needs no
-comparison, as it could not change the component; so every link counts.
+everybody: members are first compared with one leader, then with a few more of other
+components; then blocks of nodes that still belong to different components are compared.
+A pair inside a component needs no comparison, as it could not change the component; so
+every link counts.
 """
 
 from __future__ import annotations
@@ -242,31 +243,54 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, likeness: Likeness) -> DataFra
 def components(links: DataFrame, purpose: str = "components") -> DataFrame:
     """``node, component`` of all nodes in ``links`` (node, other): the least node reachable.
 
-    Every round takes the least label among a node and its neighbours, then the label of
-    that label, until no label changes; rounds grow with the logarithm of the longest path.
+    Every round, each node follows the least of its neighbours, and that one's, down to a
+    node with no lesser neighbour; the links then hold between the nodes arrived at, those
+    inside one and repeated ones go. So a link is joined once, and the next round has only
+    what still lies between groups.
     """
-    both = stored(
-        links.union(links.select("other", "node")).distinct().toDF("node", "other"), "links"
-    )
-    labels = both.groupBy("node").agg(F.min("other").alias("least")).select(
-        "node", F.least("node", "least").alias("component")
-    )
-    labels = stored(labels, purpose)
+    rounds = []
     while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("other"), "component"), "other")
-            .groupBy("node")
-            .agg(F.min("component").alias("near"))
+        lowest = _lowest(links, purpose)
+        rounds.append(lowest)
+        ends = lowest.toDF("other", "upper")
+        left = (
+            links.join(lowest.withColumnRenamed("component", "lower"), "node")
+            .join(ends, "other")
+            .where("lower <> upper")
+            .select(F.least("lower", "upper").alias("node"), F.greatest("lower", "upper").alias("other"))
+            .distinct()
         )
-        closer = labels.join(near, "node").select(
-            "node", "component", F.least("component", "near").alias("closer")
+        links = stored(left, "links")
+        if links.isEmpty():
+            break
+    found = rounds.pop()
+    while rounds:
+        beyond = found.toDF("component", "beyond")
+        found = stored(
+            rounds.pop()
+            .join(beyond, "component", "left")
+            .select("node", F.coalesce("beyond", "component").alias("component")),
+            purpose,
         )
-        jump = labels.select(F.col("node").alias("closer"), F.col("component").alias("beyond"))
+    return found
+
+
+def _lowest(links: DataFrame, purpose: str) -> DataFrame:
+    """``node, component``: where each node ends that follows least neighbours downward."""
+    own = links.union(links.select("other", "node")).toDF("node", "other")
+    labels = stored(
+        own.groupBy("node")
+        .agg(F.min("other").alias("least"))
+        .select("node", F.least("node", "least").alias("component")),
+        purpose,
+    )
+    while True:
+        jump = labels.toDF("component", "beyond")
         moved = stored(
-            closer.join(jump, "closer", "left").select(
+            labels.join(jump, "component").select(
                 "node",
-                F.least("closer", "beyond").alias("component"),
-                (F.least("closer", "beyond") < F.col("component")).alias("moved"),
+                F.col("beyond").alias("component"),
+                (F.col("beyond") < F.col("component")).alias("moved"),
             ),
             purpose,
         )
@@ -471,8 +495,8 @@ def _linked(likeness: Likeness, one: bytes, other: bytes) -> bool:
 
 def _relabelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their components; buckets that lie in one component are left out."""
-    rows = buckets.select("key", "node").join(labels, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")
+    rows = buckets.drop("component").join(labels, "node", "left").select(
+        "key", "node", "members", F.coalesce("component", "node").alias("component")
     )
     mixed = (
         rows.groupBy("key")
@@ -516,13 +540,18 @@ def near_duplicates(
     shared = classes.join(buckets.select("node").distinct(), "node", "left_semi")
     sets = stored(_sets(documents, shared, likeness, id, text), "sets")
 
-    alone = buckets.withColumn("component", F.col("node"))
-    pairs = stored(_star(alone, range(leaders)), "pairs")
-    links = stored(_confirmed(_likely(pairs, classes, likeness), sets, likeness), "links")
-    # In a bucket of two, the one pair was among those.
-    mixed = _relabelled(buckets.where("members > 2"), components(links))
-    more = _across(stored(mixed, "mixed"), classes, sets, likeness)
-    labels = components(links.union(stored(more, "links")))
+    rows, known = buckets.withColumn("component", F.col("node")), None
+    for seeds in filter(None, (range(1), range(1, leaders))):
+        # The first leader joins most of what is alike; the others see what is left.
+        pairs = stored(_star(rows, seeds), "pairs")
+        links = stored(_confirmed(_likely(pairs, classes, likeness), sets, likeness), "links")
+        labels = components(links if known is None else known.union(links))
+        # What the links join is known: one link of every node says it again.
+        known = labels.where("node <> component").toDF("node", "other")
+        # In a bucket of two, the one pair was among those.
+        rows = stored(_relabelled(rows.where("members > 2"), labels), "mixed")
+    more = _across(rows.drop("members"), classes, sets, likeness)
+    labels = components(known.union(stored(more, "links")))
 
     least = (
         classes.join(labels, "node")

@@ -204,6 +204,41 @@ def test_near_duplicates_equal_brute_force(spark):
         assert all(r["kept"] == (r["id"] == r["component_id"]) for r in found)
 
 
+def test_components_join_a_link_once(spark, monkeypatch):
+    """What one round leaves of the links is stored for the next, not all links again."""
+    rng = np.random.default_rng(5)
+    hubs = [(int(n), int(hub)) for n in range(100, 2100) for hub in rng.choice(20, 4, False)]
+    names = rng.permutation(300) + 10_000
+    paths = [(int(names[n]), int(names[n + 1])) for n in range(299)]
+    climb = [(20_000 + n, 20_001 + n) for n in range(300)]
+    star = [(30_000 + n, 30_500) for n in range(300)]
+    links = hubs + paths + climb + star
+    over = {n: n for link in links for n in link}
+
+    def top(n):
+        while over[n] != n:
+            over[n] = n = over[over[n]]
+        return n
+
+    for one, other in links:
+        low, high = sorted((top(one), top(other)))
+        over[high] = low
+    again = []
+
+    def counted(frame, purpose, *rest):
+        done = tables.stored(frame, purpose, *rest)
+        if purpose == "links":
+            again.append(done.count())
+        return done
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    frame = spark.createDataFrame(links, "node bigint, other bigint")
+    found = near_dedup.components(frame).collect()
+    assert {row.node: row.component for row in found} == {n: top(n) for n in over}
+    assert len(found) == len(over)
+    assert sum(again) < len(links) / 2, "links that lie inside a group are gone after a round"
+
+
 def test_near_duplicates_on_odd_rows(odd, empty):
     found = near_dedup.near_duplicates(odd).collect()
     assert len(found) == len(ODD)
