@@ -2,8 +2,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
+from logloom.plans import registry
 from logloom.plans.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -56,3 +58,22 @@ def test_plan_is_native_and_has_no_bottleneck(spark, name):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     for bad in ("EvalPython", "InPandas", "CartesianProduct", "NestedLoop", "SinglePartition"):
         assert bad not in plan
+
+
+@pytest.mark.parametrize("name", ["catalog_retention_survivors"])
+def test_small_files_are_dealt_to_all_tasks(spark, monkeypatch, name):
+    """Few bytes in many files are no reason to write them all from one task."""
+    folders = []
+
+    def noted(*args):
+        folders.append(registry_path(*args))
+        return folders[-1]
+
+    registry_path = registry.scratch_path
+    monkeypatch.setattr(registry, "scratch_path", noted)
+    coalesced = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    QUERIES[name](spark, SF_DIR)
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == coalesced
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+    task = F.regexp_extract("path", "/part-([0-9]+)-[^/]*$", 1)
+    assert files.select(task).distinct().count() > 1
