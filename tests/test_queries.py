@@ -60,7 +60,7 @@ def test_plan_is_native_and_has_no_bottleneck(spark, name):
         assert bad not in plan
 
 
-@pytest.mark.parametrize("name", ["catalog_retention_survivors"])
+@pytest.mark.parametrize("name", ["catalog_retention_survivors", "files_batch_summary"])
 def test_small_files_are_dealt_to_all_tasks(spark, monkeypatch, name):
     """Few bytes in many files are no reason to write them all from one task."""
     folders = []
