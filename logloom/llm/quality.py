@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.slices import MARK, buffers, joined, text_bytes
-from logloom.llm.tables import sent_if_small, stored
+from logloom.llm.tables import bucketed, sent_if_small, stored
 
 #: Bytes of an n-gram, the predicted one included. With its order above them they are its key.
 ORDER = 5
@@ -381,9 +381,10 @@ def classify(
         .withColumn("trusted", F.col("trusted_id").isNotNull())
         .withColumn("counted", F.col("trusted") & ~held_out)
     )
-    held = stored(blocks(marked), "blocks", compression="zstd")
-    model = train(stored(count_grams(held), "grams"))
-    scores = stored(surprise(held, model), "surprise")
+    # In buckets, so that answers go to the blocks' texts and these stay where they are.
+    with bucketed(blocks(marked), "block", "blocks", compression="zstd") as held:
+        model = train(stored(count_grams(held), "grams"))
+        scores = stored(surprise(held, model), "surprise")
 
     known = scores.where("trusted")
     size = F.col("n_bytes") + 1

@@ -579,6 +579,26 @@ def test_blocks_of_any_size_give_the_same_scores(spark, labels, monkeypatch):
     assert scores() == want
 
 
+def test_texts_in_blocks_are_not_moved_to_their_answers(spark, labels, monkeypatch):
+    documents = spark.createDataFrame(
+        [(n, prose(n, 50), "en") for n in range(40)], "doc_id int, text string, lang string"
+    )
+    plans, stored = {}, quality.stored
+
+    def noted(frame, purpose, **options):
+        plans[purpose] = frame._jdf.queryExecution().executedPlan().toString()
+        return stored(frame, purpose, **options)
+
+    monkeypatch.setattr(quality, "stored", noted)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 2000)
+    entries = {row.name for row in spark.catalog.listTables()}
+    assert quality.classify(documents, labels).count() == 40
+    assert {row.name for row in spark.catalog.listTables()} == entries
+    to_texts, scan, _ = plans["surprise"].split("FlatMapCoGroupsInArrow")[1].partition("FileScan")
+    assert scan and "Exchange" not in to_texts
+    assert "Bucketed: true" in plans["surprise"]
+
+
 def test_quality_keeps_columns_of_any_name(spark, odd, labels):
     clashing = odd.withColumnsRenamed({"id": "text_key", "node": "gone_id", "kept": "found"})
     for rows in (secrets.masked(clashing), exact_dedup.without_exact_duplicates(clashing)):
