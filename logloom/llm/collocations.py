@@ -41,6 +41,9 @@ SHARD_WORDS = 3 << 18
 #: Rows that a task hands to Python at once: a shard's row has some megabytes.
 _DOCUMENTS_AT_ONCE = 500
 _SHARDS_AT_ONCE = 1
+#: Spark's reader decodes thousands of a row group's rows at once, and its writer looks at a
+#: row group's size after a hundred: each shard gets a row group, however many a task has.
+_INDEX_FILES = {"compression": "zstd", "parquet.block.row.count.limit": "1"}
 #: Bits of the filter, as a power of two.
 _FILTER_BITS = 26
 _BUCKET_BITS = 15  # Spark's bitmap functions put 2^15 bits into one row
@@ -344,7 +347,7 @@ def phrase_counts(
     """
     spark = documents.sparkSession
     indexes = build_indexes(documents, text, lang, max_words, shard_words)
-    indexes = stored(indexes, "phrase-indexes", _DOCUMENTS_AT_ONCE, compression="zstd")
+    indexes = stored(indexes, "phrase-indexes", _DOCUMENTS_AT_ONCE, **_INDEX_FILES)
     filters, levels = [], []
     totals = None
     for length in range(1, max_words + 1):

@@ -8,6 +8,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +282,25 @@ def test_filter_lets_all_frequent_phrases_through_however_full_it_is(documents,
     assert set(map(tuple, collocations.collocations(documents).collect())) == expected
 
 
+def test_a_task_reads_its_shards_one_by_one(documents, monkeypatch):
+    """All rows of a row group are decoded at once, so shards must not share one."""
+    paths = []
+
+    def noted(frame, purpose, *args, **options):
+        frame = collocations_stored(frame, purpose, *args, **options)
+        if purpose == "phrase-indexes":
+            paths.extend(frame.inputFiles())
+        return frame
+
+    collocations_stored = collocations.stored
+    monkeypatch.setattr(collocations, "stored", noted)
+    collocations.phrase_counts(documents.coalesce(1), shard_words=5_000)
+    files = [pq.ParquetFile(path.removeprefix("file://")).metadata for path in paths]
+    assert max(file.num_rows for file in files) > 1
+    for file in files:
+        assert {file.row_group(n).num_rows for n in range(file.num_row_groups)} == {1}
+
+
 def test_scores_past_64_bits_are_exact(spark):
     big = 3_000_000_000_000
     one = spark.createDataFrame([("en", "a", big), ("en", "b", big - 1)], "lang string, phrase string, count bigint")
