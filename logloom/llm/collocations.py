@@ -41,6 +41,8 @@ SHARD_WORDS = 3 << 18
 #: Rows that a task hands to Python at once: a shard's row has some megabytes.
 _DOCUMENTS_AT_ONCE = 500
 _SHARDS_AT_ONCE = 1
+#: A task counts so many together, if that leaves all cores work: fewer rows are shuffled.
+_SHARDS_MERGED = 8
 #: Spark's reader decodes thousands of a row group's rows at once, and its writer looks at a
 #: row group's size after a hundred: each shard gets a row group, however many a task has.
 _INDEX_FILES = {"compression": "zstd", "parquet.block.row.count.limit": "1"}
@@ -348,6 +350,8 @@ def phrase_counts(
     spark = documents.sparkSession
     indexes = build_indexes(documents, text, lang, max_words, shard_words)
     indexes = stored(indexes, "phrase-indexes", _DOCUMENTS_AT_ONCE, **_INDEX_FILES)
+    tasks = -(-indexes.count() // _SHARDS_MERGED)
+    indexes = indexes.coalesce(max(tasks, 2 * spark.sparkContext.defaultParallelism))
     filters, levels = [], []
     totals = None
     for length in range(1, max_words + 1):
