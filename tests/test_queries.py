@@ -77,3 +77,12 @@ def test_small_files_are_dealt_to_all_tasks(spark, monkeypatch, name):
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
     task = F.regexp_extract("path", "/part-([0-9]+)-[^/]*$", 1)
     assert files.select(task).distinct().count() > 1
+
+
+def test_a_catalog_table_is_made_without_listing_its_files(spark):
+    """The writer knows its partitions; to look for them costs a call for every file."""
+    metrics = spark._jvm.org.apache.spark.metrics.source.HiveCatalogMetrics
+    before = metrics.METRIC_PARALLEL_LISTING_JOB_COUNT().getCount()
+    frame = QUERIES["catalog_retention_survivors"](spark, SF_DIR)
+    assert metrics.METRIC_PARALLEL_LISTING_JOB_COUNT().getCount() == before
+    assert frame.where("epochs > 1 AND rows > 0").count() > 0
